@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, quality_rules, sharding, token_store
+from lodestack.llm import bpe, fingerprint, license_scan, quality_model, quality_rules, sharding, token_store, toxicity
 from lodestack.llm.common import documents, labels
 
 SHARDS = 40
@@ -22,15 +21,31 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_documents(documents(spark, sf_dir))
+
+
 def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, token_store.write(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_external_shuffle, op8_token_store)
+    f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_invertible_sketch, op4_external_shuffle, op5_toxicity, op6_quality_model, op7_license_scan, op8_token_store)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_license_scan": license_scan.oracle_sql()}
