@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import bpe, fingerprint, license_scan, quality_model, quality_rules, sharding, token_store, toxicity
+from lodestack.llm import bpe, fingerprint, license_scan, near_dedup, packing, quality_model, quality_rules, sharding, token_store, toxicity
 from lodestack.llm.common import documents, labels
 
 SHARDS = 40
@@ -45,7 +45,15 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, token_store.write(documents(spark, sf_dir)))
 
 
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_invertible_sketch, op4_external_shuffle, op5_toxicity, op6_quality_model, op7_license_scan, op8_token_store)
+    f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_invertible_sketch, op4_external_shuffle, op5_toxicity, op6_quality_model, op7_license_scan, op8_token_store, op9_pattern_packing, op10_bag_minhash)
 }
 ORACLES: dict[str, str] = {"op7_license_scan": license_scan.oracle_sql()}

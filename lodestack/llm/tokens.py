@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Words and pieces that a memo holds before it starts anew.
-MEMO = 600_000
+MEMO = 1_200_000
 #: Characters of the texts that are split at once.
 GROUP_CHARS = 2_000_000
 #: Words that the library encodes in one string.
