@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ BLOCK = 1500
 TOGETHER = 250
 _MEMO = 300_000
 _U = np.uint64
+_STEP, _MASK = 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -95,8 +97,8 @@ def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], places: int = PLACES)
     step = 0
     while len(doc):
         step += 1
-        a = _mix(seed + _U(2 * step) * _ODD[1])
-        b = _mix(seed + _U(2 * step + 1) * _ODD[1])
+        a = _mix(seed + _U(2 * step * _STEP & _MASK))
+        b = _mix(seed + _U((2 * step + 1) * _STEP & _MASK))
         time = time - np.log(((a >> _U(11)).astype("float64") + 1) * 2.0**-53) / size
         on = time < slowest[doc]
         place = ((b >> _U(32)) % _U(places)).astype("int64")
@@ -270,8 +272,8 @@ def block_pairs(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size and kept of every document."""
+def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents' keys (doc_id, key, ...), and key, first_doc, copies and label of every node; equal labels are a class."""
     sketches = staged(sketch_documents(docs, text), "sketches")
     # One node for each word sequence; copies are gathered before they move.
     nodes = staged(sketches.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("short").alias("short")), "nodes")
@@ -291,8 +293,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text")
         links = staged(links.unionByName(verify(more, docs, nodes, similarity, text)), "links")
         labels = staged(components(links), "labels")
 
-    of_node = nodes.select("key", "first_doc", "copies").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    of_class = of_node.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = of_node.join(of_class, "label").select("key", "class_id", "class_size")
+    return sketches, nodes.select("key", "first_doc", "copies").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size and kept of every document."""
+    sketches, nodes = label_nodes(docs, similarity, text)
+    of_class = nodes.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.sum("copies").alias("class_size"))
+    known = nodes.join(of_class, "label").select("key", "class_id", "class_size")
     out = sketches.select("doc_id", "key").join(known, "key")
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, but one row of each class only: that of the smallest doc_id, then key."""
+
+    @F.pandas_udf("binary")
+    def text_key(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: key_of(words_of(t)))
+
+    _, nodes = label_nodes(docs, similarity, text)
+    rank = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)), F.col("key"))
+    chosen = nodes.groupBy("label").agg(F.min_by(F.struct("key", "first_doc"), rank).alias("c")).select(F.col("c.key").alias("__k"), F.col("c.first_doc").alias("__d"))
+    mine = docs.withColumn("__key", text_key(text))
+    same = (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
+    # Equal rows of the chosen document lie in one partition after the join.
+    return mine.join(chosen, same, "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,23 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, calibrate: int = 3) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; labels of the held-out fold are not read."""
     fold = F.coalesce(crc_mod(F.col("doc_id"), folds), F.lit(0))
-    stats = staged(document_statistics(docs), "quality-statistics")
-    model = train(stats, labels, fold != held_out, fold == calibrate)
+    stats, model = fit_documents(docs, labels, folds, held_out, calibrate)
     return score(stats, model).select("doc_id", (fold == held_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, calibrate: int = 3, text: str = "text") -> tuple[DataFrame, Model]:
+    """The documents' statistics and the model fitted on them."""
+    fold = F.coalesce(crc_mod(F.col("doc_id"), folds), F.lit(0))
+    stats = staged(document_statistics(docs, text), "quality-statistics")
+    return stats, train(stats, labels, fold != held_out, fold == calibrate)
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is at least `threshold`; rows stay where they are."""
+    _, model = fit_documents(docs, labels, text=text)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts], dtype="float64").reshape(-1, len(STATISTICS))))
+
+    return docs.select(F.struct("*").alias("row"), scored(text).alias("score")).filter(F.col("score") >= threshold).select("row.*")

@@ -15,6 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,3 +156,17 @@ def apply_rules(docs: DataFrame, labels: DataFrame, counted: DataFrame | None =
     good = counted.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     cutoffs = choose_cutoffs(good)
     return counted.withColumn("base_failed", base_failed()).withColumn("rejected", rejected_by(cutoffs)).withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that the base rule and the chosen cutoffs keep; rows stay where they are."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+    def counts_column(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in texts], columns=list(_COUNTS), dtype="int64")
+
+    counted = document_counts(docs, text)
+    good = counted.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    cutoffs = choose_cutoffs(good)
+    mine = docs.select(F.struct("*").alias("row"), counts_column(text).alias("c")).select("row", "c.*")
+    return mine.filter(~base_failed() & ~rejected_by(cutoffs)).select("row.*")
