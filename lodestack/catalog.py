@@ -1,11 +1,525 @@
-"""The registered queries of the search engine and their SQL."""
+"""The registered queries of the search engine, each beside the DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.functions import chunks, format, text
+from lodestack.operators import bm25, filters, fusion, lifecycle, lookup, metrics, postings, vectors
+from lodestack.plans.search import Query, hybrid, ranked_lists
+from lodestack.sources import tables
 
 FLAGSHIP = "hybrid_blend"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+DOCS = "SELECT doc_id AS id, lang AS collection, source || '/' || doc_id || '.md' AS path, source AS title, text AS body, sha256(text) AS hash FROM documents"
+TOKENS = r"SELECT doc_id AS id, field, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT doc_id, 'title' AS field, regexp_extract_all(strip_accents(lower(source)), '[\p{L}\p{N}]+') AS t FROM documents UNION ALL SELECT doc_id, 'body', regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') FROM documents)"
+#: The queries of the search examples, and the vectors that stand for them: rows of `embeddings`.
+SEARCHES = {"q1": "onea", "q2": "stupid and", "q3": '"of the" -moron', "q4": "erea thing", "q5": '"und der"'}
+VECTOR_OF = {"q1": 1, "q2": 2, "q3": 3, "q4": 4, "q5": 5}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _post(spark, sf):
+    return postings.postings(tables.documents(spark, sf))
+
+
+def _embedded(spark, sf):
+    return tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+# Content addressing and the store's life.
+
+
+@query(f"SELECT hash, count(*) AS copies, min(id) AS first_id FROM ({DOCS}) GROUP BY hash")
+def content_dedup(spark, sf):
+    return tables.documents(spark, sf).groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+
+
+SNAPSHOT = f"SELECT id, collection, path, CASE WHEN id % 7 = 2 THEN 'old' ELSE title END AS title, CASE WHEN id % 5 = 1 THEN sha256('was ' || body) ELSE hash END AS hash, id % 9 <> 4 AS active, body FROM ({DOCS}) WHERE id % 11 <> 6"
+SCANNED = f"SELECT id AS now_id, collection, path, title, hash FROM ({DOCS}) WHERE id % 13 <> 8"
+
+
+def _snapshot(spark, sf):
+    """An earlier state of the store: some documents not yet there, some with other texts or titles, some removed."""
+    i = F.col("id")
+    d = tables.documents(spark, sf).filter(i % 11 != 6)
+    changed = F.sha2(F.concat(F.lit("was "), "body"), 256)
+    return d.withColumn("title", F.when(i % 7 == 2, "old").otherwise(F.col("title"))).withColumn("hash", F.when(i % 5 == 1, changed).otherwise(F.col("hash"))).withColumn("active", i % 9 != 4)
+
+
+def _scanned(spark, sf):
+    """What a new scan finds: some documents are gone."""
+    return tables.documents(spark, sf).filter(F.col("id") % 13 != 8).select("collection", "path", "title", "hash")
+
+
+DIFF = f"""SELECT coalesce(a.collection, b.collection) AS collection, coalesce(a.path, b.path) AS path, a.id,
+CASE WHEN a.id IS NULL THEN 'indexed' WHEN b.hash IS NULL AND a.active THEN 'removed' WHEN b.hash IS NULL THEN 'gone' WHEN NOT a.active THEN 'reactivated'
+WHEN a.hash = b.hash AND a.title = b.title THEN 'unchanged' ELSE 'updated' END AS action
+FROM ({SNAPSHOT}) a FULL JOIN ({SCANNED}) b ON a.collection = b.collection AND a.path = b.path"""
+
+
+@query(DIFF)
+def scan_diff(spark, sf):
+    return lifecycle.scan_diff(_snapshot(spark, sf), _scanned(spark, sf))
+
+
+@query(f"SELECT action, count(*) AS n FROM ({DIFF}) GROUP BY action")
+def scan_counters(spark, sf):
+    return scan_diff(spark, sf).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT id FROM ({DIFF}) WHERE action = 'removed'")
+def tombstone(spark, sf):
+    return scan_diff(spark, sf).filter("action = 'removed'").select("id")
+
+
+@query(f"SELECT coalesce(id, 0) <> 0 OR action = 'indexed' AS has_id, action NOT IN ('removed', 'gone') AS active, count(*) AS n FROM ({DIFF}) GROUP BY ALL")
+def next_snapshot(spark, sf):
+    old = _snapshot(spark, sf).withColumn("created_at", F.lit("2026-01-01").cast("timestamp")).withColumn("modified_at", F.col("created_at"))
+    new = lifecycle.apply_scan(old, _scanned(spark, sf), F.lit("2026-02-01").cast("timestamp"))
+    return new.groupBy((F.coalesce("id", F.lit(0)) != 0).alias("has_id"), "active").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT hash FROM (SELECT DISTINCT hash FROM ({SNAPSHOT})) WHERE hash NOT IN (SELECT hash FROM ({SNAPSHOT}) WHERE active)")
+def orphan_content(spark, sf):
+    d = _snapshot(spark, sf)
+    return lifecycle.orphans(d.select("hash").distinct(), d)
+
+
+@query(f"SELECT 'inactive_documents' AS kind, count(*) AS n FROM ({SNAPSHOT}) WHERE NOT active UNION ALL SELECT 'orphan_contents', count(DISTINCT hash) FROM ({SNAPSHOT}) WHERE hash NOT IN (SELECT hash FROM ({SNAPSHOT}) WHERE active)")
+def gc_plan(spark, sf):
+    d = _snapshot(spark, sf)
+    return lifecycle.cleanup(d, d.select("hash").distinct())
+
+
+@query(f"SELECT hash, min(path) AS path FROM ({SNAPSHOT}) WHERE active GROUP BY hash")
+def representative_path(spark, sf):
+    return lifecycle.representatives(_snapshot(spark, sf))
+
+
+@query(f"SELECT collection, count(*) AS documents, max(id) AS last_modified FROM ({SNAPSHOT}) WHERE active GROUP BY collection")
+def collection_stats(spark, sf):
+    return lifecycle.collection_stats(_snapshot(spark, sf).withColumn("modified_at", F.col("id")))
+
+
+VECTORS = f"SELECT DISTINCT hash, s AS seq, CASE WHEN doc_n % 6 = 1 THEN 'old' ELSE 'new' END AS fingerprint, 2 AS total_chunks FROM (SELECT hash, min(id) AS doc_n FROM ({DOCS}) GROUP BY hash), range(2) r(s) WHERE doc_n % 4 <> 0 AND NOT (doc_n % 5 = 2 AND s = 1)"
+PENDING = f"SELECT c.hash FROM (SELECT DISTINCT hash FROM ({DOCS})) c LEFT JOIN (SELECT hash, count(*) AS n, max(total_chunks) AS total, bool_and(fingerprint = 'new') AS fresh FROM ({VECTORS}) GROUP BY hash) v USING (hash) WHERE n IS NULL OR n < total OR NOT fresh"
+
+
+def _vectors(spark, sf):
+    """Chunk vectors as an interrupted embedding run leaves them."""
+    first = tables.documents(spark, sf).groupBy("hash").agg(F.min("id").alias("n"))
+    each = first.select("hash", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).filter("n % 4 <> 0 and not (n % 5 = 2 and seq = 1)")
+    return each.select("hash", "seq", F.when(F.col("n") % 6 == 1, "old").otherwise("new").alias("fingerprint"), F.lit(2).alias("total_chunks"))
+
+
+@query(PENDING)
+def pending_embed(spark, sf):
+    return vectors.pending(tables.documents(spark, sf), _vectors(spark, sf), F.lit("new"))
+
+
+@query(f"SELECT documents, contents, vectors, pending, CAST(floor(100.0 * pending / contents + 0.5) AS INT) AS pending_percent, floor(100.0 * pending / contents + 0.5) >= 10 AS warn FROM (SELECT count(*) AS documents, count(DISTINCT hash) AS contents FROM ({DOCS})), (SELECT count(*) AS vectors FROM ({VECTORS})), (SELECT count(*) AS pending FROM ({PENDING}))")
+def status_report(spark, sf):
+    d, v = tables.documents(spark, sf).withColumn("active", F.lit(True)), _vectors(spark, sf)
+    return lifecycle.status(d, v, vectors.pending(d, v, F.lit("new")))
+
+
+# The inverted index.
+
+
+@query(f"SELECT term, id, count(*) AS tf FROM ({TOKENS}) GROUP BY term, id")
+def term_freq(spark, sf):
+    return _post(spark, sf).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query(f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM ({TOKENS}) GROUP BY term")
+def doc_freq(spark, sf):
+    return postings.dictionary(_post(spark, sf))
+
+
+@query(f"SELECT id, count(*) AS dl FROM ({TOKENS}) GROUP BY id")
+def doc_length(spark, sf):
+    return postings.document_lengths(_post(spark, sf))
+
+
+@query(f"SELECT DISTINCT term FROM ({TOKENS}) WHERE starts_with(term, 'ere')")
+def prefix_terms(spark, sf):
+    return _post(spark, sf).filter(F.col("term").startswith("ere")).select("term").distinct()
+
+
+@query()
+def stem_terms(spark, sf):
+    """Stems and how many terms fall together in each."""
+    return postings.stem_terms(_post(spark, sf).select("term").distinct().withColumn("word", F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("words"))
+
+
+def bm25_sql(queries: dict[str, str], limit: int, where: str = "TRUE") -> str:
+    """Keyword search in SQL, from the parsed phrases."""
+    rows = [(q, k, p.negated, p.prefix, len(p.tokens), i, t) for q, s in queries.items() for k, p in enumerate(bm25.parse(s) or []) for i, t in enumerate(p.tokens)]
+    values = ", ".join(f"('{q}', {k}, {str(g).lower()}, {str(x).lower()}, {n}, {i}, '{t}')" for q, k, g, x, n, i, t in rows)
+    return f"""
+WITH tok AS ({TOKENS}), ph(query_id, phrase, negated, prefix, n, i, token) AS (VALUES {values}),
+hit AS (SELECT query_id, phrase, negated, n, id, field, pos - i AS st, count(*) AS have FROM tok JOIN ph ON CASE WHEN prefix THEN starts_with(term, token) ELSE term = token END GROUP BY ALL),
+f AS (SELECT query_id, phrase, negated, id, sum(CASE WHEN field = 'title' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS f FROM hit WHERE have = n GROUP BY ALL),
+dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), st AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(dl) FROM dl)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl),
+idf AS (SELECT query_id, phrase, greatest(ln((n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), -1e9) AS raw FROM f, st GROUP BY query_id, phrase, n_docs),
+s AS (SELECT query_id, id, sum(CASE WHEN NOT negated THEN (CASE WHEN raw <= 0 THEN 1e-6::DOUBLE ELSE raw END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS s, count(*) FILTER (NOT negated) AS have, bool_or(negated) AS barred FROM f JOIN idf USING (query_id, phrase) JOIN dl USING (id), st GROUP BY query_id, id),
+k AS (SELECT s.* FROM s JOIN (SELECT query_id, count(DISTINCT phrase) AS need FROM ph WHERE NOT negated GROUP BY query_id) n ON s.query_id = n.query_id AND have = need AND NOT barred WHERE {where}),
+r AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(-s, 9), id) AS rank FROM k)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(s, 6) AS s, round(s / (1 + s), 6) AS score FROM r WHERE rank <= {limit}"""
+
+
+def _bm25(name: str, text: str, limit: int = 20) -> None:
+    def run(spark, sf):
+        d = tables.documents(spark, sf)
+        found = bm25.search(postings.postings(d), d, {"q": text}, limit)
+        return found.select("query_id", "rank", "id", F.round(-F.col("bm25"), 6).alias("s"), F.round("score", 6).alias("score"))
+
+    run.__name__ = name
+    query(bm25_sql({"q": text}, limit))(run)
+
+
+_bm25("bm25_single", '"onea"')
+_bm25("bm25_and", '"the" "idiot"')
+_bm25("bm25_not", '"onea" -"the"')
+_bm25("bm25_phrase", '"of the"')
+_bm25("bm25_prefix", "licen")
+_bm25("bm25_hyphen", "cc-by")
+
+
+@query(bm25_sql(SEARCHES, 10))
+def bm25_batch(spark, sf):
+    d = tables.documents(spark, sf)
+    found = bm25.search(postings.postings(d), d, SEARCHES, 10)
+    return found.select("query_id", "rank", "id", F.round(-F.col("bm25"), 6).alias("s"), F.round("score", 6).alias("score"))
+
+
+@query(bm25_sql(SEARCHES, 10, f"id IN (SELECT id FROM ({DOCS}) WHERE collection IN ('fr', 'de'))"))
+def bm25_scoped(spark, sf):
+    d = tables.documents(spark, sf)
+    found = bm25.search(postings.postings(d), d, SEARCHES, 10, d.filter(lookup.scope(["fr", "de"], [])))
+    return found.select("query_id", "rank", "id", F.round(-F.col("bm25"), 6).alias("s"), F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_stemmed(spark, sf):
+    """With Porter stems, as the reference's index has them."""
+    d = tables.documents(spark, sf)
+    found = bm25.search(postings.postings(d, stemmed=True), d, {"q1": "licensed", "q2": "releases rights"}, 10, stemmed=True)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH tok AS ({TOKENS}), q(query_id, term) AS (VALUES ('a', 'onea'), ('a', 'idiot'), ('b', 'rights'), ('b', 'licensed')),
+dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), st AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(dl) FROM dl)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl),
+tf AS (SELECT query_id, term, id, count(*) AS tf FROM tok JOIN q USING (term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS n_t FROM tf GROUP BY ALL),
+s AS (SELECT query_id, id, sum(ln(1 + (n_docs - n_t + 0.5::DOUBLE) / (n_t + 0.5::DOUBLE)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (query_id, term) JOIN dl USING (id), st GROUP BY ALL)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 20""")
+def bm25_or_okapi(spark, sf):
+    d = tables.documents(spark, sf)
+    found = bm25.okapi(postings.postings(d), d, {"a": ["onea", "idiot"], "b": ["rights", "licensed"]}, 20)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+# Vectors.
+
+
+def nearest_sql(k: int, queries: str, pool: str = "embeddings") -> str:
+    return f"SELECT query_id, vec_id AS id, d AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM ({queries}) q, {pool} e) QUALIFY rank <= {k}"
+
+
+TEN = "SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings WHERE vec_id < 10"
+
+
+def _ten(spark, sf):
+    return tables.table(spark, sf, "embeddings").filter("vec_id < 10").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+
+
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, TEN)})")
+def vec_topk(spark, sf):
+    return vectors.nearest(_embedded(spark, sf), _ten(spark, sf), 10).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, TEN, '(SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE lang IN (' + chr(39) + 'en' + chr(39) + '))')})")
+def vec_scoped(spark, sf):
+    pool = _embedded(spark, sf).join(tables.documents(spark, sf).filter(lookup.scope("en", [])).select("id"), "id", "left_semi")
+    return vectors.nearest(pool, _ten(spark, sf), 10).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH n AS ({nearest_sql(60, TEN)}), b AS (SELECT query_id, id // 4 AS doc_id, arg_min(id % 4, (round(distance, 9), id % 4)) AS seq, min(distance) AS distance FROM n GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0, 1 - distance / 2), 9) DESC, doc_id) AS INT) AS rank, doc_id, CAST(seq AS INT) AS seq, round(greatest(0, 1 - distance / 2), 6) AS score FROM b QUALIFY rank <= 20""")
+def vec_dedupe(spark, sf):
+    """Four vectors in a row are the chunks of a document."""
+    e = _embedded(spark, sf)
+    parts = e.select("id", F.expr("id div 4").alias("doc_id"), (F.col("id") % 4).cast("int").alias("seq"))
+    found = vectors.best_chunks(vectors.nearest(e, _ten(spark, sf), 60), parts, 20)
+    return found.select("query_id", "rank", "doc_id", "seq", F.round("score", 6).alias("score"))
+
+
+# Fusion and the hybrid query.
+
+QUERY_VECTORS = " UNION ALL ".join(f"SELECT '{q}' AS query_id, embedding FROM embeddings WHERE vec_id = {v}" for q, v in VECTOR_OF.items())
+LISTS = f"SELECT query_id, 0 AS list_idx, rank - 1 AS rank, id AS file, 2.0::DOUBLE AS weight, greatest(0, 1 - distance / 2) AS score FROM ({nearest_sql(40, QUERY_VECTORS)}) UNION ALL SELECT query_id, 1, rank - 1, id, 2.0::DOUBLE, score FROM ({bm25_sql(SEARCHES, 40)})"
+RRF = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen, file) AS rank FROM (SELECT query_id, file, sum(weight / (61 + rank)) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0 END AS rrf, min((list_idx, rank)) AS seen FROM ({LISTS}) GROUP BY query_id, file) QUALIFY rank <= 40"
+
+
+def _queries(spark, sf) -> dict[str, Query]:
+    wanted = {v: q for q, v in VECTOR_OF.items()}
+    rows = tables.table(spark, sf, "embeddings").filter(F.col("vec_id").isin(*wanted)).collect()
+    return {wanted[r["vec_id"]]: Query(SEARCHES[wanted[r["vec_id"]]], list(r["embedding"])) for r in sorted(rows, key=lambda r: r["vec_id"])}
+
+
+@query(f"SELECT query_id, file, CAST(rank AS INT) AS rank, round(rrf, 9) AS rrf FROM ({RRF})")
+def rrf_fusion(spark, sf):
+    d = tables.documents(spark, sf)
+    lists = ranked_lists(postings.postings(d), d, _embedded(spark, sf), _queries(spark, sf))
+    return fusion.reciprocal_rank_fusion(lists, 40).select("query_id", "file", "rank", F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"SELECT query_id, round(max(score), 6) AS top, round(coalesce(max(score) FILTER (rank = 2), 0), 6) AS second, max(score) >= 0.85 AND max(score) - coalesce(max(score) FILTER (rank = 2), 0) >= 0.15 AS strong FROM ({bm25_sql(SEARCHES, 2)}) GROUP BY query_id")
+def strong_signal(spark, sf):
+    d = tables.documents(spark, sf)
+    found = fusion.strong_signal(bm25.search(postings.postings(d), d, SEARCHES, 2))
+    return found.select("query_id", F.round("top", 6).alias("top"), F.round("second", 6).alias("second"), "strong")
+
+
+def _hybrid(spark, sf, **more):
+    d = tables.documents(spark, sf)
+    found = hybrid(postings.postings(d), d, _embedded(spark, sf), _queries(spark, sf), **more)
+    return found.select("query_id", "rank", "file", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY f.rank), 6) AS score FROM ({RRF}) f WHERE f.rank <= 10 AND file IN (SELECT doc_id FROM documents)")
+def hybrid_norerank(spark, sf):
+    return _hybrid(spark, sf, rerank=False)
+
+
+def hybrid_sql(limit: int = 10, least: float = 0.0) -> str:
+    terms = ", ".join(f"('{q}', {chunks.query_terms(s)!r})" for q, s in SEARCHES.items())
+    return f"""WITH t(query_id, terms) AS (VALUES {terms}), f AS ({RRF}),
+c AS (SELECT f.query_id, file, f.rank, rrf, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: contains(lower(text), x)))::DOUBLE / len(terms) ELSE 0 END AS share FROM f JOIN t USING (query_id) JOIN documents d ON d.doc_id = f.file),
+s AS (SELECT *, (rrf / max(rrf) OVER (PARTITION BY query_id) + share) / 2 AS score FROM c)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(score, 6) AS score FROM s WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.rank) <= {limit}"""
+
+
+@query(hybrid_sql())
+def hybrid_blend(spark, sf):
+    return _hybrid(spark, sf)
+
+
+@query(hybrid_sql(5, 0.4))
+def hybrid_min_score(spark, sf):
+    return _hybrid(spark, sf, limit=5, min_score=0.4)
+
+
+# Metadata filters. `v` are the typed values of a document.
+
+EAV = """SELECT doc_id AS id, 'source' AS key, 'string' AS vt, source AS t, NULL::DOUBLE AS n, NULL::BOOLEAN AS b FROM documents UNION ALL SELECT doc_id, 'tags', 'string', lang, NULL, NULL FROM documents UNION ALL SELECT doc_id, 'tags', 'string', source, NULL, NULL FROM documents
+UNION ALL SELECT doc_id, 'n_chars', 'number', NULL, n_chars, NULL FROM documents UNION ALL SELECT doc_id, 'quality', 'number', NULL, quality, NULL FROM labels UNION ALL SELECT doc_id, 'toxic', 'boolean', NULL, NULL, toxic = 1 FROM labels"""
+
+
+def _filter(name: str, tree: dict, where: str) -> None:
+    def run(spark, sf):
+        return tables.with_values(spark, sf).filter(filters.compile_filter(filters.parse(tree), F.col("values"))).select("id")
+
+    run.__name__ = name
+    query(f"WITH v AS ({EAV}) SELECT doc_id AS id FROM documents d WHERE {where}")(run)
+
+
+def _has(test: str) -> str:
+    return f"EXISTS (SELECT 1 FROM v WHERE v.id = d.doc_id AND {test})"
+
+
+_filter("filter_eq", {"key": "source", "operator": "eq", "value": "src3"}, _has("key = 'source' AND t = 'src3'"))
+_filter("filter_range", {"operator": "and", "operands": [{"key": "n_chars", "operator": "gte", "value": 500}, {"key": "n_chars", "operator": "lt", "value": 2000}]}, f"{_has(chr(39).join(('key = ', 'n_chars', ' AND n >= 500')))} AND {_has(chr(39).join(('key = ', 'n_chars', ' AND n < 2000')))}")
+_filter("filter_ne_missing", {"key": "quality", "operator": "ne", "value": 0}, f"{_has(chr(39).join(('key = ', 'quality', '')))} AND NOT {_has(chr(39).join(('key = ', 'quality', ' AND n = 0')))}")
+_filter("filter_in", {"key": "tags", "operator": "in", "value": ["fr", "src1"]}, _has("key = 'tags' AND t IN ('fr', 'src1')"))
+_filter("filter_nin", {"key": "tags", "operator": "nin", "value": ["fr", "src1"]}, "NOT " + _has("key = 'tags' AND t IN ('fr', 'src1')"))
+_filter("filter_all", {"key": "tags", "operator": "all", "value": ["en", "src5"]}, f"{_has(chr(39).join(('key = ', 'tags', ' AND t = ', 'en', '')))} AND {_has(chr(39).join(('key = ', 'tags', ' AND t = ', 'src5', '')))}")
+_filter("filter_exists", {"key": "toxic", "operator": "exists", "value": False}, "NOT " + _has("key = 'toxic'"))
+_filter("filter_nested", {"operator": "or", "operands": [{"operator": "not", "operand": {"key": "toxic", "operator": "eq", "value": True}}, {"key": "quality", "operator": "lt", "value": 1}]}, f"NOT {_has(chr(39).join(('key = ', 'toxic', ' AND b')))} OR {_has(chr(39).join(('key = ', 'quality', ' AND n < 1')))}")
+
+
+# Texts.
+
+
+@query(f"SELECT id, title, docid, uri, bytes, lines FROM (SELECT id, regexp_extract(path, '([^/]*)\\.md$', 1) AS title, left(hash, 6) AS docid, 'doc://' || collection || '/' || path AS uri, strlen(body) AS bytes, CAST(len(string_split(body, chr(10))) AS INT) AS lines FROM ({DOCS}))")
+def extract_titles(spark, sf):
+    d = tables.documents(spark, sf)
+    return d.select("id", text.title(F.col("body"), F.col("path")).alias("title"), lookup.docid().alias("docid"), lookup.uri().alias("uri"), F.octet_length("body").cast("long").alias("bytes"), F.size(F.split("body", "\n")).alias("lines"))
+
+
+@query()
+def chunk_documents(spark, sf):
+    return chunks.chunk_table(tables.documents(spark, sf))
+
+
+@query(f"SELECT id, 'title: ' || title || ' | text: ' || left(body, 100) AS input FROM ({DOCS})")
+def embedding_inputs(spark, sf):
+    return tables.documents(spark, sf).select("id", vectors.document_input(F.col("title"), F.left("body", F.lit(100))).alias("input"))
+
+
+@query()
+def snippets(spark, sf):
+    """The best lines of the best keyword results."""
+    d = tables.documents(spark, sf)
+    found = bm25.search(postings.postings(d), d, SEARCHES, 10).join(d.select("id", "body"), "id")
+
+    @F.pandas_udf("line int, snippet string")
+    def best(bodies, queries):
+        import pandas as pd
+
+        return pd.DataFrame([chunks.snippet(b, SEARCHES[q]) for b, q in zip(bodies, queries, strict=True)], columns=["line", "snippet"])
+
+    return found.select("query_id", "rank", "id", best("body", "query_id").alias("s")).select("query_id", "rank", "id", "s.*")
+
+
+@query(r"""SELECT page_id, CAST(length(body) AS INT) AS n_chars, title FROM (SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS body FROM pages)""")
+def page_text(spark, sf):
+    p = tables.table(spark, sf, "pages")
+    body = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \t\n\r]+", " "))
+    return p.select("page_id", F.length(body).alias("n_chars"), F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1).alias("title"))
+
+
+# Lookup.
+
+
+@query(f"SELECT ident, min(id) AS id FROM (SELECT left(hash, 8) AS ident, first_value(id) OVER (PARTITION BY left(hash, 8) ORDER BY collection, path) AS id FROM ({DOCS}) WHERE left(hash, 8) IN (SELECT left(sha256(text), 8) FROM documents WHERE doc_id IN (1, 2, 3))) GROUP BY ident")
+def lookup_docid(spark, sf):
+    d = tables.documents(spark, sf)
+    three = d.filter(F.col("id").isin(1, 2, 3)).select(F.left("hash", F.lit(8)).alias("ident")).distinct()
+    return lookup.by_identifier(d, three).select("ident", "id")
+
+
+@query(f"SELECT id, path FROM ({DOCS}) WHERE regexp_full_match(path, 'src(1|2)/[^/]*7\\.md')")
+def glob_match(spark, sf):
+    return lookup.by_glob(tables.documents(spark, sf), "src{1,2}/*7.md").select("id", "path")
+
+
+@query(f"SELECT v.place, v.ident, d.id, d.path, CASE WHEN d.id IS NULL THEN 'not_found' WHEN strlen(d.body) > 1500 THEN 'skipped' ELSE 'ok' END AS status FROM (VALUES (0, 'src1/1.md'), (1, 'src11/111.md'), (2, 'no/such.md'), (3, 'src2/22.md')) v(place, ident) LEFT JOIN ({DOCS}) d ON d.collection || '/' || d.path = v.ident")
+def multi_get(spark, sf):
+    return lookup.multi_get(tables.documents(spark, sf), "src1/1.md, src11/111.md, no/such.md, src2/22.md", 1500).drop("body")
+
+
+CONTEXTS = [("en", "/", "English"), ("en", "/src1", "First"), ("fr", "", "French"), ("fr", "/src19/", "Nineteen")]
+
+
+@query(f"SELECT id, string_agg(t, chr(10) || chr(10) ORDER BY length(p), p) AS context FROM ({DOCS}) d JOIN (VALUES ('en', '/', 'English'), ('en', '/src1', 'First'), ('fr', '', 'French'), ('fr', '/src19/', 'Nineteen')) c(col, p, t) ON d.collection = c.col AND starts_with('/' || d.path, c.p) GROUP BY id")
+def context_join(spark, sf):
+    return lookup.contexts(tables.documents(spark, sf), spark.createDataFrame(CONTEXTS, "collection string, prefix string, text string"))
+
+
+@query(f"SELECT path, strlen(body) AS bytes, CASE WHEN strlen(body) < 1024 THEN strlen(body) || ' B' ELSE printf('%.1f KB', strlen(body) / 1024.0::DOUBLE) END AS size FROM ({DOCS}) WHERE collection = 'en' AND starts_with(path, 'src4/')")
+def ls_sizes(spark, sf):
+    n = F.octet_length("body").cast("long")
+    return lookup.under(tables.documents(spark, sf), "en", "src4/").select("path", n.alias("bytes"), format.format_bytes(n).alias("size"))
+
+
+@query(f"SELECT id, array_to_string(list_transform(string_split(body, chr(10))[2:4], lambda x, i: (i + 1) || ': ' || x), chr(10)) AS lines FROM ({DOCS}) WHERE len(string_split(body, chr(10))) > 1")
+def line_slice(spark, sf):
+    d = tables.documents(spark, sf).filter(F.contains("body", F.lit("\n")))
+    return d.select("id", text.line_slice(F.col("body"), F.lit(2), F.lit(3), numbered=True).alias("lines"))
+
+
+@query(f"SELECT r.query_id, r.rank, '{{\"docid\":\"#' || left(d.hash, 6) || '\",\"file\":\"' || d.collection || '/' || d.path || '\",\"title\":\"' || d.title || '\"}}' AS out FROM ({bm25_sql(SEARCHES, 5)}) r JOIN ({DOCS}) d USING (id)")
+def output_json(spark, sf):
+    d = tables.documents(spark, sf)
+    found = bm25.search(postings.postings(d), d, SEARCHES, 5).join(d, "id")
+    row = F.struct(F.concat(F.lit("#"), lookup.docid()).alias("docid"), lookup.display_path().alias("file"), "title")
+    return found.select("query_id", "rank", F.to_json(row).alias("out"))
+
+
+def _output(form: str) -> None:
+    def run(spark, sf):
+        d = tables.documents(spark, sf)
+        found = bm25.search(postings.postings(d), d, SEARCHES, 5).join(d, "id")
+        row = found.select("query_id", "rank", lookup.docid().alias("docid"), lookup.display_path().alias("file"), "title", "score", F.lit(None).cast("string").alias("context"), F.lit(1).alias("line"), F.left("body", F.lit(80)).alias("snippet"), "body")
+        return format.rows_as(row, form)
+
+    run.__name__ = f"output_{form}"
+    query()(run)
+
+
+for _form in ("csv", "files", "md", "xml", "cli"):
+    _output(_form)
+
+
+# Retrieval metrics: the nearest vectors of a vector are right where they have its label.
+
+RANKED = f"SELECT query_id, rank, id AS file FROM ({nearest_sql(20, TEN)})"
+RELEVANT = "SELECT CAST(q.vec_id AS VARCHAR) AS query_id, e.vec_id AS file FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id < 10"
+PER_QUERY = f"""WITH r AS ({RANKED}), w AS ({RELEVANT}), n AS (SELECT query_id, count(DISTINCT file) AS n_relevant FROM w GROUP BY 1),
+h AS (SELECT r.query_id, rank FROM r JOIN w USING (query_id, file)),
+g AS (SELECT query_id, max(1.0::DOUBLE / rank) AS rr, count(*) FILTER (rank <= 10) AS h, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY 1)
+SELECT query_id, n_relevant, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(h, 0)::DOUBLE / n_relevant, 6) AS recall, round(coalesce(h, 0)::DOUBLE / least(10, n_relevant), 6) AS precision,
+round(CASE WHEN coalesce(h, 0) > 0 THEN 2 * (h::DOUBLE / n_relevant) * (h::DOUBLE / least(10, n_relevant)) / (h::DOUBLE / n_relevant + h::DOUBLE / least(10, n_relevant)) ELSE 0 END, 6) AS f1,
+round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n_relevant) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN g USING (query_id)"""
+
+
+def _ranked(spark, sf, k: int = 20):
+    return vectors.nearest(_embedded(spark, sf), _ten(spark, sf), k).select("query_id", "rank", F.col("id").alias("file"))
+
+
+def _relevant(spark, sf):
+    e = tables.table(spark, sf, "embeddings")
+    q = e.filter("vec_id < 10").select(F.col("vec_id").cast("string").alias("query_id"), "label")
+    return e.select("label", F.col("vec_id").alias("file")).join(F.broadcast(q), "label").select("query_id", "file")
+
+
+@query(PER_QUERY)
+def ir_metrics(spark, sf):
+    found = metrics.per_query(_ranked(spark, sf), _relevant(spark, sf), 10)
+    return found.select("query_id", "n_relevant", *(F.round(c, 6).alias(c) for c in ("reciprocal_rank", "recall", "precision", "f1", "ndcg")))
+
+
+@query(f"SELECT {', '.join(f'round(avg({c}), 5) AS {c}' for c in ('reciprocal_rank', 'recall', 'precision', 'f1', 'ndcg'))} FROM ({PER_QUERY})")
+def ir_means(spark, sf):
+    found = metrics.means(metrics.per_query(_ranked(spark, sf), _relevant(spark, sf), 10))
+    return found.select(*(F.round(c, 5).alias(c) for c in found.columns))
+
+
+OTHER = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, id AS file FROM ({})".format(nearest_sql(15, TEN))
+
+
+def _other(spark, sf):
+    from pyspark.sql.window import Window
+
+    return _ranked(spark, sf, 15).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("file")))
+
+
+@query(f"SELECT query_id, count(b.file)::DOUBLE / 10 AS overlap FROM (SELECT * FROM ({RANKED}) WHERE rank <= 10) a LEFT JOIN (SELECT * FROM ({OTHER}) WHERE rank <= 10) b USING (query_id, file) GROUP BY query_id")
+def overlap_at_k(spark, sf):
+    return metrics.overlap(_ranked(spark, sf), _other(spark, sf), 10)
+
+
+@query(f"SELECT query_id, count(*) AS n_shared, round(1 - 6 * sum((x - y) * (x - y))::DOUBLE / (count(*) * (count(*) * count(*) - 1)), 6) AS spearman FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY a.rank) AS x, row_number() OVER (PARTITION BY query_id ORDER BY b.rank) AS y FROM ({RANKED}) a JOIN ({OTHER}) b USING (query_id, file)) GROUP BY query_id")
+def spearman(spark, sf):
+    return metrics.spearman(_ranked(spark, sf), _other(spark, sf)).withColumn("spearman", F.round("spearman", 6))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
+def latency_stats(spark, sf):
+    found = metrics.latency(tables.table(spark, sf, "events"), "event_type", "value")
+    return found.select("event_type", F.round("mean", 4).alias("mean"), F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "least", "most")
+
+
+@query()
+def bootstrap(spark, sf):
+    clusters = tables.table(spark, sf, "documents").groupBy(F.col("source").alias("cluster")).agg(F.sum("n_chars").cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
+    return metrics.bootstrap(clusters)
