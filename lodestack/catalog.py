@@ -503,7 +503,7 @@ def _other(spark, sf):
     return _ranked(spark, sf, 15).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("file")))
 
 
-@query(f"SELECT query_id, count(b.file)::DOUBLE / 10 AS overlap FROM (SELECT * FROM ({RANKED}) WHERE rank <= 10) a LEFT JOIN (SELECT * FROM ({OTHER}) WHERE rank <= 10) b USING (query_id, file) GROUP BY query_id")
+@query(f"SELECT query_id, len(list_intersect(fa, fb))::DOUBLE / 10 AS overlap FROM (SELECT query_id, list(file) FILTER (rank <= 10) AS fa FROM ({RANKED}) GROUP BY query_id) JOIN (SELECT query_id, list(file) FILTER (rank <= 10) AS fb FROM ({OTHER}) GROUP BY query_id) USING (query_id)")
 def overlap_at_k(spark, sf):
     return metrics.overlap(_ranked(spark, sf), _other(spark, sf), 10)
 
