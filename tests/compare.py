@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,10 +19,10 @@ def rows(frame) -> list[tuple[str, ...]]:
     frame = frame[sorted(frame.columns)]
 
     def cell(v) -> str:
-        if v is None or v != v:
-            return "null"
         if isinstance(v, (str, bytes)):
             return str(v)
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return "null"
         try:
             return f"{float(v):.6f}"
         except (TypeError, ValueError):
