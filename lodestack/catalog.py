@@ -219,7 +219,7 @@ def bm25_scoped(spark, sf):
 
 @query()
 def bm25_stemmed(spark, sf):
-    """With Porter stems, as the reference's index has them."""
+    """With Porter stems."""
     d = tables.documents(spark, sf)
     found = bm25.search(postings.postings(d, stemmed=True), d, {"q1": "licensed", "q2": "releases rights"}, 10, stemmed=True)
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))

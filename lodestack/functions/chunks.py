@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 # Break points by kind, and their scores.
 BREAKS = {
     r"\n#(?!#)": 100, r"\n##(?!#)": 90, r"\n###(?!#)": 80, r"\n####(?!#)": 70, r"\n#####(?!#)": 60, r"\n######(?!#)": 50,
-    r"\n```": 80, r"\n(?:---|\*\*\*|___)[ \t]*\n": 60, r"\n\n+": 20, r"\n[-*][ \t]": 5, r"\n\d+\.[ \t]": 5, r"\n": 1,
+    r"\n```": 80, r"\n(?:---|\*\*\*|___)\s*\n": 60, r"\n\n+": 20, r"\n[-*]\s": 5, r"\n\d+\.\s": 5, r"\n": 1,
 }
 #: Chunk size, overlap and window in characters: at query time and for embedding.
 QUERY_SIZES, EMBED_SIZES = (3600, 540, 800), (2700, 405, 600)
@@ -69,12 +69,12 @@ def chunks(text: str, sizes: tuple[int, int, int] = EMBED_SIZES, extension: str
             end = best_cut(points, inside, start + most, window)
             if end <= start:
                 end = start + most
-            end = next((b for a, b in inside if a < end < b and b - start <= 2 * most), end)
+            end = next((b for a, b in inside if a < end < b), end)  # a fence is never cut, whatever its size
         out.append((start, text[start:end]))
         if end >= len(text):
             return out
         again = end - overlap
-        again = next((b for a, b in inside if a < again < b and b < end), again)
+        again = next((b for a, b in inside if a < again < b), again)
         start = again if again > start else max(start + 1, (start + end) // 2)
 
 
@@ -191,8 +191,13 @@ def metadata_values(found: dict) -> list[tuple[str, int, str, str | None, float
 
 
 STOP = frozenset(
-    # Words without a topic.
-    "a about an and any are as at be but by can do does for from get give had has have how i if in into is it its me more my no not of on or our show so some such tell than that the their them then there these they this to up us was we were what when where which who why will with would you your find looking".split()
+    # Words of an intent that are not looked for.
+    (
+        "am an as at be by do he if in is it me my no of on or so to up us we "
+        "all and any are but can did for get has her him his how its let may not our out the too was who why you "
+        "also does find from have into more need show some tell that them this want what when will with your "
+        "about looking notes search where which"
+    ).split()
 )
 
 
@@ -206,16 +211,27 @@ def query_terms(query: str) -> list[str]:
     return [w for w in query.lower().split() if len(w) > 2]
 
 
-def snippet(body: str, query: str, intent: str | None = None, pos: int | None = None, size: int = 3600, most: int = 500) -> tuple[int, str]:
-    """(line, text): the best line by terms near a chunk, with one line before and two after, under a `@@` header."""
-    lo, hi = (max(0, pos - 100), pos + size + 100) if pos else (0, len(body))
-    before = body[:lo].count("\n") if lo else 0
-    lines, window = body.split("\n"), body[lo:hi].split("\n")
-    terms, wanted = query_terms(query), intent_terms(intent)
+def snippet(body: str, query: str, intent: str | None = None, pos: int | None = None, size: int | None = None, most: int = 500) -> tuple[int, str]:
+    """(line, text): the line with most terms, one before and two after, under a header that says where they stand.
+
+    With a chunk's position only its neighbourhood is searched. If no term is there, a chunk at 0 may be a default, so
+    the whole text is searched; any other chunk shows its own first line, and if that is blank the whole text too.
+    """
+    near = pos is not None and pos >= 0
+    lo, hi = (max(0, pos - 100), min(len(body), pos + (size or QUERY_SIZES[0]) + 100)) if near else (0, len(body))
+    before, window = body.count("\n", 0, lo), body[lo:hi].split("\n")
+    terms, wanted = query.lower().split(), intent_terms(intent)
     scores = [sum(t in x.lower() for t in terms) + 0.3 * sum(t in x.lower() for t in wanted) for x in window]
-    best = before + max(range(len(window)), key=lambda i: (scores[i], -i))
-    a, b = max(0, best - 1), min(len(lines), best + 3)
-    text = "\n".join(lines[a:b])
+    best = scores.index(max(scores))
+    if near and scores[best] <= 0:
+        if pos == 0:
+            return snippet(body, query, intent, most=most)
+        best = body.count("\n", lo, pos)
+    a, b = max(0, best - 1), min(len(window), best + 3)
+    text = "\n".join(window[a:b])
+    if near and pos > 0 and not text.strip():
+        return snippet(body, query, intent, most=most)
     if len(text) > most:
         text = text[: most - 3] + "..."
-    return best + 1, f"@@ -{a + 1},{b - a} @@ ({a} before, {len(lines) - b} after)\n{text}"
+    above = before + a
+    return before + best + 1, f"@@ -{above + 1},{b - a} @@ ({above} before, {body.count(chr(10)) + 1 - above - (b - a)} after)\n{text}"

@@ -9,9 +9,24 @@ FORMATS = ("json", "csv", "files", "md", "xml", "cli")
 
 
 def format_bytes(n: Column) -> Column:
-    kb, mb, gb = 1024, 1024**2, 1024**3
-    one = lambda x: F.format_string("%.1f", x)
-    return F.when(n < kb, F.concat(n.cast("string"), F.lit(" B"))).when(n < mb, F.concat(one(n / kb), F.lit(" KB"))).when(n < gb, F.concat(one(n / mb), F.lit(" MB"))).otherwise(F.concat(one(n / gb), F.lit(" GB")))
+    """Bytes as a whole number, larger sizes with one decimal place."""
+    out = F.format_string("%.1f TB", n / 1024**4)
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024**power)).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+
+
+def listing_time(then: Column, now: Column) -> Column:
+    """Month and day with the time of day, or from 180 days on with the year."""
+    old = F.unix_timestamp(now) - F.unix_timestamp(then) >= 180 * 86400
+    return F.when(old, F.date_format(then, "MMM dd  yyyy")).otherwise(F.date_format(then, "MMM dd HH:mm"))
+
+
+def remaining(seconds: Column) -> Column:
+    """Seconds as 12s, 2m 3s or 1h 4m."""
+    s = F.floor(seconds + 0.5)
+    two = lambda a, x, b, y: F.concat(a.cast("string"), F.lit(f"{x} "), b.cast("string"), F.lit(y))
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, two(F.floor(s / 60), "m", s % 60, "s")).otherwise(two(F.floor(s / 3600), "h", F.floor(s % 3600 / 60), "m"))
 
 
 def time_ago(then: Column, now: Column) -> Column:
