@@ -30,22 +30,24 @@ from lodestack.llm.common import KeyRanges
 CELLS, GROW = 16, 4
 #: Paragraphs have about this many words where there are no marks.
 MEAN_WORDS = 8
+#: Characters up to which a sentence is one paragraph; longer ones are cut at words.
+LONG = 240
 _CUT = re.compile(r"[^\n.!?]*[.!?]+\s*|[^\n.!?]+\n?|\n")
-_MASK = (1 << 64) - 1
+_CHECK, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def paragraphs(text: str) -> list[str]:
     """The pieces of a text, which together are the text."""
     out = []
     for piece in _CUT.findall(text):
-        if len(piece) <= 12 * MEAN_WORDS:
+        if len(piece) <= LONG:
             out.append(piece)
             continue
         start, words = 0, piece.split(" ")
         at = 0
         for w in words:
             at += len(w) + 1
-            if xxhash.xxh32_intdigest(w) % MEAN_WORDS == 0 or at - start >= 40 * MEAN_WORDS:
+            if xxhash.xxh32_intdigest(w) % MEAN_WORDS == 0 or at - start >= 2 * LONG:
                 out.append(piece[start:at])
                 start = at
         if start < len(piece):
@@ -60,63 +62,62 @@ def digests(text: str) -> list[int]:
     for p in paragraphs(text):
         n = counts[p]
         counts[p] += 1
-        out.append(xxhash.xxh3_64_intdigest(p, seed=n))
+        # A seed would not do: short strings with different seeds collide.
+        out.append(xxhash.xxh3_64_intdigest(f"{n}\0{p}" if n else p))
     return out
 
 
 class Sketch:
-    """An invertible Bloom lookup table. A cell adds up signs and xors digest and checksum of what it holds."""
+    """An invertible Bloom lookup table. A cell adds up signs and xors digest and checksum of what it holds.
+
+    The three cells of a digest are parts of it, so the cells of a row are a power of two, 2**20 at most.
+    """
 
     __slots__ = ("cells", "counts", "sums")
 
     def __init__(self, cells: int, items: list[int] = ()) -> None:
         self.cells = cells
-        self.counts, self.sums = [0] * (3 * cells), [0] * (3 * cells)
+        counts, sums = [0] * (3 * cells), [0] * (3 * cells)
+        mask, two = cells - 1, 2 * cells
         for d in items:
-            self.add(d, 1)
-
-    @staticmethod
-    def checked(d: int) -> int:
-        """A digest with its checksum above it."""
-        return d | (((d ^ (d >> 31)) * 0x9E3779B97F4A7C15 & _MASK) >> 32) << 64
-
-    def places(self, d: int) -> tuple[int, int, int]:
-        m = self.cells
-        h = (d * 0xD6E8FEB86659FD93) & _MASK
-        return (h >> 40) % m, m + ((h >> 20) & 0xFFFFF) % m, 2 * m + (d >> 44) % m
-
-    def add(self, d: int, sign: int) -> None:
-        x = self.checked(d)
-        for i in self.places(d):
-            self.counts[i] += sign
-            self.sums[i] ^= x
+            x = d | (d * _CHECK & _MASK) >> 32 << 64
+            i, j, k = d & mask, cells + (d >> 20 & mask), two + (d >> 40 & mask)
+            counts[i] += 1
+            counts[j] += 1
+            counts[k] += 1
+            sums[i] ^= x
+            sums[j] ^= x
+            sums[k] ^= x
+        self.counts, self.sums = counts, sums
 
     def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.cells)
-        out.counts = [a - b for a, b in zip(self.counts, other.counts, strict=True)]
-        out.sums = [a ^ b for a, b in zip(self.sums, other.sums, strict=True)]
+        out = Sketch.__new__(Sketch)
+        out.cells = self.cells
+        out.counts = list(map(int.__sub__, self.counts, other.counts))
+        out.sums = list(map(int.__xor__, self.sums, other.sums))
         return out
 
     def peel(self) -> tuple[list[int], list[int]] | None:
         """The digests that only the first and only the second text has, or None if it gets stuck. Empties the table."""
         sides: tuple[list[int], list[int]] = ([], [])
-        counts, sums = self.counts, self.sums
-        queue = [i for i, c in enumerate(counts) if c in (1, -1)]
+        counts, sums, cells = self.counts, self.sums, self.cells
+        mask, two = cells - 1, 2 * cells
+        queue = [i for i, c in enumerate(counts) if c == 1 or c == -1]
         while queue:
-            i = queue.pop()
-            c = counts[i]
-            if c not in (1, -1):
+            at = queue.pop()
+            c = counts[at]
+            if c != 1 and c != -1:
                 continue
-            d = sums[i] & _MASK
-            x = self.checked(d)
-            if x != sums[i]:
+            x = sums[at]
+            d = x & _MASK
+            if x >> 64 != (d * _CHECK & _MASK) >> 32:
                 continue
             sides[c < 0].append(d)
-            for j in self.places(d):
-                counts[j] -= c
-                sums[j] ^= x
-                if counts[j] in (1, -1):
-                    queue.append(j)
+            for i in (d & mask, cells + (d >> 20 & mask), two + (d >> 40 & mask)):
+                sums[i] ^= x
+                n = counts[i] = counts[i] - c
+                if n == 1 or n == -1:
+                    queue.append(i)
         return None if any(counts) or any(sums) else sides
 
     def text(self, n: int) -> str:
