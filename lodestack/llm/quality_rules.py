@@ -170,3 +170,33 @@ def filter_documents(docs: DataFrame, labels: DataFrame, text: str = "text") ->
     cutoffs = choose_cutoffs(good)
     mine = docs.select(F.struct("*").alias("row"), counts_column(text).alias("c")).select("row", "c.*")
     return mine.filter(~base_failed() & ~rejected_by(cutoffs)).select("row.*")
+
+
+def oracle_sql() -> str:
+    """doc_id, the base counts, base_failed and kept of apply_rules() in DuckDB SQL."""
+    rules = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in RULES.items() for c in cs)
+    level = DELTA / (sum(map(len, RULES.values())) * (len(STRATA) + 1))
+    stratum_sql = " + ".join(f"(n_words >= {s})::INT" for s in STRATA)
+    per = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END"
+    stats = {
+        "symbol_ratio": per("n_symbols", "n_words"), "exclaim_ratio": per("n_exclaims", "n_words"), "upper_share": per("n_upper", "word_chars"), "same_as_before_share": per("n_same", "n_words"),
+        "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words"),
+    }
+    tall = " UNION ALL ".join(f"SELECT r, '{n}' AS rule, {x} AS v FROM d" for n, x in stats.items())
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM again, range({WINDOW}) t(j) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
+n AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(x, '[^!]', '', 'g')) AS n_exclaims,
+  length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) AS n_upper, len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS n_same
+  FROM w JOIN lines USING (r) LEFT JOIN rep USING (r)),
+d AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed, {stratum_sql} AS stratum FROM n),
+v AS ({tall}), cut(rule, c) AS (VALUES {rules}),
+good AS (SELECT r, stratum FROM d WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tried AS (SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (v > c) AS k FROM good JOIN v USING (r) JOIN cut USING (rule) GROUP BY ALL),
+fit AS (SELECT stratum, rule, min(c) AS c FROM tried WHERE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) <= {level!r} GROUP BY ALL),
+bad AS (SELECT DISTINCT r FROM d JOIN v USING (r) JOIN fit USING (stratum, rule) WHERE v > c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM d"""
