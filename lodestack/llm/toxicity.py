@@ -28,6 +28,8 @@ from lodestack.llm.common import crc_mod, staged
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 #: Features are hashed to so many numbers; so many at most are kept.
 SPACE, KEPT = 1 << 20, 8192
+#: Features for a text's number of distinct words, by doublings; always kept, as a long text has more of all others.
+SIZES = 24
 #: A feature is kept if so many positives have it and it is so many times as frequent there as in the sample.
 MIN_POSITIVE, MIN_SHARE, MIN_LIFT = 2, 0.003, 2.0
 STEPS, RATE, DECAY, SEED = 400, 0.05, 1e-4, 7
@@ -52,7 +54,11 @@ class Features:
         memo = self.memo
         if len(memo) > _SPLIT_LIMIT:
             memo.clear()
-        for w in set(_WORD.findall((text or "").lower())):
+        words = set(_WORD.findall((text or "").lower()))
+        size = SPACE + min(len(words).bit_length(), SIZES - 1)
+        if self.keep is None or size in self.keep:
+            out.add(size if self.keep is None else self.keep[size])
+        for w in words:
             found = memo.get(w)
             if found is None:
                 found = memo[w] = self.of_word(w)
@@ -112,8 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, text: str = "
     seen = rows.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
     lift = (F.col("p") / n_p) / ((F.col("u") + 0.5) / n_u)
     kept = seen.filter((F.col("p") >= max(MIN_POSITIVE, MIN_SHARE * n_p)) & (lift >= MIN_LIFT)).orderBy(F.desc(F.col("p") * F.log(lift)), "f").limit(KEPT).select("f")
-    number = {r["f"]: i for i, r in enumerate(kept.collect())}
-    slim = rows.select("positive", F.array_intersect("features", F.array(*map(F.lit, number)) if number else F.expr("cast(array() as array<int>)")).alias("f")).collect()
+    chosen_features = {r["f"] for r in kept.collect()} | set(range(SPACE, SPACE + SIZES))
+    number = {f: i for i, f in enumerate(sorted(chosen_features))}
+    slim = rows.select("positive", F.array_intersect("features", F.array(*map(F.lit, number))).alias("f")).collect()
     as_numbers = lambda fs: np.array([number[f] for f in fs], dtype="int64")
     weights, bias = fit_nnpu([as_numbers(r["f"]) for r in slim if r["positive"]], [as_numbers(r["f"]) for r in slim if not r["positive"]], len(number), prior)
     return {f: float(weights[i]) for f, i in number.items()}, bias
