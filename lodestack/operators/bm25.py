@@ -56,11 +56,11 @@ def phrase_table(spark: SparkSession, queries: dict[str, str], stemmed: bool = F
 def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
     """query_id, phrase, negated, id, field, hits: how often a phrase's tokens stand side by side in a field.
 
-    The query's tokens are few (they are its text) and broadcast; each posting is looked up by its term. Prefixes are
-    joined by their first letters' range instead. Both are map-side; only matches are shuffled.
+    The query's tokens are few (they are its text) and broadcast; each posting is looked up by its term, for prefixes by
+    its first letter. Both are map-side hash joins; only matches are shuffled.
     """
     exact = post.join(F.broadcast(phrases.filter("not prefix")), F.col("term") == F.col("token"))
-    prefix = post.join(F.broadcast(phrases.filter("prefix")), F.col("term").startswith(F.col("token")))
+    prefix = post.join(F.broadcast(phrases.filter("prefix")), (F.left("term", F.lit(1)) == F.left("token", F.lit(1))) & F.col("term").startswith(F.col("token")))
     found = exact.unionByName(prefix).select("query_id", "phrase", "negated", "n", "id", "field", (F.col("pos") - F.col("i")).alias("start"), "i")
     whole = found.groupBy("query_id", "phrase", "negated", "n", "id", "field", "start").agg(F.count(F.lit(1)).alias("have")).filter("have = n")
     return whole.groupBy("query_id", "phrase", "negated", "id", "field").agg(F.count(F.lit(1)).alias("hits"))

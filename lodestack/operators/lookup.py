@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestack.functions.text import glob_regex
 
@@ -50,12 +49,13 @@ def by_glob(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def multi_get(docs: DataFrame, pattern: str, max_bytes: int = 10_240) -> DataFrame:
-    """place, ident, id, path, status (ok, skipped, not_found) and body of a glob or a comma list; documents over max_bytes are skipped."""
+    """place, ident, id, path, status (ok, skipped, not_found) and body of a glob or a comma list; documents over max_bytes are skipped.
+
+    The place is that in the list; a glob's rows share place 0 and come by collection and path.
+    """
     spark = docs.sparkSession
     if any(c in pattern for c in "*?{"):
-        order = Window.orderBy("collection", "path")
-        found = by_glob(docs, pattern).select(F.lit(pattern).alias("ident"), "id", "collection", "path", "body")
-        found = found.withColumn("place", F.row_number().over(order) - 1).drop("collection")
+        found = by_glob(docs, pattern).select(F.lit(0).alias("place"), F.lit(pattern).alias("ident"), "id", "path", "body")
     else:
         idents = [x.strip() for x in pattern.split(",") if x.strip()]
         asked = spark.createDataFrame(list(enumerate(idents)), "place int, ident string")
