@@ -56,4 +56,8 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_invertible_sketch, op4_external_shuffle, op5_toxicity, op6_quality_model, op7_license_scan, op8_token_store, op9_pattern_packing, op10_bag_minhash)
 }
-ORACLES: dict[str, str] = {"op7_license_scan": license_scan.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.oracle_sql(),
+    "op7_license_scan": license_scan.oracle_sql(),
+    "op10_bag_minhash": near_dedup.oracle_sql(),
+}
