@@ -6,11 +6,12 @@ above the shingle's count is ignored. The points of all shingles race for the si
 documents agree in a place with the probability of their weighted Jaccard similarity, sum of minima over sum of
 maxima. Points come in order of time and a process ends once it can't win a place any more.
 
-Bands of the signature propose pairs. Texts with equal words are one node from the start. In each bucket the smallest
-key is the hub and every other node is compared with it: as many pairs as nodes. Where a bucket still holds several
-components, the short signatures of its nodes are compared in blocks, and pairs of different components that agree
-well enough are proposed too. Every proposed pair is verified on the whole texts' multisets. Components of the links
-are the classes: no pairs of a component's members are ever listed.
+Bands of the signature propose pairs. Texts with equal words are one node from the start. In each bucket the node that
+shares the most buckets with others, as a text does from which others were copied, is the hub and every other node is
+compared with it: as many pairs as nodes. Where a bucket still holds several components, the short signatures of its
+nodes are compared in blocks, pairs of different components only and each in the first band that both share; where they
+agree well enough, the pair is verified at once and only links leave the task. Every pair is verified on the whole
+texts' multisets. Components of the links are the classes: no pairs of a component's members are ever listed.
 
 Results: class_id is the smallest doc_id of the class. Rows with equal words, null and empty texts included (both have
 no words), share a class. A null doc_id stays null; a class of such rows alone has a null class_id. Of rows that
@@ -37,7 +38,7 @@ PLACES = BANDS * ROWS
 #: Share of places in which a pair must agree to be proposed from a block; at similarity 0.8 it's missed with a chance of 1e-4 at most.
 AGREE = 0.66
 #: Nodes of a block.
-BLOCK = 1500
+BLOCK = 2000
 #: Documents whose processes run together.
 TOGETHER = 250
 _MEMO = 300_000
@@ -154,24 +155,35 @@ def sketch_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, key binary, bands array<long>, short binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of keys whose texts' weighted Jaccard similarity is at least `similarity`, with it.
+def similarity_of(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags; 1 if both are empty."""
+    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    common = int(np.minimum(one[1][i], two[1][j]).sum())
+    both = int(one[1].sum() + two[1].sum()) - common
+    return common / both if both else 1.0
 
-    A node's text is that of its first document. Pairs are brought to the text of b, then to that of a, in whose order
-    they are compared, so a hub's shingles are counted once.
-    """
+
+def node_texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
+    """key and text of the nodes asked for: that of each one's first document. One shuffle of the texts, kept in the shared folder."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([key_of(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, batch.column(1)], ["doc_id", "key", "text"])
+            found = pa.array([key_of(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(1)], ["doc_id", "key", "text"])
 
-    asked = pairs.select("a").union(pairs.select("b")).withColumnRenamed("a", "key").distinct()
-    firsts = nodes.join(asked, "key", "left_semi").select("key", F.col("first_doc").alias("doc_id"))
+    firsts = nodes.join(keys, "key", "left_semi").select(F.col("key").alias("k"), F.col("first_doc").alias("f"))
     own = docs.selectExpr("cast(doc_id as bigint) doc_id", f"{text} text").mapInArrow(keyed, "doc_id long, key binary, text string")
-    found = own.join(firsts.withColumnRenamed("doc_id", "f").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("key", "text")
-    # The first document's row may be there more than once.
-    texts = staged(found.withColumn("h", F.xxhash64("text")).dropDuplicates(["key", "h"]).drop("h"), "texts")
+    found = own.join(firsts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("key", "text")
+    # The first document's row may be there more than once; rows of a key lie together after the join.
+    return staged(found.dropDuplicates(["key"]), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of keys whose texts' weighted Jaccard similarity is at least `similarity`, with it.
+
+    Pairs are brought to the text of b, then to that of a, in whose order they are compared, so a hub's shingles are
+    counted once.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, bag = Shingler(), None, None
@@ -181,11 +193,8 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: floa
                 if a != last:
                     last, bag = a, shingler.bag(words_of(text_a))
                 other = shingler.bag(words_of(text_b))
-                _, i, j = np.intersect1d(bag[0], other[0], assume_unique=True, return_indices=True)
-                common = int(np.minimum(bag[1][i], other[1][j]).sum())
-                both = int(bag[1].sum() + other[1].sum()) - common
-                if common >= similarity * both:
-                    rows.append((a, b, common / both if both else 1.0))
+                if (near := similarity_of(bag, other)) >= similarity:
+                    rows.append((a, b, near))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["a", "b", "similarity"])
 
@@ -217,20 +226,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("key"), F.col("u").alias("label")).union(edges.select(F.col("u").alias("key"), F.col("u").alias("label")).distinct())
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of a bucket (h, key, label, short) with different labels whose short signatures agree in AGREE of the places.
+def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b, similarity) between nodes of a bucket (h, band, key, label, short, text) with different labels.
 
-    Buckets are cut into blocks; a task compares two blocks at a time with numpy and lists only the pairs that agree.
+    Buckets are cut into blocks; a task compares two blocks at a time with numpy. Pairs whose short signatures agree in
+    AGREE of the places are verified, in the first band that both share.
     """
     blocks = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     placed = members.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "key", "label", "short")
+    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "key", "label", "short", "text")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = spread.repartition(partitions, "h", "i", "j").sortWithinPartitions("h", "i", "j")
     need = int(np.ceil(AGREE * PLACES))
 
-    def compared(same_block: bool, rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    def compared(same_block: bool, band: int, rows: list[tuple], shingler: Shingler) -> list[tuple[bytes, bytes, float]]:
         one = [r for r in rows if r[0]]
         two = one if same_block else [r for r in rows if not r[0]]
         if not one or not two:
@@ -240,36 +250,51 @@ def block_pairs(members: DataFrame) -> DataFrame:
             return []
         la, lb = (np.array([names[r[2]] for r in part]) for part in (one, two))
         sa, sb = (np.frombuffer(b"".join(r[3] for r in part), "u1").reshape(len(part), PLACES) for part in (one, two))
+        ba, bb = (x.reshape(-1, BANDS, ROWS).view("<u4")[:, :, 0] for x in (np.ascontiguousarray(sa), np.ascontiguousarray(sb)))
+        bags: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def bag(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+            if row[1] not in bags:
+                bags[row[1]] = shingler.bag(words_of(row[4]))
+            return bags[row[1]]
+
         out = []
         for x in range(len(one)):
             differ = np.flatnonzero(lb != la[x])
             if same_block:
                 differ = differ[differ > x]
+            if band:  # pairs that share an earlier band were compared there
+                differ = differ[~(bb[differ, :band] == ba[x, :band]).any(axis=1)]
             good = differ[(sb[differ] == sa[x]).sum(axis=1) >= need]
-            out += [(min(one[x][1], two[y][1]), max(one[x][1], two[y][1])) for y in good.tolist()]
+            for y in good.tolist():
+                near = similarity_of(bag(one[x]), bag(two[y]))
+                if near >= similarity:
+                    out.append((one[x][1], two[y][1], near))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, out = None, [], []
+        at, rows, out, of_band = None, [], [], 0
+        shingler = Shingler()
         for batch in batches:
-            for h, i, j, left, key, label, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, i, j, left, band, key, label, short, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (h, i, j) != at:
                     if at is not None:
-                        out += compared(at[1] == at[2], rows)
-                    at, rows = (h, i, j), []
-                rows.append((left, key, label, short))
+                        out += compared(at[1] == at[2], of_band, rows, shingler)
+                    at, rows, of_band = (h, i, j), [], band
+                rows.append((left, key, label, short, content))
                 if len(out) >= 10_000:
                     yield batch_of(out)
                     out = []
         if at is not None:
-            out += compared(at[1] == at[2], rows)
+            out += compared(at[1] == at[2], of_band, rows, shingler)
         if out:
             yield batch_of(out)
 
-    def batch_of(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
+    def batch_of(out: list[tuple[bytes, bytes, float]]) -> pa.RecordBatch:
+        kinds = pa.binary(), pa.binary(), pa.float64()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "similarity"])
 
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    return ordered.mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -277,22 +302,25 @@ def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     sketches = staged(sketch_documents(docs, text), "sketches")
     # One node for each word sequence; copies are gathered before they move.
     nodes = staged(sketches.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("short").alias("short")), "nodes")
-    banded = nodes.select("key", F.explode("bands").alias("h"))
-    hubs = banded.groupBy("h").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "hub")
-    buckets = staged(banded.join(hubs, "h"), "buckets")
+    banded = nodes.select("key", F.posexplode("bands").alias("band", "h"))
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = staged(banded.join(shared, "h"), "buckets")
+    mates = buckets.groupBy("key").agg(F.sum("n").alias("mates"))
+    hubs = buckets.join(mates, "key").groupBy("h").agg(F.max_by("key", F.struct("mates", "key")).alias("hub"))
+    buckets = staged(buckets.join(hubs, "h").select("h", "band", "key", "hub"), "buckets")
     pairs = staged(buckets.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = staged(verify(pairs, docs, nodes, similarity, text), "links")
+    texts = node_texts(docs, nodes, buckets.select("key").distinct(), text)
+    links = staged(verify(pairs, texts, similarity), "links")
     labels = staged(components(links), "labels")
 
     # Buckets that still hold more than one component.
-    labelled = buckets.select("h", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = buckets.select("h", "band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "short"), "key").select("h", "key", "label", "short")
-    more = staged(block_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "short"), "key").join(texts, "key").select("h", "band", "key", "label", "short", "text")
+    more = staged(block_links(rest, similarity), "links")
     if not more.isEmpty():
-        links = staged(links.unionByName(verify(more, docs, nodes, similarity, text)), "links")
+        links = staged(links.unionByName(more), "links")
         labels = staged(components(links), "labels")
-
     return sketches, nodes.select("key", "first_doc", "copies").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
@@ -319,3 +347,19 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     same = (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
     # Equal rows of the chosen document lie in one partition after the join.
     return mine.join(chosen, same, "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def oracle_sql(similarity: float = SIMILARITY) -> str:
+    """classes() in DuckDB SQL: all pairs that share a shingle, exactly, and their components. For small tables."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, array_to_string(ws[i:i + {WORDS - 1}], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {WORDS - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+c AS (SELECT r, s, count(*) AS n FROM s GROUP BY r, s), t AS (SELECT r, sum(n) AS t FROM c GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT x, y FROM p JOIN t tx ON tx.r = x JOIN t ty ON ty.r = y WHERE m::DOUBLE / (tx.t + ty.t - m) >= {similarity}
+      UNION ALL SELECT (SELECT min(r) FROM w WHERE len(ws) = 0), r FROM w WHERE len(ws) = 0),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(r, l) AS (SELECT r, r FROM w UNION SELECT b.y, reach.l FROM reach JOIN b ON b.x = reach.r),
+k AS (SELECT r, min(l) AS l FROM reach GROUP BY r),
+g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class_id, count(*) OVER (PARTITION BY l) AS class_size FROM k JOIN w USING (r))
+SELECT doc_id, class_id, class_size, doc_id IS NOT DISTINCT FROM class_id AS kept FROM g"""
