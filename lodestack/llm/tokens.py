@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -23,7 +24,6 @@ GROUP_CHARS = 2_000_000
 RUN = 200
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_LAST_MARKS = frozenset(".,;:!?")
 
 
 def ranks_of(name: str) -> dict[bytes, int]:
@@ -38,40 +38,64 @@ class WordEncoder:
     """Texts to ids (little-endian unsigned 32-bit, as bytes) through `encode_many`, which maps strings to ids.
 
     spaced: a word keeps the space before it (byte-level vocabularies); such a word with white space at an end, or
-    an empty one, makes its text be cut anew, at safe spaces only.
+    an empty one, makes its text be cut anew, at safe spaces only. A single line end between other characters parts
+    a word into pieces that are encoded on their own, as do ASCII marks after letters.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool, memo: int = MEMO) -> None:
         self.encode_many, self.spaced, self.limit = encode_many, spaced, memo
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _parts(self, word: str, lead: str) -> list[str]:
-        """The strings that a word is encoded as: letters and one closing mark apart, anything else whole."""
-        if word.isalpha():
-            return [lead + word]
-        if word[-1] in _LAST_MARKS and word[:-1].isalpha():
-            return [lead + word[:-1], word[-1]]
-        return [lead + word]
-
-    def _learn(self, words: Iterable[str], lead: str) -> dict[str, bytes | None]:
-        """Ids of words that the memo lacks; None if a word can't be encoded on its own."""
-        out: dict[str, bytes | None] = {}
-        parts = {}
+        #: Ids of words with their space before them, and of strings without one.
+        self.words: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes] = {} if spaced else self.words
+
+    def _pieces(self, word: str) -> list[str] | None:
+        """The strings that a word with other than letters is encoded as; None if it can't be on its own."""
+        if self.spaced and (word[0].isspace() or word[-1].isspace()):
+            return None
+        out: list[str] = []
+        segments = word.split("\n")
+        if self.spaced and any(not s or s[0].isspace() or s[-1].isspace() for s in segments):
+            return [word]
+        for n, s in enumerate(segments):
+            if n and self.spaced:
+                out.append("\n")
+            stem = s.rstrip(string.punctuation)
+            # A capital I with a dot ends in a mark when lowered, which would join the marks after it.
+            if len(stem) < len(s) and stem.isalpha() and stem.lower().isalpha():
+                out += stem, s[len(stem) :]
+            elif s:
+                out.append(s)
+        return out
+
+    def _encode_into(self, memo: dict, strings: Iterable[str], lead: str) -> None:
+        lacking = [s for s in strings if s not in memo]
+        memo.update(zip(lacking, self.encode_many([lead + s for s in lacking] if lead else lacking), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        """Put ids of words into the memo."""
+        known, bare = self.words, self.bare
+        first: set[str] = set()
+        later: set[str] = set()
+        composed: dict[str, list[str]] = {}
         for w in words:
-            if lead and (w[0].isspace() or w[-1].isspace()):
-                out[w] = None
+            if w.isalpha():
+                first.add(w)
+                continue
+            pieces = self._pieces(w)
+            if pieces is None:
+                known[w] = None
+            elif pieces:
+                composed[w] = pieces
+                first.add(pieces[0])
+                later.update(pieces[1:])
             else:
-                parts[w] = self._parts(w, lead)
-        wanted = {p for ps in parts.values() for p in ps}
-        if len(self.pieces) + len(wanted) > self.limit:
-            self.pieces = {}
-        lacking = [p for p in wanted if p not in self.pieces]
-        self.pieces.update(zip(lacking, self.encode_many(lacking), strict=True))
-        get = self.pieces.__getitem__
-        for w, ps in parts.items():
-            out[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        return out
+                known[w] = b""
+        self._encode_into(known, first, " " if self.spaced else "")
+        self._encode_into(bare, later, "")
+        get = bare.__getitem__
+        for w, pieces in composed.items():
+            if pieces != [w]:
+                known[w] = b"".join([known[pieces[0]], *map(get, pieces[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
@@ -88,28 +112,33 @@ class WordEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.limit:
-            self.words = {}
-        split = [t.split(" ") for t in texts]
+            self.words.clear()
+        if len(self.bare) > self.limit:
+            self.bare.clear()
         known = self.words
         known[""] = None if self.spaced else b""
-        lacking: set[str] = set()
-        for words in split:
-            lacking.update(words[1:] if self.spaced else words)
-        lacking = {w for w in lacking if w not in known}
+        split = [t.split(" ") for t in texts]
+        heads = [w.pop(0) for w in split] if self.spaced else []
+        found = [list(map(known.get, words)) for words in split]
+        holes = [[k for k, i in enumerate(ids) if i is None] for ids in found]
+        lacking = {words[k] for words, ks in zip(split, holes, strict=True) for k in ks}
+        lacking.discard("")
         if lacking:
-            known.update(self._learn(lacking, " " if self.spaced else ""))
-        get = known.__getitem__
+            self._learn(lacking)
+            for words, ids, ks in zip(split, found, holes, strict=True):
+                for k in ks:
+                    ids[k] = known[words[k]]
         if not self.spaced:
-            return [b"".join(map(get, words)) for words in split]
-        heads = self._learn({w[0] for w in split} - {""}, "") | {"": b""}
+            return list(map(b"".join, found))
+        self._encode_into(self.bare, {h for h in heads if h}, "")
         out = []
-        for text, words in zip(texts, split, strict=True):
+        for text, head, ids in zip(texts, heads, found, strict=True):
             try:
-                out.append(heads[words[0]] + b"".join(map(get, words[1:])))
+                out.append((self.bare[head] if head else b"") + b"".join(ids))
             except TypeError:  # a None: cut at safe spaces only
                 first, *rest = _SAFE.split(text)
-                found = list({" " + w for w in rest} | {first})
-                own = dict(zip(found, self.encode_many(found), strict=True))
+                strings = list({" " + w for w in rest} | {first})
+                own = dict(zip(strings, self.encode_many(strings), strict=True))
                 out.append(b"".join([own[first], *(own[" " + w] for w in rest)]))
         return out
 
@@ -126,31 +155,44 @@ def library_encoder(name: str, spaced: bool) -> WordEncoder:
     marks = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     for token, i in tokenizer.get_vocab().items():
         marks[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
+    line = tokenizer.token_to_id("\u010a")  # the line end's token
 
     def each(strings: list[str]) -> Iterable[bytes]:
         for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
-    def many(strings: list[str]) -> list[bytes]:
-        """Words of letters are encoded in runs, whose ids are cut at the marks; if the cuts aren't as many as the words, one by one."""
-        out: dict[str, bytes] = {}
-        plain = [s for s in strings if (s[:1] == " " and s[1:].isalpha() if spaced else s.isalpha())]
-        runs = [plain[at : at + RUN] for at in range(0, len(plain), RUN)]
-        sep = "" if spaced else " "
-        for run, e in zip(runs, tokenizer.encode_batch_fast([sep.join(r) for r in runs], add_special_tokens=False), strict=True):
+    def in_runs(strings: list[str], places: list[int], sep: str, out: list[bytes | None]) -> None:
+        """Encode words of letters many in one string and cut the ids between them, unless the cuts aren't as many as the words."""
+        runs = [places[at : at + RUN] for at in range(0, len(places), RUN)]
+        for run, e in zip(runs, tokenizer.encode_batch_fast([sep.join([strings[k] for k in r]) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(marks[ids])
-            if len(cuts) == len(run) and (not spaced or cuts[0] == 0):
-                ends = (np.append(cuts[1:], len(ids)) if spaced else cuts + 1) * 4
-                data, at = ids.tobytes(), 0
-                for s, end in zip(run, ends.tolist(), strict=True):
-                    out[s] = data[at:end]
-                    at = end
-        rest = [s for s in strings if s not in out]
+            if sep == "\n":
+                cuts = np.flatnonzero(ids == line)
+                begins, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            elif spaced:
+                begins = np.flatnonzero(marks[ids])
+                ends = np.append(begins[1:], len(ids))
+            else:
+                ends = np.flatnonzero(marks[ids]) + 1
+                begins = np.append(0, ends[:-1])
+            if len(begins) == len(run) and begins[0] == 0:
+                data = ids.tobytes()
+                for k, b, e in zip(run, (begins * 4).tolist(), (ends * 4).tolist(), strict=True):
+                    out[k] = data[b:e]
+
+    def many(strings: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(strings)
+        if spaced:
+            in_runs(strings, [k for k, s in enumerate(strings) if s[0] == " " and s[1:].isalpha()], "", out)
+            in_runs(strings, [k for k, s in enumerate(strings) if s.isalpha()], "\n", out)
+        else:
+            in_runs(strings, [k for k, s in enumerate(strings) if s.isalpha()], " ", out)
+        rest = [k for k, ids in enumerate(out) if ids is None]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            out.update(zip(part, each(part), strict=True))
-        return [out[s] for s in strings]
+            for k, ids in zip(part, each([strings[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
 
     return WordEncoder(many, spaced)
 
