@@ -227,15 +227,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b, similarity) between nodes of a bucket (h, band, key, label, short, text) with different labels.
+    """Links (a, b, similarity) between nodes of a bucket (h, band, key, label, short, bands, text) with different labels.
 
     Buckets are cut into blocks; a task compares two blocks at a time with numpy. Pairs whose short signatures agree in
-    AGREE of the places are verified, in the first band that both share.
+    AGREE of the places are verified, in the first band whose bucket holds both.
     """
     blocks = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     placed = members.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "key", "label", "short", "text")
+    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "key", "label", "short", "bands", "text")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = spread.repartition(partitions, "h", "i", "j").sortWithinPartitions("h", "i", "j")
     need = int(np.ceil(AGREE * PLACES))
@@ -250,12 +250,12 @@ def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             return []
         la, lb = (np.array([names[r[2]] for r in part]) for part in (one, two))
         sa, sb = (np.frombuffer(b"".join(r[3] for r in part), "u1").reshape(len(part), PLACES) for part in (one, two))
-        ba, bb = (x.reshape(-1, BANDS, ROWS).view("<u4")[:, :, 0] for x in (np.ascontiguousarray(sa), np.ascontiguousarray(sb)))
+        ba, bb = (np.array([r[4] for r in part], dtype="int64") for part in (one, two))
         bags: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
         def bag(row: tuple) -> tuple[np.ndarray, np.ndarray]:
             if row[1] not in bags:
-                bags[row[1]] = shingler.bag(words_of(row[4]))
+                bags[row[1]] = shingler.bag(words_of(row[5]))
             return bags[row[1]]
 
         out = []
@@ -263,7 +263,7 @@ def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             differ = np.flatnonzero(lb != la[x])
             if same_block:
                 differ = differ[differ > x]
-            if band:  # pairs that share an earlier band were compared there
+            if band:  # pairs that lie in an earlier band's bucket were compared there
                 differ = differ[~(bb[differ, :band] == ba[x, :band]).any(axis=1)]
             good = differ[(sb[differ] == sa[x]).sum(axis=1) >= need]
             for y in good.tolist():
@@ -276,12 +276,12 @@ def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         at, rows, out, of_band = None, [], [], 0
         shingler = Shingler()
         for batch in batches:
-            for h, i, j, left, band, key, label, short, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, i, j, left, band, key, label, short, bands, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (h, i, j) != at:
                     if at is not None:
                         out += compared(at[1] == at[2], of_band, rows, shingler)
                     at, rows, of_band = (h, i, j), [], band
-                rows.append((left, key, label, short, content))
+                rows.append((left, key, label, short, bands, content))
                 if len(out) >= 10_000:
                     yield batch_of(out)
                     out = []
@@ -316,7 +316,7 @@ def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     # Buckets that still hold more than one component.
     labelled = buckets.select("h", "band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "short"), "key").join(texts, "key").select("h", "band", "key", "label", "short", "text")
+    rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "short", "bands"), "key").join(texts, "key").select("h", "band", "key", "label", "short", "bands", "text")
     more = staged(block_links(rest, similarity), "links")
     if not more.isEmpty():
         links = staged(links.unionByName(more), "links")
