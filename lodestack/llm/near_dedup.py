@@ -8,10 +8,10 @@ maxima. Points come in order of time and a process ends once it can't win a plac
 
 Bands of the signature propose pairs. Texts with equal words are one node from the start. In each bucket the node that
 shares the most buckets with others, as a text does from which others were copied, is the hub and every other node is
-compared with it: as many pairs as nodes. Where a bucket still holds several components, the short signatures of its
-nodes are compared in blocks, pairs of different components only and each in the first band that both share; where they
-agree well enough, the pair is verified at once and only links leave the task. Every pair is verified on the whole
-texts' multisets. Components of the links are the classes: no pairs of a component's members are ever listed.
+compared with it: as many pairs as nodes. Where a bucket still holds several components, its nodes are compared in
+blocks, all pairs of different components and each in the first band that both share; a pair is verified at once and
+only links leave the task. Every pair is verified on the whole texts' multisets. Components of the links are the
+classes: no pairs of a component's members are ever listed.
 
 Results: class_id is the smallest doc_id of the class. Rows with equal words, null and empty texts included (both have
 no words), share a class. A null doc_id stays null; a class of such rows alone has a null class_id. Of rows that
@@ -35,10 +35,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair at the similarity is in no common bucket with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
 PLACES = BANDS * ROWS
-#: Share of places in which a pair must agree to be proposed from a block; at similarity 0.8 it's missed with a chance of 1e-4 at most.
-AGREE = 0.66
 #: Nodes of a block.
 BLOCK = 2000
+#: Shingles that are compared with a node's at once.
+AT_ONCE = 1_000_000
 #: Documents whose processes run together.
 TOGETHER = 250
 _MEMO = 300_000
@@ -131,7 +131,7 @@ def key_of(words: list[bytes]) -> bytes:
 
 
 def sketch_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key, bands and short (8 bits a place) of every whole text; a text without words has no bands."""
+    """doc_id, key and bands of every whole text; a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -141,18 +141,16 @@ def sketch_documents(docs: DataFrame, text: str = "text") -> DataFrame:
                 words = [words_of(t) for t in batch.column(1).to_pylist()]
                 found = bag_minhash([shingler.bag(w) for w in words])
                 bands = band_hashes(found)
-                short = (_mix(found.view("uint64")) >> _U(56)).astype("uint8")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([key_of(w) for w in words], pa.binary()),
                         pa.array([b if w else [] for b, w in zip(bands, words, strict=True)], pa.list_(pa.int64())),
-                        pa.array([s.tobytes() for s in short], pa.binary()),
                     ],
-                    ["doc_id", "key", "bands", "short"],
+                    ["doc_id", "key", "bands"],
                 )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, key binary, bands array<long>, short binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def similarity_of(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -163,6 +161,43 @@ def similarity_of(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.
     return common / both if both else 1.0
 
 
+class Bags:
+    """Bags end to end, to compare one bag with many of them exactly."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.begins = np.cumsum([0, *(len(b[0]) for b in bags)])
+        self.counts = np.concatenate([b[1] for b in bags])
+        self.total = np.add.reduceat(self.counts, self.begins[:-1])
+        self.known, at = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+        self.at = at.astype("int32")
+        self.mine = np.zeros(len(self.known), dtype="int64")
+
+    def bag(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.begins[k], self.begins[k + 1])
+        return self.known[self.at[part]], self.counts[part]
+
+    def similarities(self, bag: tuple[np.ndarray, np.ndarray], others: np.ndarray, least: float) -> np.ndarray:
+        """similarity_of(bag, other) for each of the others' numbers; 0 where the totals alone put it below `least`."""
+        out = np.zeros(len(others))
+        total = int(bag[1].sum())
+        theirs = self.total[others]
+        open_ = np.flatnonzero(np.minimum(theirs, total) / np.maximum(theirs, total) >= least)
+        if not len(open_):
+            return out
+        at = np.minimum(np.searchsorted(self.known, bag[0]), len(self.known) - 1)
+        same = self.known[at] == bag[0]
+        self.mine[at[same]] = bag[1][same]
+        size = np.diff(self.begins)[others[open_]]
+        for part in np.split(open_, np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE)) + 1):
+            n = np.diff(self.begins)[others[part]]
+            starts = np.cumsum(n) - n
+            i = np.arange(n.sum()) + np.repeat(self.begins[others[part]] - starts, n)
+            common = np.add.reduceat(np.minimum(self.mine[self.at[i]], self.counts[i]), starts)
+            out[part] = common / (total + self.total[others[part]] - common)
+        self.mine[at[same]] = 0
+        return out
+
+
 def node_texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
     """key and text of the nodes asked for: that of each one's first document. One shuffle of the texts, kept in the shared folder."""
 
@@ -227,18 +262,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b, similarity) between nodes of a bucket (h, band, key, label, short, bands, text) with different labels.
+    """Links (a, b, similarity) between nodes of a bucket (h, band, key, label, bands, text) with different labels.
 
-    Buckets are cut into blocks; a task compares two blocks at a time with numpy. Pairs whose short signatures agree in
-    AGREE of the places are verified, in the first band whose bucket holds both.
+    Buckets are cut into blocks; a task compares two blocks at a time with numpy: every pair, by its texts' multisets, in
+    the first band whose bucket holds both.
     """
     blocks = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     placed = members.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "key", "label", "short", "bands", "text")
+    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "key", "label", "bands", "text")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = spread.repartition(partitions, "h", "i", "j").sortWithinPartitions("h", "i", "j")
-    need = int(np.ceil(AGREE * PLACES))
 
     def compared(same_block: bool, band: int, rows: list[tuple], shingler: Shingler) -> list[tuple[bytes, bytes, float]]:
         one = [r for r in rows if r[0]]
@@ -249,39 +283,30 @@ def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         if len(names) < 2:
             return []
         la, lb = (np.array([names[r[2]] for r in part]) for part in (one, two))
-        sa, sb = (np.frombuffer(b"".join(r[3] for r in part), "u1").reshape(len(part), PLACES) for part in (one, two))
-        ba, bb = (np.array([r[4] for r in part], dtype="int64") for part in (one, two))
-        bags: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-        def bag(row: tuple) -> tuple[np.ndarray, np.ndarray]:
-            if row[1] not in bags:
-                bags[row[1]] = shingler.bag(words_of(row[5]))
-            return bags[row[1]]
-
+        ba, bb = (np.array([r[3] for r in part], dtype="int64") for part in (one, two))
+        bags_b = Bags([shingler.bag(words_of(r[4])) for r in two])
+        bags_a = [bags_b.bag(y) for y in range(len(two))] if same_block else [shingler.bag(words_of(r[4])) for r in one]
         out = []
-        for x in range(len(one)):
+        for x, bag in enumerate(bags_a):
             differ = np.flatnonzero(lb != la[x])
             if same_block:
                 differ = differ[differ > x]
             if band:  # pairs that lie in an earlier band's bucket were compared there
                 differ = differ[~(bb[differ, :band] == ba[x, :band]).any(axis=1)]
-            good = differ[(sb[differ] == sa[x]).sum(axis=1) >= need]
-            for y in good.tolist():
-                near = similarity_of(bag(one[x]), bag(two[y]))
-                if near >= similarity:
-                    out.append((one[x][1], two[y][1], near))
+            near = bags_b.similarities(bag, differ, similarity)
+            out += [(one[x][1], two[y][1], s) for y, s in zip(differ.tolist(), near.tolist(), strict=True) if s >= similarity]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out, of_band = None, [], [], 0
         shingler = Shingler()
         for batch in batches:
-            for h, i, j, left, band, key, label, short, bands, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, i, j, left, band, key, label, bands, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (h, i, j) != at:
                     if at is not None:
                         out += compared(at[1] == at[2], of_band, rows, shingler)
                     at, rows, of_band = (h, i, j), [], band
-                rows.append((left, key, label, short, bands, content))
+                rows.append((left, key, label, bands, content))
                 if len(out) >= 10_000:
                     yield batch_of(out)
                     out = []
@@ -301,7 +326,7 @@ def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     """The documents' keys (doc_id, key, ...), and key, first_doc, copies and label of every node; equal labels are a class."""
     sketches = staged(sketch_documents(docs, text), "sketches")
     # One node for each word sequence; copies are gathered before they move.
-    nodes = staged(sketches.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("short").alias("short")), "nodes")
+    nodes = staged(sketches.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("key", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = staged(banded.join(shared, "h"), "buckets")
@@ -316,7 +341,7 @@ def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     # Buckets that still hold more than one component.
     labelled = buckets.select("h", "band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "short", "bands"), "key").join(texts, "key").select("h", "band", "key", "label", "short", "bands", "text")
+    rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "bands"), "key").join(texts, "key").select("h", "band", "key", "label", "bands", "text")
     more = staged(block_links(rest, similarity), "links")
     if not more.isEmpty():
         links = staged(links.unionByName(more), "links")
