@@ -256,6 +256,16 @@ def vec_topk(spark, sf):
     return vectors.nearest(_embedded(spark, sf), _ten(spark, sf), 10).withColumn("distance", F.round("distance", 6))
 
 
+FIFTIETH = "SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, FIFTIETH)})")
+def vec_topk_fiftieth(spark, sf):
+    """vec_topk for every fiftieth vector, as many as the table has."""
+    queries = tables.table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    return vectors.nearest(_embedded(spark, sf), queries, 10).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, TEN, '(SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE lang IN (' + chr(39) + 'en' + chr(39) + '))')})")
 def vec_scoped(spark, sf):
     pool = _embedded(spark, sf).join(tables.documents(spark, sf).filter(lookup.scope("en", [])).select("id"), "id", "left_semi")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors of one plan: they travel with its tasks.
-MAX_QUERIES = 10_000
+#: Query vectors that are compared at once: a block of them travels with each copy of the vectors' tasks.
+QUERY_BLOCK = 10_000
+#: Of these, so many meet a batch of vectors at once.
+TOGETHER = 500
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -24,11 +27,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, distance: the k nearest rows of vectors (id, embedding) to each of queries (query_id, embedding).
 
     Every batch keeps its own k nearest, so the shuffle sees k rows a query and batch. Null and zero vectors are no
-    one's neighbours. The query vectors are given by the caller and at most MAX_QUERIES.
+    one's neighbours. The query vectors pass the driver and the vectors in blocks of QUERY_BLOCK.
     """
-    rows = queries.select("query_id", "embedding").filter("embedding is not null").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors")
+    mine = vectors.selectExpr("cast(id as bigint) id", "embedding").filter("embedding is not null")
+    rows = queries.select("query_id", "embedding").filter("embedding is not null").toLocalIterator()
+    found = None
+    while (block := list(itertools.islice(rows, QUERY_BLOCK))) or found is None:
+        part = _partial(mine, block, k)
+        found = part if found is None else found.union(part)
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def _partial(vectors: DataFrame, rows: list[Row], k: int) -> DataFrame:
+    """query_id, id, distance: what each batch of vectors keeps for the queries of a block."""
     names = [r["query_id"] for r in rows]
     unit = _unit(np.array([r["embedding"] for r in rows], dtype="float64")) if rows else np.empty((0, 0))
 
@@ -42,16 +54,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             ids, x = ids[size > 0], x[size > 0]
             if not len(ids):
                 continue
-            d = 1 - unit @ _unit(x).T
-            best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(names), 1))
-            # Ties with the k-th nearest are all kept; the window breaks them by id.
-            worst = np.take_along_axis(d, best, 1).max(axis=1)
-            q, j = np.nonzero(d <= worst[:, None] + 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q]), pa.array(ids[j]), pa.array(d[q, j])], ["query_id", "id", "distance"])
-
-    found = vectors.selectExpr("cast(id as bigint) id", "embedding").filter("embedding is not null").mapInArrow(run, "query_id string, id long, distance double")
-    order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+            x = _unit(x).T
+            for at in range(0, len(names), TOGETHER):
+                d = 1 - unit[at : at + TOGETHER] @ x
+                best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
+                # Ties with the k-th nearest are all kept; the window breaks them by id.
+                worst = np.take_along_axis(d, best, 1).max(axis=1)
+                q, j = np.nonzero(d <= worst[:, None] + 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array([names[at + i] for i in q]), pa.array(ids[j]), pa.array(d[q, j])], ["query_id", "id", "distance"])
+
+    return vectors.mapInArrow(run, "query_id string, id long, distance double")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
