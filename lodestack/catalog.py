@@ -385,6 +385,12 @@ def embedding_inputs(spark, sf):
     return tables.documents(spark, sf).select("id", vectors.document_input(F.col("title"), F.left("body", F.lit(100))).alias("input"))
 
 
+@query(f"SELECT id, 'title: ' || title || ' | text: ' || body AS input FROM ({DOCS})")
+def embedding_inputs_whole(spark, sf):
+    """embedding_inputs has the first 100 characters only; this has the whole text."""
+    return tables.documents(spark, sf).select("id", vectors.document_input(F.col("title"), F.col("body")).alias("input"))
+
+
 @query()
 def snippets(spark, sf):
     """The best lines of the best keyword results."""
