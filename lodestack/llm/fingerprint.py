@@ -8,8 +8,10 @@ texts are sketched in larger tables and it is tried again.
 
 The likeness of two texts is the share of common paragraphs, 2 * common / (both counts), from the counts and the
 number of recovered differences: 1 for equal texts, 0 for texts without a common paragraph. Null counts as the empty
-text, whose table is empty; two empty texts have likeness 1. Rows of equal doc_id follow each other by text; null ids
-come last.
+text, whose table is empty; two empty texts have likeness 1. A very long text has as many paragraphs as it needs; its
+table stays as small until a comparison asks for more. Rows of equal doc_id, repeated rows too, follow each other by a
+hash of the text; an id with very many rows has several ranges. Null ids come last. Other columns of the table,
+whatever their names, are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import KeyRanges
+from lodestack.llm.common import NULL_ID, KeyRanges, range_count, trimmed
 
 #: Cells of each row of the table that is stored, and how much larger each further try is.
 CELLS, GROW = 16, 4
@@ -190,17 +192,22 @@ def compare_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     range, so a task sees each document beside its next one.
     """
     spark = docs.sparkSession
-    cut = KeyRanges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("range", cut.column())
-    # The first document of each range: one row a range.
-    heads = {r["range"]: r["head"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("head")).collect()}
+    cut = KeyRanges(docs.select("doc_id"), range_count(docs))
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    # Spark's own hash of the text orders rows of equal ids; only rows that are equal in both are told apart by nothing.
+    placed = mine.withColumn("range", cut.column()).withColumn("tie", F.xxhash64("text"))
+    order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), F.col("tie"))
+    # The first document of each range, by descending id: one row a range, without its text.
+    heads = {r["range"]: (r["doc_id"], r["tie"]) for r in placed.groupBy("range").agg(F.max(order).alias("o"), F.max_by("doc_id", order).alias("doc_id")).select("range", "doc_id", "o.tie").collect()}
     filled = sorted(heads, reverse=True)
     # A head also goes to the range that comes before it in descending order; the very first to the last range.
-    lent = [(heads[r], r, filled[i - 1]) for i, r in enumerate(filled)]
-    loans = F.broadcast(spark.createDataFrame(lent, "head long, own int, to int"))
-    first = placed.join(loans, (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("lent"))
-    both = placed.withColumn("lent", F.lit(False)).unionByName(first)
-    ordered = both.repartitionById(cut.n, "range").sortWithinPartitions(F.desc("range"), "lent", F.desc_nulls_last("doc_id"), "text")
+    lent = [(*heads[r], r, filled[i - 1]) for i, r in enumerate(filled)]
+    loans = F.broadcast(spark.createDataFrame(lent, "head long, head_tie long, own int, to int"))
+    same = (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
+    # Of equal rows one is lent.
+    first = placed.join(loans, same).groupBy(F.col("to").alias("range")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
+    both = placed.withColumn("lent", F.lit(False)).unionByName(first.withColumn("lent", F.lit(True)))
+    ordered = both.repartitionById(cut.n, "range").sortWithinPartitions(F.desc("range"), "lent", F.desc_nulls_last("doc_id"), F.desc("tie"), "text").select("doc_id", "text", "range", "lent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _OUT.split(", ")]
@@ -228,4 +235,4 @@ def compare_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         sha = hashlib.sha256(edited.encode()).hexdigest()
         return one[0], len(one[1]), sha, one[3].fingerprint(), changed.fingerprint(), near_edited, near_next, differ_edited, differ_next
 
-    return ordered.mapInArrow(run, _OUT)
+    return ordered.mapInArrow(trimmed(run), _OUT)

@@ -6,7 +6,10 @@ place of an id's next chunk, so any token is read without decoding what stands b
 
 A file of the store is a row of a Parquet table in the shared folder: the code of about a million tokens (`codes`),
 with the documents it holds and where they end. Files of a range of doc_id follow each other; ranges are in
-ascending order, null ids first. An empty text is its end id alone. Equal ids stand side by side, ordered by text.
+ascending order. Null ids come first. Null and empty texts are the end id alone; a long text may fill a file of its
+own. Equal ids stand side by side, ordered by text within a range; an id with very many rows, equal ones too, has
+several ranges. Other columns of the table, whatever their names, are not looked at. An empty table gives an empty
+store.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import KeyRanges, work_dir
+from lodestack.llm.common import KeyRanges, range_count, trimmed, work_dir
 from lodestack.llm.tokens import library_encoder, worker_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -92,7 +95,8 @@ class Codes:
         return above
 
 
-_FILE = "range int, file int, first long, doc_ids array<long>, ends array<long>, codes binary"
+#: first_id and last_id (of the non-null ids) let a reader skip files.
+_FILE = "range int, file int, first long, first_id long, last_id long, doc_ids array<long>, ends array<long>, codes binary"
 
 
 def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY, ranges: int | None = None, text: str = "text") -> str:
@@ -102,7 +106,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY
     """
     spark = docs.sparkSession
     path = path or work_dir(spark, "tokens")
-    cut = KeyRanges(docs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = KeyRanges(docs.select("doc_id"), ranges or range_count(docs))
     placed = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
         .withColumn("range", cut.column())
@@ -120,11 +124,12 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY
 
         def full() -> pa.RecordBatch:
             codes = pack(np.frombuffer(b"".join(held), dtype="<u4"))
-            row = [state["range"]], [state["file"]], [state["first"]], [list(ids)], [list(ends)], [codes]
-            kinds = pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
+            some = [i for i in ids if i is not None]
+            row = [state["range"]], [state["file"]], [state["first"]], [min(some, default=None)], [max(some, default=None)], [list(ids)], [list(ends)], [codes]
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
             state.update(file=state["file"] + 1, first=state["first"] + state["n"], n=0)
             held.clear(), ids.clear(), ends.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["range", "file", "first", "doc_ids", "ends", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in _FILE.split(", ")])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -142,7 +147,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY
         if held:
             yield full()
 
-    placed.mapInArrow(run, _FILE).write.parquet(path)
+    placed.mapInArrow(trimmed(run), _FILE).write.parquet(path)
     return path
 
 
@@ -181,12 +186,13 @@ def _read(spark: SparkSession, path: str, of, field: str, kind: pa.DataType) ->
                     ["doc_id", "start", "n_tokens", field.split()[0]],
                 )
 
-    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
+    return files.mapInArrow(trimmed(run), f"doc_id long, start long, n_tokens long, {field}")
 
 
 def token_at(spark: SparkSession, path: str, doc_id: int, i: int) -> int | None:
-    """Token i of a document, read from its file alone; None if there is none."""
-    row = spark.read.schema(_FILE).parquet(path).filter(F.array_contains("doc_ids", doc_id)).first()
+    """Token i of a document, read from its file alone; None if there is none. Of equal ids, the first document counts."""
+    near = F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))
+    row = spark.read.schema(_FILE).parquet(path).filter(near & F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("range", "file").first()
     if row is None:
         return None
     k = row["doc_ids"].index(doc_id)

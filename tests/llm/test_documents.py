@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -86,7 +87,8 @@ def test_peeling_recovers_the_difference(a, b):
 
 def test_op3(docs, rows, empty):
     got = fingerprint.compare_documents(docs).collect()
-    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    tie = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1]]))
     want = Counter()
     prints = {}
     for i, (doc_id, text) in enumerate(ordered):
