@@ -5,6 +5,10 @@ its own bytes, and BPE leaves the pair (last token of the prefix before t, t) as
 token for each prefix, so bytes can be appended, cut off or replaced, and only prefixes after the change are
 computed again; the ids are read from the end backwards. TextState does the same for a whole text whose pattern
 matches (pieces) are encoded separately.
+
+Documents are encoded where they are, without a shuffle: a null text counts as empty, an empty one has no ids, a very
+long one is encoded whole, and repeated rows each give a row. Other columns, whatever their names, are not looked at.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestack.llm.common import trimmed
 from lodestack.llm.tokens import WordEncoder, ranks_of, worker_encoder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -223,7 +228,8 @@ def text_encoder(vocabulary: Vocabulary, pattern: str) -> WordEncoder:
     """Whole texts by prefix tables of their pieces."""
     find = regex.compile(pattern).findall
 
-    def many(strings: list[str]) -> list[bytes]:
+    def many(strings: list[str], lead: str) -> list[bytes]:
+        strings = [lead + s for s in strings]
         # A surrogate can't stand in a Spark string, so encoding doesn't fail.
         found = [[s.encode()] if len(s) > 1 and s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else [p.encode() for p in find(s)] for s in strings]
         ids = encode_pieces(vocabulary, {p for ps in found for p in ps}).__getitem__
@@ -260,7 +266,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str =
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
@@ -281,7 +287,7 @@ def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str =
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _worker(name: str) -> tuple[WordEncoder, Vocabulary]:

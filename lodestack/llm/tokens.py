@@ -1,13 +1,19 @@
 """Whole texts to token ids, a word at a time with a bounded memo.
 
-A byte-level pattern never matches across a single space that stands between two non-space characters, and the
-word-level pattern never matches across any space; so words are encoded on their own and their ids joined. The ids
-are exactly those of the whole text.
+A byte-level pattern never matches across a single space or line end that stands between two non-space characters,
+and the word-level pattern never matches across either; so words are encoded on their own and their ids joined. The
+ids are exactly those of the whole text. A text that holds an added token's string is encoded whole by the library,
+which makes one id of it.
+
+A memo is two generations of words: when the young one is full it becomes the old one, whose words move up as they
+are met again. So frequent words stay, and its bytes are bounded. Empty texts have no ids; very long ones are split
+like any others.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import os
 import re
 import string
@@ -16,14 +22,21 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Words and pieces that a memo holds before it starts anew.
-MEMO = 1_200_000
-#: Characters of the texts that are split at once.
-GROUP_CHARS = 2_000_000
-#: Words that the library encodes in one string.
+#: Bytes that the words and ids of one memo take, in both generations.
+MEMO_BYTES = 224 << 20
+#: Bytes of an entry besides the characters and ids: two object heads and the dictionary's own.
+ENTRY = 190
+#: Words that the library's model gets in one string.
 RUN = 200
+#: Characters of the texts that are split at once.
+GROUP_CHARS = 1_500_000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+#: Lines of letters that no normaliser joins or parts and that are letters in every Unicode version.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u4e00-\u9fa5\n]+")
+#: What stands before a line end in a word that begins a line: "\0\n" at a word's start is always such a mark.
+_OPENS = "\0\n"
 
 
 def ranks_of(name: str) -> dict[bytes, int]:
@@ -34,68 +47,105 @@ def ranks_of(name: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Memo:
+    """Strings and their ids, in two generations of together at most `limit` bytes (and one group of texts more)."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.size = limit, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Make room, between groups."""
+        if self.size > self.limit // 2:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def add(self, strings: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(strings, ids, strict=True))
+        self.size += ENTRY * len(strings) + sum(map(len, strings)) + sum(map(len, ids))
+
+    def recall(self, lacking: set[str]) -> set[str]:
+        """Those of strings that the young generation lacks which the old one lacks too; the others move up."""
+        old = self.old
+        if not old or not (again := [s for s in lacking if s in old]):
+            return lacking
+        self.add(again, [old[s] for s in again])
+        return lacking.difference(again)
+
+
 class WordEncoder:
-    """Texts to ids (little-endian unsigned 32-bit, as bytes) through `encode_many`, which maps strings to ids.
+    """Texts to ids (little-endian unsigned 32-bit, as bytes) through `encode_many`, which maps strings, each with the
+    lead that it is given (a space or nothing) before it, to ids.
 
     spaced: a word keeps the space before it (byte-level vocabularies); such a word with white space at an end, or
-    an empty one, makes its text be cut anew, at safe spaces only. A single line end between other characters parts
-    a word into pieces that are encoded on their own, as do ASCII marks after letters.
+    an empty one, makes its text be cut anew, at safe spaces only. ASCII marks after letters are encoded apart from
+    them. whole: strings whose texts `encode_many` gets as they are.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], spaced: bool, memo: int = MEMO) -> None:
-        self.encode_many, self.spaced, self.limit = encode_many, spaced, memo
+    def __init__(self, encode_many: Callable[[list[str], str], list[bytes]], spaced: bool, memo: int = MEMO_BYTES, whole: Iterable[str] = ()) -> None:
+        self.encode_many, self.spaced, self.whole = encode_many, spaced, tuple(whole)
         #: Ids of words with their space before them, and of strings without one.
-        self.words: dict[str, bytes | None] = {}
-        self.bare: dict[str, bytes] = {} if spaced else self.words
-
-    def _pieces(self, word: str) -> list[str] | None:
-        """The strings that a word with other than letters is encoded as; None if it can't be on its own."""
-        if self.spaced and (word[0].isspace() or word[-1].isspace()):
-            return None
-        out: list[str] = []
-        segments = word.split("\n")
-        if self.spaced and any(not s or s[0].isspace() or s[-1].isspace() for s in segments):
-            return [word]
-        for n, s in enumerate(segments):
-            if n and self.spaced:
-                out.append("\n")
-            stem = s.rstrip(string.punctuation)
-            # A capital I with a dot ends in a mark when lowered, which would join the marks after it.
-            if len(stem) < len(s) and stem.isalpha() and stem.lower().isalpha():
-                out += stem, s[len(stem) :]
-            elif s:
-                out.append(s)
-        return out
+        self.words = Memo(memo if not spaced else memo * 3 // 4)
+        self.bare = self.words if not spaced else Memo(memo // 4)
+
+    def _words(self, text: str) -> list[str]:
+        """A text's words; one that begins a line has _OPENS before it."""
+        if not self.spaced:
+            return text.replace("\n", " ").split(" ")
+        if "\n" not in text:
+            return text.split(" ")
+        if "\n\n" in text or "\n " in text or " \n" in text:
+            return _LINE.sub(" \0\n", text).split(" ")
+        return text.replace("\n", " \0\n").split(" ")
+
+    def _encode_into(self, memo: Memo, strings: set[str], lead: str) -> None:
+        """Put strings into a memo, those that it lacks, with `lead` before each."""
+        if lacking := list(memo.recall({s for s in strings if s not in memo.young})):
+            memo.add(lacking, self.encode_many(lacking, lead))
 
-    def _encode_into(self, memo: dict, strings: Iterable[str], lead: str) -> None:
-        lacking = [s for s in strings if s not in memo]
-        memo.update(zip(lacking, self.encode_many([lead + s for s in lacking] if lead else lacking), strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        """Put ids of words into the memo."""
-        known, bare = self.words, self.bare
-        first: set[str] = set()
-        later: set[str] = set()
-        composed: dict[str, list[str]] = {}
-        for w in words:
+    def _learn(self, lacking: set[str]) -> None:
+        """Put ids of words that the memo lacks into it; those that can't be encoded on their own stay out."""
+        spaced, words, bare = self.spaced, self.words, self.bare
+        lead, marks = " " if spaced else "", string.punctuation
+        lacking = words.recall(lacking)
+        plain = [w for w in lacking if w.isalpha()]
+        whole: set[str] = set()
+        later: set[str] = {"\n"}
+        #: Words of several parts: those that begin with a spaced word, and those of a line's start.
+        marked: list[tuple[str, str, str]] = []
+        opening: list[tuple[str, str, str]] = []
+        for w in lacking:
             if w.isalpha():
-                first.add(w)
                 continue
-            pieces = self._pieces(w)
-            if pieces is None:
-                known[w] = None
-            elif pieces:
-                composed[w] = pieces
-                first.add(pieces[0])
-                later.update(pieces[1:])
-            else:
-                known[w] = b""
-        self._encode_into(known, first, " " if self.spaced else "")
+            stem = w.rstrip(marks)
+            # A capital I with a dot ends in a mark when lowered, which would join the marks after it.
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                marked.append((w, stem, w[len(stem) :]))
+                continue
+            if not spaced:
+                whole.add(w)
+            elif w.startswith(_OPENS):
+                stem = stem[2:]
+                if stem.isalpha():
+                    opening.append((w, stem, w[len(stem) + 2 :]))
+                elif (stem := w[2:]) and not stem[0].isspace() and not stem[-1].isspace():
+                    opening.append((w, stem, ""))
+            elif not w[0].isspace() and not w[-1].isspace():
+                whole.add(w)
+        if plain:
+            words.add(plain, self.encode_many(plain, lead))
+        whole.update([s for _, s, _ in marked])
+        later.update([m for _, _, m in marked])
+        later.update([s for _, s, _ in opening], [m for _, _, m in opening])
+        later.discard("")
+        self._encode_into(words, whole, lead)
         self._encode_into(bare, later, "")
-        get = bare.__getitem__
-        for w, pieces in composed.items():
-            if pieces != [w]:
-                known[w] = b"".join([known[pieces[0]], *map(get, pieces[1:])])
+        known, apart = words.young, bare.young
+        if marked:
+            words.add([w for w, _, _ in marked], [known[s] + apart[m] for _, s, m in marked])
+        if opening:
+            line = apart["\n"]
+            words.add([w for w, _, _ in opening], [line + apart[s] + apart[m] if m else line + apart[s] for _, s, m in opening])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
@@ -111,97 +161,113 @@ class WordEncoder:
         return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.bare) > self.limit:
-            self.bare.clear()
-        known = self.words
-        known[""] = None if self.spaced else b""
-        split = [t.split(" ") for t in texts]
+        if any(s in t for s in self.whole for t in texts):
+            odd = {i for i, t in enumerate(texts) if any(s in t for s in self.whole)}
+            plain = iter(self._group([t for i, t in enumerate(texts) if i not in odd]))
+            return [self.encode_many([t], "")[0] if i in odd else next(plain) for i, t in enumerate(texts)]
+        self.words.turn()
+        self.bare.turn()
+        split = list(map(self._words, texts))
         heads = [w.pop(0) for w in split] if self.spaced else []
+        known = self.words.young
+        if not self.spaced:
+            known[""] = b""
         found = [list(map(known.get, words)) for words in split]
         holes = [[k for k, i in enumerate(ids) if i is None] for ids in found]
         lacking = {words[k] for words, ks in zip(split, holes, strict=True) for k in ks}
         lacking.discard("")
         if lacking:
             self._learn(lacking)
+            get = known.get
             for words, ids, ks in zip(split, found, holes, strict=True):
                 for k in ks:
-                    ids[k] = known[words[k]]
+                    ids[k] = get(words[k])
         if not self.spaced:
             return list(map(b"".join, found))
         self._encode_into(self.bare, {h for h in heads if h}, "")
+        bare = self.bare.young
         out = []
         for text, head, ids in zip(texts, heads, found, strict=True):
             try:
-                out.append((self.bare[head] if head else b"") + b"".join(ids))
+                out.append((bare[head] if head else b"") + b"".join(ids))
             except TypeError:  # a None: cut at safe spaces only
                 first, *rest = _SAFE.split(text)
                 strings = list({" " + w for w in rest} | {first})
-                own = dict(zip(strings, self.encode_many(strings), strict=True))
+                own = dict(zip(strings, self.encode_many(strings, ""), strict=True))
                 out.append(b"".join([own[first], *(own[" " + w] for w in rest)]))
         return out
 
 
+def byte_letters() -> str:
+    """The letters that byte-level vocabularies write bytes as, but for the line end: printable ones are their own, the others follow 255 in turn."""
+    own = {10, *range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own or b == 10]
+    return "".join(chr(b) if b in own else chr(256 + others.index(b)) for b in range(256))
+
+
 def library_encoder(name: str, spaced: bool) -> WordEncoder:
-    """A WordEncoder on the tokenizers library, without special tokens: their strings in a text are ordinary text."""
+    """A WordEncoder on the tokenizers library with add_special_tokens=False, all else as the library has it.
+
+    A word of plain letters is one match of the pattern, so the library's model gets it in the byte letters, many words
+    in one string; all other strings pass the library's own normalising and splitting.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    # A pattern's match begins with the space's token (byte-level) or ends with an end-of-word token.
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    letters, plain, model = byte_letters(), _PLAIN.fullmatch, tokenizer.model
+    by_spaces = Tokenizer(model)
+    by_spaces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    # A word begins with the space's token (byte-level) or ends with an end-of-word token.
     marks = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     for token, i in tokenizer.get_vocab().items():
-        marks[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
-    line = tokenizer.token_to_id("\u010a")  # the line end's token
+        marks[i] = token.startswith(letters[32]) if spaced else token.endswith("</w>")
 
-    def each(strings: list[str]) -> Iterable[bytes]:
-        for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False):
-            yield array("I", e.ids).tobytes()
-
-    def in_runs(strings: list[str], places: list[int], sep: str, out: list[bytes | None]) -> None:
-        """Encode words of letters many in one string and cut the ids between them, unless the cuts aren't as many as the words."""
-        runs = [places[at : at + RUN] for at in range(0, len(places), RUN)]
-        for run, e in zip(runs, tokenizer.encode_batch_fast([sep.join([strings[k] for k in r]) for r in runs], add_special_tokens=False), strict=True):
+    def in_runs(words: list[str]) -> Iterable[bytes]:
+        """Ids of words in byte letters; a run's ids are cut between its words."""
+        runs = [words[at : at + RUN] for at in range(0, len(words), RUN)]
+        for run, e in zip(runs, by_spaces.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            if sep == "\n":
-                cuts = np.flatnonzero(ids == line)
-                begins, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            elif spaced:
-                begins = np.flatnonzero(marks[ids])
-                ends = np.append(begins[1:], len(ids))
-            else:
-                ends = np.flatnonzero(marks[ids]) + 1
-                begins = np.append(0, ends[:-1])
-            if len(begins) == len(run) and begins[0] == 0:
-                data = ids.tobytes()
-                for k, b, e in zip(run, (begins * 4).tolist(), (ends * 4).tolist(), strict=True):
-                    out[k] = data[b:e]
-
-    def many(strings: list[str]) -> list[bytes]:
+            cuts = np.flatnonzero(marks[ids])
+            begins, ends = (cuts, np.append(cuts[1:], len(ids))) if spaced else (np.append(0, cuts[:-1] + 1), cuts + 1)
+            if len(cuts) != len(run) or begins[0] != 0 or ends[-1] != len(ids):
+                yield from (array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in run)
+                continue
+            data = ids.tobytes()
+            yield from [data[b:e] for b, e in zip((begins * 4).tolist(), (ends * 4).tolist(), strict=True)]
+
+    def many(strings: list[str], lead: str) -> list[bytes]:
         out: list[bytes | None] = [None] * len(strings)
-        if spaced:
-            in_runs(strings, [k for k, s in enumerate(strings) if s[0] == " " and s[1:].isalpha()], "", out)
-            in_runs(strings, [k for k, s in enumerate(strings) if s.isalpha()], "\n", out)
-        else:
-            in_runs(strings, [k for k, s in enumerate(strings) if s.isalpha()], " ", out)
+        direct = [k for k, s in enumerate(strings) if s.isalpha()]
+        words = [strings[k] for k in direct]
+        if direct and not plain("\n".join(words)):
+            direct = [k for k in direct if plain(strings[k])]
+            words = [strings[k] for k in direct]
+        if direct:
+            lines = lead + ("\n" + lead).join(words)
+            lines = codecs.charmap_decode((lines if spaced else lines.lower()).encode(), "strict", letters)[0].split("\n")
+            # Words without a space before them have no mark in a byte-level vocabulary.
+            ids = in_runs(lines) if lead or not spaced else (array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in lines)
+            for k, i in zip(direct, ids, strict=True):
+                out[k] = i
         rest = [k for k, ids in enumerate(out) if ids is None]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for k, ids in zip(part, each([strings[k] for k in part]), strict=True):
-                out[k] = ids
+            for k, e in zip(part, tokenizer.encode_batch_fast([lead + strings[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
         return out
 
-    return WordEncoder(many, spaced)
+    return WordEncoder(many, spaced, whole=added)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODER: dict[str, WordEncoder] = {}
 
 
 def worker_encoder(name: str, make: Callable[[], WordEncoder]) -> WordEncoder:
-    """One encoder of each name in a Python worker, whose memo outlives a task."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = make()
-    return _ENCODERS[name]
+    """The encoder of a Python worker, whose memo outlives a task; another one's is dropped first, so a worker holds one."""
+    if name not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[name] = make()
+    return _ENCODER[name]
