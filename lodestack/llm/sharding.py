@@ -5,8 +5,10 @@ in a canonical order, shuffled by Fisher-Yates with a seed of its own and writte
 shuffled order, are a uniformly random order of all records; shard s takes the places from s*N/k to (s+1)*N/k, so the
 shards' row counts are at most one apart (law `rows`).
 
-The same seed, ids and bucket count give the same shards, whatever the cluster. A null id is scattered by the row's
-place in the input. A null text has no bytes. Equal rows are shuffled like any others.
+The same seed, ids, texts and bucket count give the same shards, whatever the cluster. A null id is scattered by the
+row's place in the input too, and so are equal rows once they fill a bucket: these depend on the input's files. A null
+text has no bytes, an empty one none either; a very long one is one record. Equal rows are shuffled like any others.
+Input columns named `shard` or `slot` come back as input_shard and input_slot. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import work_dir
+from lodestack.llm.common import without, work_dir
 
 SEED = 20_240_607
 #: Bytes of text a bucket holds on average, and the fewest buckets.
 BUCKET_BYTES, MIN_BUCKETS = 48 << 20, 64
+#: Times the mean size from which a bucket is scattered anew.
+HEAVY = 4
 #: Bytes a record takes besides its text.
 RECORD_BYTES = 16
 
@@ -41,51 +45,68 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
-def bucket_column(buckets: int, seed: int = SEED) -> Column:
-    """The bucket of a record."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int")
+def bucket_column(buckets: int, seed: int = SEED, text: str = "text") -> Column:
+    """The bucket of a record, by its id and text; of one without an id, also by its place."""
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text, place), F.lit(buckets)).cast("int")
+
+
+def scattered(docs: DataFrame, buckets: int, seed: int, text: str) -> tuple[DataFrame, np.ndarray]:
+    """docs as (record, id_, text_, bucket_), and each bucket's rows.
+
+    Where equal rows make a bucket several times as large as the mean, its rows are scattered anew by their place.
+    """
+    mine = docs.select(F.struct("*").alias("record"), F.col("doc_id").cast("long").alias("id_"), F.col(text).alias("text_"), bucket_column(buckets, seed, text).alias("bucket_"))
+    rows, sizes = counted(mine, buckets)
+    heavy = np.flatnonzero((sizes > HEAVY * max(1, sizes.mean())) & (rows > 1))
+    if not len(heavy):
+        return mine, rows
+    # A bucket of many rows is as large by chance never; there are fewer such than buckets / HEAVY.
+    anew = F.pmod(F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+    mine = mine.withColumn("bucket_", F.when(F.array_contains(F.expr("array(" + ", ".join(map(str, heavy)) + ")"), F.col("bucket_")), anew).otherwise(F.col("bucket_")))
+    return mine, counted(mine, buckets)[0]
+
+
+def counted(placed: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and bytes of each bucket: 16 bytes for each 48 MB of input reach the driver."""
+    rows, sizes = np.zeros(buckets, "int64"), np.zeros(buckets, "int64")
+    found = placed.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n"), F.sum(record_size("text_")).alias("size")).toArrow()
+    at = found.column("bucket_").to_numpy()
+    rows[at], sizes[at] = found.column("n").to_numpy(), found.column("size").to_numpy()
+    return rows, sizes
 
 
 def write_shards(docs: DataFrame, shards: int, path: str | None = None, seed: int = SEED, buckets: int | None = None, text: str = "text") -> str:
-    """Shuffle all records and write them under `path`, partitioned by shard, with `slot` (from 0 in each shard)."""
+    """Shuffle all records and write them under `path` as (record, slot), partitioned by shard; slots count from 0 in each."""
     spark = docs.sparkSession
     path = path or work_dir(spark, "shards")
     if buckets is None:
         total = docs.agg(F.sum(record_size(text))).first()[0] or 0
         buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
-    placed = docs.withColumn("bucket_", bucket_column(buckets, seed))
-    # A count for each bucket; the buckets are as many as the input's bytes need, far fewer than rows.
-    counted = dict(placed.groupBy("bucket_").count().collect())
-    before, at = {}, 0
-    for b in sorted(counted):
-        before[b] = at
-        at += counted[b]
-    total = at
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("bucket_", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    placed, rows = scattered(docs, buckets, seed, text)
+    before, total = np.cumsum(rows) - rows, int(rows.sum())
+    schema = T.StructType([placed.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket_")[0].as_py()
-        keys = pd.DataFrame({"id": group.column("doc_id").to_pandas(), "text": group.column(text).to_pandas()})
+        keys = pd.DataFrame({"id": group.column("id_").to_pandas(), "text": group.column("text_").to_pandas()})
         canonical = keys.sort_values(["id", "text"], kind="stable", na_position="first").index.to_numpy()
         order = canonical[fisher_yates(len(canonical), np.random.default_rng([seed, bucket]))]
         place = before[bucket] + np.arange(len(order), dtype="int64")
         # Shard s starts at ceil(s * total / shards).
         shard = place * shards // total
         start = -(-shard * total // shards)
-        out = group.take(pa.array(order))
-        return out.append_column("shard", pa.array(shard.astype("int32"))).append_column("slot", pa.array(place - start))
+        return pa.table({"record": group.column("record").take(pa.array(order)), "shard": pa.array(shard.astype("int32")), "slot": pa.array(place - start)})
 
-    shuffled = placed.groupBy("bucket_").applyInArrow(run, schema)
-    shuffled.drop("bucket_").write.partitionBy("shard").parquet(path)
+    placed.groupBy("bucket_").applyInArrow(run, schema).write.partitionBy("shard").parquet(path)
     return path
 
 
-def read_shards(spark, path: str, docs: DataFrame) -> DataFrame:
-    """The written records with shard and slot."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path)
+def read_shards(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """The written records with shard and slot; a column of docs with such a name is input_shard or input_slot."""
+    schema = T.StructType([T.StructField("record", docs.schema), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    names = without(docs, ("shard", "slot")).columns
+    return spark.read.schema(schema).parquet(path).select(*(F.col("record").getField(c).alias(to) for c, to in zip(docs.columns, names, strict=True)), "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
