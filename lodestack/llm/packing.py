@@ -7,8 +7,10 @@ by exact length, the last one being the longest that still fits. What the patter
 first, from the longest length. All this works on lengths and counts, so its cost doesn't grow with the corpus.
 
 The plan says which pieces of a length, by number, go to which sequences at which offset. Pieces are numbered within
-their length in salted groups, so a length that a third of all rows share is no single task's. Null and empty texts
-are a piece of the end id alone. Equal rows are packed like any others.
+their length in salted groups, so a length that a third of all rows share is no single task's, whatever the rows: null
+ids, repeated ids and equal rows are packed like any others. Null and empty texts are a piece of the end id alone; very
+long ones are as many pieces as they need. Columns other than doc_id and text, whatever their names, are not looked at.
+An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import staged, trimmed
 from lodestack.llm.tokens import library_encoder, worker_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +32,8 @@ END = 0
 SEQUENCE = 2048
 #: Coarse lengths that a sequence is cut into for the patterns, and pieces of a pattern.
 GRID, DEPTH = 64, 4
+#: Pieces of a group that is numbered by one task.
+SALTED = 5000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -49,7 +53,7 @@ def cut_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int =
             kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [f.split()[0] for f in _PIECES.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, _PIECES)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), _PIECES)
 
 
 def patterns(grid: int = GRID, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -162,7 +166,7 @@ def best_fit(left: np.ndarray, sequence: int, take) -> None:
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     spark = docs.sparkSession
-    pieces = staged(cut_documents(docs, vocabulary, sequence), "pieces")
+    pieces = staged(cut_documents(docs, vocabulary, sequence).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = np.zeros(sequence + 1, dtype="int64")
     for length, n in pieces.groupBy("length").count().collect():  # at most `sequence` rows
         histogram[length] = n
@@ -178,10 +182,10 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int
         first += times
     tables = {x: tuple(np.array(c, dtype="int64") for c in zip(*rows, strict=True)) for x, rows in slots.items()}
 
-    salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    # Repeated rows share a salt; the number tells them apart.
-    inside = salted.withColumn("number", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    # Pieces of a length are numbered in groups of about SALTED, dealt by a row number that was written with them.
+    salts = F.get(F.expr("array(" + ", ".join(map(str, np.maximum(1, -(-histogram // SALTED)))) + ")"), F.col("length").cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), salts))
+    inside = salted.withColumn("number", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     numbered = inside.join(before, ["length", "salt"]).withColumn("number", F.col("number") - 1 + F.col("before"))
@@ -198,4 +202,4 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int
                 offset[of] = offsets[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").cast("long").alias("number")).mapInArrow(place, _PIECES + ", sequence_id long, offset long")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").cast("long").alias("number")).mapInArrow(trimmed(place), _PIECES + ", sequence_id long, offset long")
