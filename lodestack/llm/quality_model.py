@@ -5,8 +5,10 @@ to D random cosines, which approximate a Gaussian kernel. Each partition adds up
 fixed size, are solved on the driver. Part of the training rows is kept for the calibration: scores are counted in a
 fixed number of bins and made a non-decreasing rate of good documents by pooling adjacent violators.
 
-Labels are used by doc_id only; a document with several labels counts with each. Null and empty texts have zero
-statistics and are scored like any other. Without labels of both kinds every score is the share of good labels (0.5
+Labels are used by doc_id only; a document with several labels counts with their mean, rows of an id with that id's.
+Null and empty texts have zero statistics and are scored like any other, very long ones by their whole text, equal
+texts alike. Other columns, whatever their names, are not looked at and kept by filter_documents. An empty table gives
+no rows. Without labels of both kinds every score is the share of good labels (0.5
 if there are none).
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import crc_mod, staged
+from lodestack.llm.common import crc_mod, staged, trimmed
 from lodestack.llm.quality_rules import counts
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.05, 1e-3, 11
@@ -62,7 +64,7 @@ def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             table = np.array([statistics(t.as_py()) for t in batch.column(1)], dtype="float64").reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, i]) for i in range(len(STATISTICS)))], ["doc_id", *STATISTICS])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 @dataclass
@@ -111,8 +113,10 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(stats: DataFrame, labels: DataFrame, in_training: Column, in_calibration: Column) -> Model:
     """Fit on labels (doc_id, quality) of the training rows; `in_calibration` says which of them calibrate only."""
+    # One row an id, so that labels never multiply a repeated id's rows.
+    known = labels.filter(in_training & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg((F.col("quality") == 1).cast("double")).alias("y"))
     rows = staged(
-        stats.join(labels.filter(in_training & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 1).cast("double").alias("y")), "doc_id").select(*STATISTICS, "y", in_calibration.alias("calibrates")),
+        stats.join(known, "doc_id").select(*STATISTICS, "y", in_calibration.alias("calibrates")),
         "quality-rows",
     )
     fit = rows.filter(~F.col("calibrates"))

@@ -1,15 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives, a sample of all documents the unlabelled; a label of 0 is never used as a
-negative. A linear model on word features minimises the class-prior-corrected risk
+negative; the held-out fold's documents aren't looked at. A linear model on word features minimises the class-prior-corrected risk
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 with logistic loss: while the second part is below zero, the step goes back along it instead. The prior is the share
 of toxic documents among the labelled ones. Features are the words of a text and their first letters; those that are
-no more frequent among positives than in the sample are left out.
+no more frequent among positives than among all training rows are left out.
 
-The fit uses bounded samples (MAX_POSITIVE, MAX_UNLABELLED, in order of a hash of doc_id) of the training rows;
-scoring reads every whole text. Null and empty texts have no features and get the score of the bias alone. Without
-any positive, every score is the prior (0 if there are no labels).
+The gradient steps use bounded samples of the training rows: about MAX_POSITIVE positives and MAX_UNLABELLED
+unlabelled ones, drawn by row. The frequencies of features are counted over all training rows, and scoring reads every
+whole text, however long. Null and empty texts have no features and get the score of the bias and the size alone. Equal
+texts score alike. An id with several labels is positive if one of them is. Without any positive, every score is the
+prior (0 if there are no labels). Other columns, whatever their names, are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import crc_mod, staged
+from lodestack.llm.common import crc_mod, release, staged, trimmed
 
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
-#: Features are hashed to so many numbers; so many at most are kept.
-SPACE, KEPT = 1 << 20, 8192
+#: Features are hashed to so many numbers.
+SPACE = 1 << 20
+#: Rows of sums that partitions are gathered to before the driver adds them.
+GATHER = 16
 #: Features for a text's number of distinct words, by doublings; always kept, as a long text has more of all others.
 SIZES = 24
-#: A feature is kept if so many positives have it and it is so many times as frequent there as in the sample.
+#: A feature is kept if so many positives have it and it is so many times as frequent there as among all.
 MIN_POSITIVE, MIN_SHARE, MIN_LIFT = 2, 0.003, 2.0
 STEPS, RATE, DECAY, SEED = 400, 0.05, 1e-4, 7
 PREFIXES = (3, 4, 5, 6)
@@ -95,35 +99,78 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int
 
 def train(docs: DataFrame, labels: DataFrame, in_training: Column, text: str = "text") -> tuple[dict[int, float], float]:
     """Weights by feature number, and the bias. labels: doc_id, toxic; in_training: which doc_ids labels are learnt from."""
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    mine = labels.filter(in_training & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    shares = mine.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
+    mine = labels.filter(in_training & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    shares = mine.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
     if not shares["n"] or not shares["p"] or shares["p"] == shares["n"]:
         share = min(max((shares["p"] or 0) / max(shares["n"], 1), 1e-9), 1 - 1e-9)
         return {}, float(np.log(share / (1 - share)))
     prior = shares["p"] / shares["n"]
-    positive = mine.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
-    sample = docs.filter(in_training).select("doc_id").orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
-    chosen = F.broadcast(positive.unionByName(sample))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    base = docs.filter(in_training)
+    ids = mine.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(MAX_POSITIVE)
+    ids = F.broadcast(staged(ids, "toxicity-ids"))  # at most MAX_POSITIVE
+    n_p, n_u = base.select("doc_id").join(ids, "doc_id", "left_semi").count(), base.count()
+    if not n_p or not n_u:
+        return {}, float(np.log(prior / (1 - prior)))
+    positive = staged(_sampled(base.join(ids, "doc_id", "left_semi"), n_p, MAX_POSITIVE, text), "toxicity-positive")
+    sample = staged(_sampled(base, n_u, MAX_UNLABELLED, text), "toxicity-unlabelled")
+    p_rows, u_rows = _rows(positive), _rows(sample)
+    if not p_rows or not u_rows:
+        return {}, float(np.log(prior / (1 - prior)))
+    # Candidates come from the positives; how frequent they are is counted over all training rows.
+    p = np.bincount(np.concatenate(p_rows), minlength=SPACE + SIZES)[:SPACE]
+    candidates = np.flatnonzero(p >= max(MIN_POSITIVE, MIN_SHARE * len(p_rows)))
+    u = _counts(base, candidates, text)
+    lift = (p[candidates] / len(p_rows)) / ((u + 0.5) / n_u)
+    kept = [*candidates[lift >= MIN_LIFT].tolist(), *range(SPACE, SPACE + SIZES)]
+    number = np.full(SPACE + SIZES, -1)
+    number[kept] = np.arange(len(kept))
+    slim = lambda rows: [x[x >= 0] for x in (number[r] for r in rows)]
+    weights, bias = fit_nnpu(slim(p_rows), slim(u_rows), len(kept), prior)
+    release(positive, sample)
+    return {f: float(weights[i]) for i, f in enumerate(kept)}, bias
+
+
+def _rows(sample: DataFrame) -> list[np.ndarray]:
+    """The feature numbers of a sample's rows, on the driver."""
+    found = sample.toArrow().column("features").combine_chunks()
+    return np.split(found.flatten().to_numpy(), np.cumsum(found.value_lengths().to_numpy())[:-1]) if len(found) else []
+
+
+def _sampled(rows: DataFrame, n: int, most: int, text: str) -> DataFrame:
+    """features of about `most` of n rows, drawn by a hash of the row's place: rows, not ids, so that repeated ids and texts add none."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features().of_text
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["positive", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["features"])
 
-    rows = staged(docs.select("doc_id", text).join(chosen, "doc_id").select("positive", text).mapInArrow(features, "positive boolean, features array<int>"), "toxicity-sample")
-    n_p, n_u = (dict(rows.groupBy("positive").count().collect()).get(k, 0) for k in (True, False))
-    if not n_p or not n_u:
-        return {}, float(np.log(prior / (1 - prior)))
-    seen = rows.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u"))
-    lift = (F.col("p") / n_p) / ((F.col("u") + 0.5) / n_u)
-    kept = seen.filter((F.col("p") >= max(MIN_POSITIVE, MIN_SHARE * n_p)) & (lift >= MIN_LIFT)).orderBy(F.desc(F.col("p") * F.log(lift)), "f").limit(KEPT).select("f")
-    chosen_features = {r["f"] for r in kept.collect()} | set(range(SPACE, SPACE + SIZES))
-    number = {f: i for i, f in enumerate(sorted(chosen_features))}
-    slim = rows.select("positive", F.array_intersect("features", F.array(*map(F.lit, number))).alias("f")).collect()
-    as_numbers = lambda fs: np.array([number[f] for f in fs], dtype="int64")
-    weights, bias = fit_nnpu([as_numbers(r["f"]) for r in slim if r["positive"]], [as_numbers(r["f"]) for r in slim if not r["positive"]], len(number), prior)
-    return {f: float(weights[i]) for f, i in number.items()}, bias
+    drawn = rows
+    if n > most:
+        whole = 1 << 40
+        drawn = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id()), F.lit(whole)) < most * whole // n)
+    return drawn.select(text).mapInArrow(trimmed(features), "features array<int>")
+
+
+def _counts(rows: DataFrame, candidates: np.ndarray, text: str) -> np.ndarray:
+    """How many rows have each candidate feature. Partitions add up; the driver gets GATHER rows of 8 bytes a candidate."""
+    place = {f: i for i, f in enumerate(candidates.tolist())}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen = Features(place).of_text, np.zeros(len(place), dtype="int64")
+        for batch in batches:
+            found = [f for t in batch.column(0).to_pylist() for f in of(t)]
+            seen += np.bincount(found, minlength=len(place)).astype("int64")
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(place), dtype="int64")
+        for batch in batches:
+            for sums in batch.column(0).to_pylist():
+                total += np.frombuffer(sums, dtype="int64")
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = rows.select(text).mapInArrow(trimmed(count), "sums binary").repartition(GATHER).mapInArrow(add, "sums binary").collect()
+    return sum((np.frombuffer(r["sums"], dtype="int64") for r in parts), np.zeros(len(place), dtype="int64"))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "text") -> DataFrame:
@@ -136,7 +183,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "t
             z = np.array([bias + sum(map(weights.__getitem__, of(t))) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
