@@ -2,16 +2,20 @@
 
 Each rule rejects a document whose statistic lies above a cutoff. Cutoffs come from labelled holdouts: for each
 stratum and rule, among fixed candidate cutoffs, the tightest one whose false rejections (documents labelled good
-that it would reject) have an exact binomial upper confidence bound of at most `risk`. The confidence is shared out
-over all rules, strata and candidates (Bonferroni), so with probability 1 - `delta` every chosen cutoff rejects at
-most `risk` of the good documents of its stratum. A stratum with too few labels gets no cutoff: nothing is rejected.
-
-Nulls and empty texts have no words; they fail the base rule. Rows with equal ids are judged each on its own text.
+that it would reject) have an exact binomial upper confidence bound of at most its share of `risk`, of which each rule
+has as much. The confidence is shared out over all rules, strata and candidates (Bonferroni), so with probability
+1 - `delta` all rules together reject at most `risk` of the good documents of each stratum. A stratum with too few
+labels gets no cutoff: nothing is rejected.
+
+Nulls and empty texts have no words; they fail the base rule. Very long texts are counted whole. Rows with equal ids
+are judged each on its own text; a label counts for all rows of its id. Other columns, whatever their names, are kept
+as they are by filter_documents. Empty tables give no rows, and without labels only the base rule rejects.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import staged, trimmed
+
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
-#: Highest share of good documents that a cutoff may reject, and the chance that any cutoff exceeds it.
+#: Highest share of a stratum's good documents that all rules together may reject, and the chance that any stratum exceeds it.
 RISK, DELTA = 0.02, 0.05
 #: Words at which a stratum ends; the last has no end.
 STRATA = (50, 150, 400, 1000)
@@ -60,6 +66,12 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(hit[:n]) > 0).sum())
 
 
+def capitals(text: str) -> int:
+    """Letters of the category Lu; str.isupper also takes capital-like numerals and symbols."""
+    n = sum(map(str.isupper, text))
+    return n if n == 0 or text.isascii() else n - sum(unicodedata.category(c) != "Lu" for c in text if c.isupper())
+
+
 def counts(text: str | None) -> tuple[int, ...]:
     """The counts of a text, as named in _COUNTS. Words are runs of other than ASCII white space."""
     text = text or ""
@@ -75,7 +87,7 @@ def counts(text: str | None) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated_words(words),
         data.count(b"!"),
-        sum(map(str.isupper, text)),
+        capitals(text),
         sum(map(bytes.__eq__, words, words[1:])),
     )
 
@@ -88,7 +100,7 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             table = np.array([counts(t.as_py()) for t in batch.column(1)], dtype="int64").reshape(-1, len(_COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, i]) for i in range(len(_COUNTS)))], ["doc_id", *_COUNTS])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def statistics(prefix: str = "") -> dict[str, Column]:
@@ -117,11 +129,17 @@ def base_failed() -> Column:
 
 def at_most(rejected: int, total: int, risk: float, level: float) -> bool:
     """Whether the exact (Clopper-Pearson) upper bound of a rate is at most `risk`: P(X <= rejected | total, risk) <= level."""
-    if total == 0:
+    # Above its mean the sum is more than any level; below it terms fall fast, so they are added from the largest.
+    if total == 0 or rejected >= risk * total:
         return False
-    logs = [math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1) + k * math.log(risk) + (total - k) * math.log1p(-risk) for k in range(rejected + 1)]
-    top = max(logs)
-    return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(level)
+    term = math.lgamma(total + 1) - math.lgamma(rejected + 1) - math.lgamma(total - rejected + 1) + rejected * math.log(risk) + (total - rejected) * math.log1p(-risk)
+    share, tail = 1.0, 0.0
+    for k in range(rejected, -1, -1):
+        tail += share
+        share *= k * (1 - risk) / ((total - k + 1) * risk)
+        if share < 1e-17 * tail:
+            break
+    return term + math.log(tail) <= math.log(level)
 
 
 def choose_cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
@@ -136,7 +154,7 @@ def choose_cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) ->
     chosen = {}
     for row in rows:
         for r, cs in RULES.items():
-            fit = next((c for c in cs if at_most(row[f"{r}|{c}"], row["total"], risk, level)), None)
+            fit = next((c for c in cs if at_most(row[f"{r}|{c}"], row["total"], risk / len(RULES), level)), None)
             if fit is not None:
                 chosen[row["stratum"], r] = fit
     return chosen
@@ -152,7 +170,7 @@ def rejected_by(cutoffs: dict[tuple[int, str], float]) -> Column:
 
 def apply_rules(docs: DataFrame, labels: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Counts, base_failed, rejected (the method's) and kept of every document. labels: doc_id, quality."""
-    counted = document_counts(docs) if counted is None else counted
+    counted = staged(document_counts(docs), "counts") if counted is None else counted
     good = counted.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     cutoffs = choose_cutoffs(good)
     return counted.withColumn("base_failed", base_failed()).withColumn("rejected", rejected_by(cutoffs)).withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
@@ -175,7 +193,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, text: str = "text") ->
 def oracle_sql() -> str:
     """doc_id, the base counts, base_failed and kept of apply_rules() in DuckDB SQL."""
     rules = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in RULES.items() for c in cs)
-    level = DELTA / (sum(map(len, RULES.values())) * (len(STRATA) + 1))
+    level, risk = DELTA / (sum(map(len, RULES.values())) * (len(STRATA) + 1)), RISK / len(RULES)
     stratum_sql = " + ".join(f"(n_words >= {s})::INT" for s in STRATA)
     per = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END"
     stats = {
@@ -197,6 +215,6 @@ d AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PE
 v AS ({tall}), cut(rule, c) AS (VALUES {rules}),
 good AS (SELECT r, stratum FROM d WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 tried AS (SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (v > c) AS k FROM good JOIN v USING (r) JOIN cut USING (rule) GROUP BY ALL),
-fit AS (SELECT stratum, rule, min(c) AS c FROM tried WHERE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) <= {level!r} GROUP BY ALL),
+fit AS (SELECT stratum, rule, min(c) AS c FROM tried WHERE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk!r}) + (n - j) * ln(1 - {risk!r})))) <= {level!r} GROUP BY ALL),
 bad AS (SELECT DISTINCT r FROM d JOIN v USING (r) JOIN fit USING (stratum, rule) WHERE v > c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM d"""
