@@ -8,14 +8,19 @@ maxima. Points come in order of time and a process ends once it can't win a plac
 
 Bands of the signature propose pairs. Texts with equal words are one node from the start. In each bucket the node that
 shares the most buckets with others, as a text does from which others were copied, is the hub and every other node is
-compared with it: as many pairs as nodes. Where a bucket still holds several components, its nodes are compared in
-blocks, all pairs of different components and each in the first band that both share; a pair is verified at once and
-only links leave the task. Every pair is verified on the whole texts' multisets. Components of the links are the
-classes: no pairs of a component's members are ever listed.
+compared with it: as many pairs as nodes. Where a bucket still holds several components, its nodes meet in blocks; of
+the pairs of different components, each in the first band that both share, an exact prefix filter leaves those that can
+be near, which are verified at once, so only links leave the task. Every link is verified on the whole texts'
+multisets. Components of the links are the classes: no pairs of a component's members are ever listed.
+
+What the threshold means: a replaced word changes five shingles, so of n words about n / 45 can be replaced, each far
+from the others, until the similarity falls below 0.8 (a share of 2.2 %); copies that are edited more are no links by
+themselves, but join a class through copies between them. The bands miss a pair at the threshold with a chance of 4e-7.
 
 Results: class_id is the smallest doc_id of the class. Rows with equal words, null and empty texts included (both have
 no words), share a class. A null doc_id stays null; a class of such rows alone has a null class_id. Of rows that
-share the class's smallest doc_id, each is `kept`.
+share the class's smallest doc_id, each is `kept`. Very long texts are compared whole. Other columns, whatever their
+names, are not looked at, and kept by representatives. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,18 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import release, staged, trimmed
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the similarity is in no common bucket with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
 PLACES = BANDS * ROWS
-#: Nodes of a block.
-BLOCK = 2000
-#: Shingles that are compared with a node's at once.
-AT_ONCE = 1_000_000
-#: Documents whose processes run together.
-TOGETHER = 250
+#: Nodes of a block, and bytes of their texts, on average.
+BLOCK, BLOCK_BYTES = 1000, 4 << 20
+#: Documents whose processes run together, and their bytes.
+TOGETHER, TOGETHER_BYTES = 250, 2 << 20
 _MEMO = 300_000
 _U = np.uint64
 _STEP, _MASK = 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
@@ -121,6 +124,18 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return out.view("int64")
 
 
+def runs_of(sizes: list[int], most: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Places [start, end) of runs of at most so many items and bytes, or of one item."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= most or total + size > most_bytes):
+            yield start, i
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield start, len(sizes)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -135,22 +150,22 @@ def sketch_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for whole in batches:
-            for start in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(start, TOGETHER)
-                words = [words_of(t) for t in batch.column(1).to_pylist()]
-                found = bag_minhash([shingler.bag(w) for w in words])
-                bands = band_hashes(found)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            sizes = [len(t) if t else 0 for t in texts.to_pylist()]
+            for start, end in runs_of(sizes, TOGETHER, TOGETHER_BYTES):
+                words = [words_of(t) for t in texts.slice(start, end - start).to_pylist()]
+                bands = band_hashes(bag_minhash([shingler.bag(w) for w in words]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
+                        ids.slice(start, end - start),
                         pa.array([key_of(w) for w in words], pa.binary()),
                         pa.array([b if w else [] for b, w in zip(bands, words, strict=True)], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "key", "bands"],
                 )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, key binary, bands array<long>")
 
 
 def similarity_of(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -161,41 +176,42 @@ def similarity_of(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.
     return common / both if both else 1.0
 
 
-class Bags:
-    """Bags end to end, to compare one bag with many of them exactly."""
-
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.begins = np.cumsum([0, *(len(b[0]) for b in bags)])
-        self.counts = np.concatenate([b[1] for b in bags])
-        self.total = np.add.reduceat(self.counts, self.begins[:-1])
-        self.known, at = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
-        self.at = at.astype("int32")
-        self.mine = np.zeros(len(self.known), dtype="int64")
-
-    def bag(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        part = slice(self.begins[k], self.begins[k + 1])
-        return self.known[self.at[part]], self.counts[part]
-
-    def similarities(self, bag: tuple[np.ndarray, np.ndarray], others: np.ndarray, least: float) -> np.ndarray:
-        """similarity_of(bag, other) for each of the others' numbers; 0 where the totals alone put it below `least`."""
-        out = np.zeros(len(others))
-        total = int(bag[1].sum())
-        theirs = self.total[others]
-        open_ = np.flatnonzero(np.minimum(theirs, total) / np.maximum(theirs, total) >= least)
-        if not len(open_):
-            return out
-        at = np.minimum(np.searchsorted(self.known, bag[0]), len(self.known) - 1)
-        same = self.known[at] == bag[0]
-        self.mine[at[same]] = bag[1][same]
-        size = np.diff(self.begins)[others[open_]]
-        for part in np.split(open_, np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE)) + 1):
-            n = np.diff(self.begins)[others[part]]
-            starts = np.cumsum(n) - n
-            i = np.arange(n.sum()) + np.repeat(self.begins[others[part]] - starts, n)
-            common = np.add.reduceat(np.minimum(self.mine[self.at[i]], self.counts[i]), starts)
-            out[part] = common / (total + self.total[others[part]] - common)
-        self.mine[at[same]] = 0
-        return out
+def prefix_pairs(bags: list[tuple[np.ndarray, np.ndarray]], left: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys) such that every pair of bags with at least the similarity is among them, once: x among the first `left`, ys after x and, if `left` isn't all, not among these.
+
+    Prefix filtering, which loses no pair: the elements of all bags (a shingle's copies are elements of their own) are
+    ordered from the rarest. Two bags of the similarity have so many elements in common that one is among the rarest
+    of both: of n elements, the first n - ceil(similarity * n) + 1.
+    """
+    sizes = np.array([b[1].sum() for b in bags], dtype="int64")
+    counts = np.concatenate([b[1] for b in bags])
+    shingle = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)[1]
+    doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    at = np.repeat(np.arange(len(counts)), counts)
+    copy = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    element = np.unique(shingle[at] * (int(counts.max()) + 1) + copy, return_inverse=True)[1]
+    doc = doc[at]
+    often = np.bincount(element)
+    order = np.lexsort((element, often[element], doc))
+    doc, element = doc[order], element[order]
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    length = sizes - np.ceil(similarity * sizes - 1e-9).astype("int64") + 1
+    kept = (np.arange(len(doc)) - begins[doc] < length[doc]) & (often[element] > 1)
+    doc, element = doc[kept], element[kept]
+    # By element, the documents that have it in their prefix, ascending.
+    by_element = np.lexsort((doc, element))
+    holders, firsts = doc[by_element], np.searchsorted(element[by_element], np.arange(len(often) + 1))
+    mine = np.searchsorted(doc, np.arange(len(bags) + 1))
+    for x in range(left):
+        parts = [holders[firsts[e] : firsts[e + 1]] for e in element[mine[x] : mine[x + 1]].tolist()]
+        if not parts:
+            continue
+        ys = np.unique(np.concatenate(parts))
+        ys = ys[ys > x] if left == len(bags) else ys[ys >= left]
+        ys = ys[np.minimum(sizes[ys], sizes[x]) >= similarity * np.maximum(sizes[ys], sizes[x]) - 1e-9]
+        if len(ys):
+            yield x, ys
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
@@ -207,7 +223,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(1)], ["doc_id", "key", "text"])
 
     firsts = nodes.join(keys, "key", "left_semi").select(F.col("key").alias("k"), F.col("first_doc").alias("f"))
-    own = docs.selectExpr("cast(doc_id as bigint) doc_id", f"{text} text").mapInArrow(keyed, "doc_id long, key binary, text string")
+    own = docs.selectExpr("cast(doc_id as bigint) doc_id", f"{text} text").mapInArrow(trimmed(keyed), "doc_id long, key binary, text string")
     found = own.join(firsts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("key", "text")
     # The first document's row may be there more than once; rows of a key lie together after the join.
     return staged(found.dropDuplicates(["key"]), "texts")
@@ -235,7 +251,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
 
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(compare), "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,9 +267,11 @@ def components(links: DataFrame) -> DataFrame:
         lowest = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         large = both.join(lowest, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         large = staged(large.filter("u <> v").distinct(), "edges")
+        release(edges)
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lowest, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(lowest.select("v", F.col("m").alias("u")))
         edges = staged(small.filter("u <> v").distinct(), "edges")
+        release(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -264,37 +282,34 @@ def components(links: DataFrame) -> DataFrame:
 def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b, similarity) between nodes of a bucket (h, band, key, label, bands, text) with different labels.
 
-    Buckets are cut into blocks; a task compares two blocks at a time with numpy: every pair, by its texts' multisets, in
-    the first band whose bucket holds both.
+    Buckets are cut into blocks of bounded rows and bytes; a task has two blocks at a time. A pair is looked at in the
+    first band whose bucket holds both; those that a prefix filter can't rule out are compared by their texts'
+    multisets. No pair of the similarity is lost.
     """
-    blocks = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = sizes.select("h", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("n"))
     placed = members.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "key", "label", "bands", "text")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spread.repartition(partitions, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    ordered = spread.repartition(partitions, "h", "i", "j").sortWithinPartitions("h", "i", "j", F.desc("left"))
 
     def compared(same_block: bool, band: int, rows: list[tuple], shingler: Shingler) -> list[tuple[bytes, bytes, float]]:
-        one = [r for r in rows if r[0]]
-        two = one if same_block else [r for r in rows if not r[0]]
-        if not one or not two:
-            return []
+        left = len(rows) if same_block else sum(r[0] for r in rows)
         names = {label: i for i, label in enumerate({r[2] for r in rows})}
-        if len(names) < 2:
+        if len(names) < 2 or not left or left == len(rows) and not same_block:
             return []
-        la, lb = (np.array([names[r[2]] for r in part]) for part in (one, two))
-        ba, bb = (np.array([r[3] for r in part], dtype="int64") for part in (one, two))
-        bags_b = Bags([shingler.bag(words_of(r[4])) for r in two])
-        bags_a = [bags_b.bag(y) for y in range(len(two))] if same_block else [shingler.bag(words_of(r[4])) for r in one]
+        labels = np.array([names[r[2]] for r in rows])
+        bands = np.array([r[3][:band] for r in rows], dtype="int64").reshape(len(rows), band)
+        bags = [shingler.bag(words_of(r[4])) for r in rows]
         out = []
-        for x, bag in enumerate(bags_a):
-            differ = np.flatnonzero(lb != la[x])
-            if same_block:
-                differ = differ[differ > x]
-            if band:  # pairs that lie in an earlier band's bucket were compared there
-                differ = differ[~(bb[differ, :band] == ba[x, :band]).any(axis=1)]
-            near = bags_b.similarities(bag, differ, similarity)
-            out += [(one[x][1], two[y][1], s) for y, s in zip(differ.tolist(), near.tolist(), strict=True) if s >= similarity]
+        for x, ys in prefix_pairs(bags, left, similarity):
+            ys = ys[labels[ys] != labels[x]]
+            if band and len(ys):  # pairs that lie in an earlier band's bucket are compared there
+                ys = ys[~(bands[ys] == bands[x]).any(axis=1)]
+            for y in ys.tolist():
+                if (near := similarity_of(bags[x], bags[y])) >= similarity:
+                    out.append((rows[x][1], rows[y][1], near))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +334,7 @@ def block_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         kinds = pa.binary(), pa.binary(), pa.float64()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "similarity"])
 
-    return ordered.mapInArrow(run, "a binary, b binary, similarity double")
+    return ordered.mapInArrow(trimmed(run), "a binary, b binary, similarity double")
 
 
 def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -332,7 +347,8 @@ def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     buckets = staged(banded.join(shared, "h"), "buckets")
     mates = buckets.groupBy("key").agg(F.sum("n").alias("mates"))
     hubs = buckets.join(mates, "key").groupBy("h").agg(F.max_by("key", F.struct("mates", "key")).alias("hub"))
-    buckets = staged(buckets.join(hubs, "h").select("h", "band", "key", "hub"), "buckets")
+    plain, buckets = buckets, staged(buckets.join(hubs, "h").select("h", "band", "key", "hub"), "buckets")
+    release(plain)
     pairs = staged(buckets.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     texts = node_texts(docs, nodes, buckets.select("key").distinct(), text)
     links = staged(verify(pairs, texts, similarity), "links")
@@ -344,8 +360,10 @@ def label_nodes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
     rest = labelled.join(mixed, "h", "left_semi").join(nodes.select("key", "bands"), "key").join(texts, "key").select("h", "band", "key", "label", "bands", "text")
     more = staged(block_links(rest, similarity), "links")
     if not more.isEmpty():
-        links = staged(links.unionByName(more), "links")
+        fewer, links = (links, labels), staged(links.unionByName(more), "links")
         labels = staged(components(links), "labels")
+        release(*fewer)
+    release(buckets, pairs, texts, more, links)
     return sketches, nodes.select("key", "first_doc", "copies").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
@@ -367,11 +385,11 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, text: str =
 
     _, nodes = label_nodes(docs, similarity, text)
     rank = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)), F.col("key"))
-    chosen = nodes.groupBy("label").agg(F.min_by(F.struct("key", "first_doc"), rank).alias("c")).select(F.col("c.key").alias("__k"), F.col("c.first_doc").alias("__d"))
-    mine = docs.withColumn("__key", text_key(text))
-    same = (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
+    chosen = nodes.groupBy("label").agg(F.min_by(F.struct("key", "first_doc"), rank).alias("c")).select(F.col("c.key").alias("k"), F.col("c.first_doc").alias("d"))
+    mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(text).alias("key"))
     # Equal rows of the chosen document lie in one partition after the join.
-    return mine.join(chosen, same, "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = mine.join(chosen, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")), "left_semi").dropDuplicates(["key"])
+    return kept.select("row.*")
 
 
 def oracle_sql(similarity: float = SIMILARITY) -> str:
