@@ -11,6 +11,7 @@ from lodestack.functions import chunks, format, text
 from lodestack.operators import bm25, filters, fusion, lifecycle, lookup, metrics, postings, vectors
 from lodestack.plans.search import Query, hybrid, ranked_lists
 from lodestack.sources import tables
+from lodestack.sources.shared import shared_folder
 
 FLAGSHIP = "hybrid_blend"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,11 +90,15 @@ def tombstone(spark, sf):
     return scan_diff(spark, sf).filter("action = 'removed'").select("id")
 
 
-@query(f"SELECT coalesce(id, 0) <> 0 OR action = 'indexed' AS has_id, action NOT IN ('removed', 'gone') AS active, count(*) AS n FROM ({DIFF}) GROUP BY ALL")
+@query(f"""WITH d AS ({DIFF}), new AS (SELECT collection, path, (SELECT max(id) FROM ({SNAPSHOT})) + row_number() OVER (ORDER BY collection, path) AS id FROM d WHERE action = 'indexed')
+SELECT coalesce(d.id, new.id) AS id, d.collection, d.path, coalesce(b.title, a.title) AS title, coalesce(b.hash, a.hash) AS hash, action NOT IN ('removed', 'gone') AS active, action IN ('indexed', 'updated', 'reactivated') AS touched
+FROM d LEFT JOIN new USING (collection, path) LEFT JOIN ({SNAPSHOT}) a ON a.collection = d.collection AND a.path = d.path LEFT JOIN ({SCANNED}) b ON b.collection = d.collection AND b.path = d.path""")
 def next_snapshot(spark, sf):
-    old = _snapshot(spark, sf).withColumn("created_at", F.lit("2026-01-01").cast("timestamp")).withColumn("modified_at", F.col("created_at"))
-    new = lifecycle.apply_scan(old, _scanned(spark, sf), F.lit("2026-02-01").cast("timestamp"))
-    return new.groupBy((F.coalesce("id", F.lit(0)) != 0).alias("has_id"), "active").agg(F.count(F.lit(1)).alias("n"))
+    """The rows of the store after an update."""
+    then, now = F.lit("2026-01-01").cast("timestamp"), F.lit("2026-02-01").cast("timestamp")
+    old = _snapshot(spark, sf).withColumn("created_at", then).withColumn("modified_at", then)
+    new = lifecycle.apply_scan(old, _scanned(spark, sf), now)
+    return new.select("id", "collection", "path", "title", "hash", "active", (F.col("modified_at") == now).alias("touched"))
 
 
 @query(f"SELECT hash FROM (SELECT DISTINCT hash FROM ({SNAPSHOT})) WHERE hash NOT IN (SELECT hash FROM ({SNAPSHOT}) WHERE active)")
@@ -108,14 +113,14 @@ def gc_plan(spark, sf):
     return lifecycle.cleanup(d, d.select("hash").distinct())
 
 
-@query(f"SELECT hash, min(path) AS path FROM ({SNAPSHOT}) WHERE active GROUP BY hash")
+@query(f"SELECT hash, min(path) AS path FROM ({DOCS}) GROUP BY hash")
 def representative_path(spark, sf):
-    return lifecycle.representatives(_snapshot(spark, sf))
+    return lifecycle.representatives(tables.documents(spark, sf).withColumn("active", F.lit(True)))
 
 
-@query(f"SELECT collection, count(*) AS documents, max(id) AS last_modified FROM ({SNAPSHOT}) WHERE active GROUP BY collection")
+@query(f"SELECT collection, count(*) AS documents, max(id) AS last_modified FROM ({DOCS}) GROUP BY collection")
 def collection_stats(spark, sf):
-    return lifecycle.collection_stats(_snapshot(spark, sf).withColumn("modified_at", F.col("id")))
+    return lifecycle.collection_stats(tables.documents(spark, sf).withColumn("active", F.lit(True)).withColumn("modified_at", F.col("id")))
 
 
 VECTORS = f"SELECT DISTINCT hash, s AS seq, CASE WHEN doc_n % 6 = 1 THEN 'old' ELSE 'new' END AS fingerprint, 2 AS total_chunks FROM (SELECT hash, min(id) AS doc_n FROM ({DOCS}) GROUP BY hash), range(2) r(s) WHERE doc_n % 4 <> 0 AND NOT (doc_n % 5 = 2 AND s = 1)"
@@ -171,7 +176,7 @@ def stem_terms(spark, sf):
 
 def bm25_sql(queries: dict[str, str], limit: int, where: str = "TRUE") -> str:
     """Keyword search in SQL, from the parsed phrases."""
-    rows = [(q, k, p.negated, p.prefix, len(p.tokens), i, t) for q, s in queries.items() for k, p in enumerate(bm25.parse(s) or []) for i, t in enumerate(p.tokens)]
+    rows = bm25.phrase_rows(queries)
     values = ", ".join(f"('{q}', {k}, {str(g).lower()}, {str(x).lower()}, {n}, {i}, '{t}')" for q, k, g, x, n, i, t in rows)
     return f"""
 WITH tok AS ({TOKENS}), ph(query_id, phrase, negated, prefix, n, i, token) AS (VALUES {values}),
@@ -210,6 +215,21 @@ def bm25_batch(spark, sf):
     return found.select("query_id", "rank", "id", F.round(-F.col("bm25"), 6).alias("s"), F.round("score", 6).alias("score"))
 
 
+@query(bm25_sql(SEARCHES, 10))
+def bm25_indexed(spark, sf):
+    """bm25_batch from a stored index: only the files that hold the terms are read."""
+    path = shared_folder(spark, "index")
+    d = tables.documents(spark, sf)
+    postings.write_index(d, path)
+    post, lengths, stats = postings.read_index(spark, path)
+    found = bm25.search(post, d, SEARCHES, 10, lengths=lengths, stats=stats)
+    return found.select("query_id", "rank", "id", F.round(-F.col("bm25"), 6).alias("s"), F.round("score", 6).alias("score"))
+
+
+_bm25("bm25_apostrophe", "o'n")
+_bm25("bm25_quote_inside", 'onea"of the"')
+
+
 @query(bm25_sql(SEARCHES, 10, f"id IN (SELECT id FROM ({DOCS}) WHERE collection IN ('fr', 'de'))"))
 def bm25_scoped(spark, sf):
     d = tables.documents(spark, sf)
@@ -244,48 +264,40 @@ def nearest_sql(k: int, queries: str, pool: str = "embeddings") -> str:
     return f"SELECT query_id, vec_id AS id, d AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM ({queries}) q, {pool} e) QUALIFY rank <= {k}"
 
 
-TEN = "SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings WHERE vec_id < 10"
+#: The queries of vector searches and metrics: every row whose id is divisible by 50, against all rows.
+ASKED = "SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0"
 
 
-def _ten(spark, sf):
-    return tables.table(spark, sf, "embeddings").filter("vec_id < 10").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+def _asked(spark, sf):
+    return tables.table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
 
 
-@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, TEN)})")
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, ASKED)})")
 def vec_topk(spark, sf):
-    return vectors.nearest(_embedded(spark, sf), _ten(spark, sf), 10).withColumn("distance", F.round("distance", 6))
+    return vectors.nearest(_embedded(spark, sf), _asked(spark, sf), 10).withColumn("distance", F.round("distance", 6))
 
 
-FIFTIETH = "SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0"
-
-
-@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, FIFTIETH)})")
-def vec_topk_fiftieth(spark, sf):
-    """vec_topk for every fiftieth vector, as many as the table has."""
-    queries = tables.table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
-    return vectors.nearest(_embedded(spark, sf), queries, 10).withColumn("distance", F.round("distance", 6))
-
-
-@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, TEN, '(SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE lang IN (' + chr(39) + 'en' + chr(39) + '))')})")
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM ({nearest_sql(10, ASKED, '(SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE lang IN (' + chr(39) + 'en' + chr(39) + '))')})")
 def vec_scoped(spark, sf):
     pool = _embedded(spark, sf).join(tables.documents(spark, sf).filter(lookup.scope("en", [])).select("id"), "id", "left_semi")
-    return vectors.nearest(pool, _ten(spark, sf), 10).withColumn("distance", F.round("distance", 6))
+    return vectors.nearest(pool, _asked(spark, sf), 10).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH n AS ({nearest_sql(60, TEN)}), b AS (SELECT query_id, id // 4 AS doc_id, arg_min(id % 4, (round(distance, 9), id % 4)) AS seq, min(distance) AS distance FROM n GROUP BY ALL)
+@query(f"""WITH n AS ({nearest_sql(60, ASKED)}), b AS (SELECT query_id, id // 4 AS doc_id, arg_min(id % 4, (round(distance, 9), id % 4)) AS seq, min(distance) AS distance FROM n GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0, 1 - distance / 2), 9) DESC, doc_id) AS INT) AS rank, doc_id, CAST(seq AS INT) AS seq, round(greatest(0, 1 - distance / 2), 6) AS score FROM b QUALIFY rank <= 20""")
 def vec_dedupe(spark, sf):
     """Four vectors in a row are the chunks of a document."""
     e = _embedded(spark, sf)
     parts = e.select("id", F.expr("id div 4").alias("doc_id"), (F.col("id") % 4).cast("int").alias("seq"))
-    found = vectors.best_chunks(vectors.nearest(e, _ten(spark, sf), 60), parts, 20)
+    found = vectors.best_chunks(vectors.nearest(e, _asked(spark, sf), 60), parts, 20)
     return found.select("query_id", "rank", "doc_id", "seq", F.round("score", 6).alias("score"))
 
 
 # Fusion and the hybrid query.
 
 QUERY_VECTORS = " UNION ALL ".join(f"SELECT '{q}' AS query_id, embedding FROM embeddings WHERE vec_id = {v}" for q, v in VECTOR_OF.items())
-LISTS = f"SELECT query_id, 0 AS list_idx, rank - 1 AS rank, id AS file, 2.0::DOUBLE AS weight, greatest(0, 1 - distance / 2) AS score FROM ({nearest_sql(40, QUERY_VECTORS)}) UNION ALL SELECT query_id, 1, rank - 1, id, 2.0::DOUBLE, score FROM ({bm25_sql(SEARCHES, 40)})"
+WITH_DOCUMENT = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
+LISTS = f"SELECT query_id, 0 AS list_idx, rank - 1 AS rank, id AS file, 2.0::DOUBLE AS weight, greatest(0, 1 - distance / 2) AS score FROM ({nearest_sql(40, QUERY_VECTORS, WITH_DOCUMENT)}) UNION ALL SELECT query_id, 1, rank - 1, id, 2.0::DOUBLE, score FROM ({bm25_sql(SEARCHES, 40)})"
 RRF = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen, file) AS rank FROM (SELECT query_id, file, sum(weight / (61 + rank)) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0 END AS rrf, min((list_idx, rank)) AS seen FROM ({LISTS}) GROUP BY query_id, file) QUALIFY rank <= 40"
 
 
@@ -315,7 +327,7 @@ def _hybrid(spark, sf, **more):
     return found.select("query_id", "rank", "file", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY f.rank), 6) AS score FROM ({RRF}) f WHERE f.rank <= 10 AND file IN (SELECT doc_id FROM documents)")
+@query(f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY f.rank), 6) AS score FROM ({RRF}) f WHERE f.rank <= 10")
 def hybrid_norerank(spark, sf):
     return _hybrid(spark, sf, rerank=False)
 
@@ -380,14 +392,8 @@ def chunk_documents(spark, sf):
     return chunks.chunk_table(tables.documents(spark, sf))
 
 
-@query(f"SELECT id, 'title: ' || title || ' | text: ' || left(body, 100) AS input FROM ({DOCS})")
-def embedding_inputs(spark, sf):
-    return tables.documents(spark, sf).select("id", vectors.document_input(F.col("title"), F.left("body", F.lit(100))).alias("input"))
-
-
 @query(f"SELECT id, 'title: ' || title || ' | text: ' || body AS input FROM ({DOCS})")
-def embedding_inputs_whole(spark, sf):
-    """embedding_inputs has the first 100 characters only; this has the whole text."""
+def embedding_inputs(spark, sf):
     return tables.documents(spark, sf).select("id", vectors.document_input(F.col("title"), F.col("body")).alias("input"))
 
 
@@ -436,7 +442,10 @@ def multi_get(spark, sf):
 CONTEXTS = [("en", "/", "English"), ("en", "/src1", "First"), ("fr", "", "French"), ("fr", "/src19/", "Nineteen")]
 
 
-@query(f"SELECT id, string_agg(t, chr(10) || chr(10) ORDER BY length(p), p) AS context FROM ({DOCS}) d JOIN (VALUES ('en', '/', 'English'), ('en', '/src1', 'First'), ('fr', '', 'French'), ('fr', '/src19/', 'Nineteen')) c(col, p, t) ON d.collection = c.col AND starts_with('/' || d.path, c.p) GROUP BY id")
+CONTEXT_SQL = f"SELECT id, string_agg(t, chr(10) || chr(10) ORDER BY length(p), p) AS context FROM ({DOCS}) d JOIN (VALUES ('en', '/', 'English'), ('en', '/src1', 'First'), ('fr', '', 'French'), ('fr', '/src19/', 'Nineteen')) c(col, p, t) ON d.collection = c.col AND starts_with('/' || d.path, c.p) GROUP BY id"
+
+
+@query(CONTEXT_SQL)
 def context_join(spark, sf):
     return lookup.contexts(tables.documents(spark, sf), spark.createDataFrame(CONTEXTS, "collection string, prefix string, text string"))
 
@@ -453,33 +462,54 @@ def line_slice(spark, sf):
     return d.select("id", text.line_slice(F.col("body"), F.lit(2), F.lit(3), numbered=True).alias("lines"))
 
 
-@query(f"SELECT r.query_id, r.rank, '{{\"docid\":\"#' || left(d.hash, 6) || '\",\"file\":\"' || d.collection || '/' || d.path || '\",\"title\":\"' || d.title || '\"}}' AS out FROM ({bm25_sql(SEARCHES, 5)}) r JOIN ({DOCS}) d USING (id)")
-def output_json(spark, sf):
-    d = tables.documents(spark, sf)
-    found = bm25.search(postings.postings(d), d, SEARCHES, 5).join(d, "id")
-    row = F.struct(F.concat(F.lit("#"), lookup.docid()).alias("docid"), lookup.display_path().alias("file"), "title")
-    return found.select("query_id", "rank", F.to_json(row).alias("out"))
+#: Search rows as the sinks get them: the context of the path, the first line and its text.
+SINK = f"""SELECT r.query_id, r.rank, '#' || left(d.hash, 6) AS docid, d.collection || '/' || d.path AS file, d.title, round_even(r.score * 100, 0) / 100 AS score, c.context, string_split(d.body, chr(10))[1] AS snippet
+FROM ({bm25_sql(SEARCHES, 5)}) r JOIN ({DOCS}) d USING (id) LEFT JOIN ({CONTEXT_SQL}) c USING (id)"""
+
+
+def _quoted(column: str) -> str:
+    return f"CASE WHEN regexp_matches({column}, '[\",\\n\\r]') THEN '\"' || replace({column}, '\"', '\"\"') || '\"' ELSE {column} END"
+
+
+def _escaped(column: str) -> str:
+    return f"replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _json_text(column: str) -> str:
+    return f"to_json({column})::VARCHAR"
+
+
+SINKS = {
+    "json": f"'{{\"docid\":\"' || docid || '\",\"score\":' || score || ',\"file\":' || {_json_text('file')} || ',\"line\":1,\"title\":' || {_json_text('title')} || coalesce(',\"context\":' || {_json_text('context')}, '') || ',\"snippet\":' || {_json_text('snippet')} || '}}'",
+    "csv": f"docid || ',' || score || ',' || {_quoted('file')} || ',' || {_quoted('title')} || ',' || coalesce({_quoted('context')}, '') || ',1,' || {_quoted('snippet')}",
+    "files": "docid || ',' || score || ',' || file || coalesce(',\"' || replace(context, '\"', '\"\"') || '\"', '')",
+    "md": "'# ' || title || chr(10) || '**docid:** `' || docid || '`' || chr(10) || coalesce('**context:** ' || context || chr(10), '') || chr(10) || snippet",
+    "xml": f"'<file docid=\"' || docid || '\" name=\"' || {_escaped('file')} || '\"' || coalesce(' context=\"' || {_escaped('context')} || '\"', '') || '>' || chr(10) || {_escaped('snippet')} || chr(10) || '</file>'",
+    "cli": "file || ':1 ' || docid || chr(10) || 'Title: ' || title || chr(10) || coalesce('Context: ' || context || chr(10), '') || 'Score: ' || CAST(round(raw_score * 100) AS INT) || '%' || chr(10) || chr(10) || snippet",
+}
 
 
 def _output(form: str) -> None:
     def run(spark, sf):
         d = tables.documents(spark, sf)
-        found = bm25.search(postings.postings(d), d, SEARCHES, 5).join(d, "id")
-        row = found.select("query_id", "rank", lookup.docid().alias("docid"), lookup.display_path().alias("file"), "title", "score", F.lit(None).cast("string").alias("context"), F.lit(1).alias("line"), F.left("body", F.lit(80)).alias("snippet"), "body")
+        known = lookup.contexts(d, spark.createDataFrame(CONTEXTS, "collection string, prefix string, text string"))
+        found = bm25.search(postings.postings(d), d, SEARCHES, 5).join(d, "id").join(known, "id", "left")
+        first = F.split("body", "\n").getItem(0)
+        row = found.select("query_id", "rank", lookup.docid().alias("docid"), lookup.display_path().alias("file"), "title", F.round("score", 6).alias("score"), "context", F.lit(1).alias("line"), first.alias("snippet"), "body")
         return format.rows_as(row, form)
 
     run.__name__ = f"output_{form}"
-    query()(run)
+    query(f"SELECT query_id, rank, {SINKS[form]} AS out FROM ({SINK.replace('c.context', 'c.context, r.score AS raw_score')})")(run)
 
 
-for _form in ("csv", "files", "md", "xml", "cli"):
+for _form in format.FORMATS:
     _output(_form)
 
 
 # Retrieval metrics: the nearest vectors of a vector are right where they have its label.
 
-RANKED = f"SELECT query_id, rank, id AS file FROM ({nearest_sql(20, TEN)})"
-RELEVANT = "SELECT CAST(q.vec_id AS VARCHAR) AS query_id, e.vec_id AS file FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id < 10"
+RANKED = f"SELECT query_id, rank, id AS file FROM ({nearest_sql(20, ASKED)})"
+RELEVANT = "SELECT CAST(q.vec_id AS VARCHAR) AS query_id, e.vec_id AS file FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 50 = 0"
 PER_QUERY = f"""WITH r AS ({RANKED}), w AS ({RELEVANT}), n AS (SELECT query_id, count(DISTINCT file) AS n_relevant FROM w GROUP BY 1),
 h AS (SELECT r.query_id, rank FROM r JOIN w USING (query_id, file)),
 g AS (SELECT query_id, max(1.0::DOUBLE / rank) AS rr, count(*) FILTER (rank <= 10) AS h, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY 1)
@@ -489,13 +519,13 @@ round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n_relevant)
 
 
 def _ranked(spark, sf, k: int = 20):
-    return vectors.nearest(_embedded(spark, sf), _ten(spark, sf), k).select("query_id", "rank", F.col("id").alias("file"))
+    return vectors.nearest(_embedded(spark, sf), _asked(spark, sf), k).select("query_id", "rank", F.col("id").alias("file"))
 
 
 def _relevant(spark, sf):
     e = tables.table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").cast("string").alias("query_id"), "label")
-    return e.select("label", F.col("vec_id").alias("file")).join(F.broadcast(q), "label").select("query_id", "file")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "label")
+    return e.select("label", F.col("vec_id").alias("file")).join(q, "label").select("query_id", "file")
 
 
 @query(PER_QUERY)
@@ -510,7 +540,7 @@ def ir_means(spark, sf):
     return found.select(*(F.round(c, 5).alias(c) for c in found.columns))
 
 
-OTHER = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, id AS file FROM ({})".format(nearest_sql(15, TEN))
+OTHER = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, id AS file FROM ({})".format(nearest_sql(15, ASKED))
 
 
 def _other(spark, sf):

@@ -9,8 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Runs of these scripts are searched character by character.
-CJK = r"\x{2E80}-\x{2FFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
+# Fixed values, searched character by character: Han with extension A and compatibility forms, kana, Hangul syllables and letters.
+CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}"
 TOKEN = r"[\p{L}\p{N}]+"
 
 

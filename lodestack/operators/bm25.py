@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +14,10 @@ from lodestack.functions.text import fold
 from lodestack.operators.postings import document_lengths, statistics
 
 K1, B, TITLE, BODY, LEAST_IDF = 1.2, 0.75, 4.0, 1.0, 1e-6
-_CJK = re.compile(r"([⺀-⿿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿])")
+#: Terms that are written out as a predicate.
+PUSHED = 500
+# Han with extension A and compatibility forms, kana, Hangul syllables and letters.
+_CJK = re.compile("([\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7a3\u1100-\u11ff])")
 
 
 @dataclass(frozen=True)
@@ -27,11 +30,12 @@ class Phrase:
 def parse(query: str, stemmed: bool = False) -> list[Phrase] | None:
     """Phrases of a query; None if nothing positive is asked for.
 
-    A leading - negates; quotes hold a phrase and an unclosed one runs to the end; a word that falls into several
-    tokens, or holds CJK characters, is a phrase of them; any other word is a prefix.
+    A leading - negates; quotes hold a phrase and an unclosed one runs to the end. Any other word ends at white space or
+    a quote: one of several parts, or with CJK characters, is a phrase of them, one part is a prefix. An apostrophe or
+    underscore doesn't part a word, but the index splits at both: the tokens then are a phrase whose last is a prefix.
     """
     out = []
-    for m in re.finditer(r'(-?)(?:"([^"]*)(?:"|$)|(\S+))', query):
+    for m in re.finditer(r'(-?)(?:"([^"]*)(?:"|$)|([^\s"]+))', query):
         quoted = m[2] is not None
         raw = m[2] if quoted else m[3]
         words = re.findall(r"[^\W_]+", _CJK.sub(r" \1 ", fold(raw)))
@@ -39,17 +43,35 @@ def parse(query: str, stemmed: bool = False) -> list[Phrase] | None:
             continue
         if stemmed:
             words = [stem(w) for w in words]
-        prefix = not quoted and len(words) == 1 and not _CJK.search(raw)
+        parts = [x for x in re.split(r"[^\w']+", raw) if x]
+        prefix = not quoted and len(parts) == 1 and not _CJK.search(raw)
         out.append(Phrase(tuple(words), prefix, bool(m[1])))
     return out if any(not p.negated for p in out) else None
 
 
-def phrase_table(spark: SparkSession, queries: dict[str, str], stemmed: bool = False) -> DataFrame:
-    """query_id, phrase, negated, prefix, n (tokens), i (token's place), token. As large as the queries' text."""
+def phrase_rows(queries: dict[str, str], stemmed: bool = False) -> list[tuple]:
+    """The rows of phrase_table."""
     rows = []
     for q, text in queries.items():
         for k, p in enumerate(parse(text, stemmed) or []):
-            rows += [(q, k, p.negated, p.prefix, len(p.tokens), i, t) for i, t in enumerate(p.tokens)]
+            rows += [(q, k, p.negated, p.prefix and i + 1 == len(p.tokens), len(p.tokens), i, t) for i, t in enumerate(p.tokens)]
+    return rows
+
+
+def asked_terms(rows: list[tuple]) -> Column | None:
+    """The terms that phrases ask for, as a predicate that a stored index prunes by; None if there are too many to write out."""
+    exact, prefixes = sorted({r[6] for r in rows if not r[3]}), sorted({r[6] for r in rows if r[3]})
+    if len(exact) + len(prefixes) > PUSHED:
+        return None
+    out = F.col("term").isin(*exact) if exact else F.lit(False)
+    for p in prefixes:
+        out = out | F.col("term").startswith(p)
+    return out
+
+
+def phrase_table(spark: SparkSession, queries: dict[str, str], stemmed: bool = False) -> DataFrame:
+    """query_id, phrase, negated, prefix (of the last token only), n (tokens), i (token's place), token. As large as the queries' text."""
+    rows = phrase_rows(queries, stemmed)
     return spark.createDataFrame(rows, "query_id string, phrase int, negated boolean, prefix boolean, n int, i int, token string")
 
 
@@ -66,13 +88,18 @@ def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
     return whole.groupBy("query_id", "phrase", "negated", "id", "field").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def scores(post: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """query_id, id, bm25 (negative, lower is better), score in [0, 1) of the documents that match all positive and no negated phrases."""
-    hits = phrase_hits(post, phrases)
+def scores(post: DataFrame, docs: DataFrame, queries: dict[str, str], stemmed: bool = False, lengths: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """query_id, id, bm25 (negative, lower is better), score in [0, 1) of the documents that match all positive and no negated phrases.
+
+    lengths and stats: those of a stored index; else they are counted from the postings.
+    """
+    phrases = phrase_table(docs.sparkSession, queries, stemmed)
+    asked_for = asked_terms(phrase_rows(queries, stemmed))
+    hits = phrase_hits(post if asked_for is None else post.filter(asked_for), phrases)
     weighted = hits.groupBy("query_id", "phrase", "negated", "id").agg(F.sum(F.col("hits") * F.when(F.col("field") == "title", TITLE).otherwise(BODY)).alias("f"))
     asked = phrases.filter("not negated").groupBy("query_id").agg(F.countDistinct("phrase").alias("need"))
-    lengths = document_lengths(post)
-    stats = statistics(docs, lengths)
+    lengths = document_lengths(post) if lengths is None else lengths
+    stats = statistics(docs, lengths) if stats is None else stats
     matches = weighted.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n_p"))
     idf = F.log((F.col("n_docs") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idfs = matches.crossJoin(F.broadcast(stats)).select("query_id", "phrase", "avgdl", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
@@ -88,14 +115,14 @@ def scores(post: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return kept.select("query_id", "id", (-F.col("s")).alias("bm25"), (F.col("s") / (1 + F.col("s"))).alias("score"))
 
 
-def search(post: DataFrame, docs: DataFrame, queries: dict[str, str], limit: int = 20, eligible: DataFrame | None = None, overfetch: int | None = None, stemmed: bool = False) -> DataFrame:
+def search(post: DataFrame, docs: DataFrame, queries: dict[str, str], limit: int = 20, eligible: DataFrame | None = None, overfetch: int | None = None, stemmed: bool = False, lengths: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """query_id, rank (from 1), id, bm25, score: the best `limit` documents of each query.
 
     docs: the indexed documents (id, ...), which make the statistics. eligible: ids that may be returned; they are
     filtered before the limit. With `overfetch`, only the best so many are looked at before that filter, which can
-    leave fewer rows.
+    leave fewer rows. lengths, stats: see scores().
     """
-    found = scores(post, docs, phrase_table(docs.sparkSession, queries, stemmed))
+    found = scores(post, docs, queries, stemmed, lengths, stats)
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id")
     if eligible is not None:
         if overfetch is not None:

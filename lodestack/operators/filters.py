@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEPTH, NODES, OPERANDS, MEMBERS = 16, 256, 32, 64
+# How deep and large a filter may be, bytes of a key, characters of a string.
+DEPTH, NODES, OPERANDS, MEMBERS, KEY_BYTES, STRING_CHARS = 16, 256, 32, 64, 128, 1024
 ORDERED = ("gt", "gte", "lt", "lte")
 VALUES = "array<struct<key:string,ordinal:int,value_type:string,text_value:string,number_value:double,boolean_value:boolean>>"
 
@@ -45,8 +47,12 @@ def parse(text: str | dict):
             fail(path, f"missing property {sorted(lacking)[0]!r}")
 
     def scalar(v: object, path: str):
-        if not isinstance(v, (str, bool, int, float)) or v != v:
+        if not isinstance(v, (str, bool, int, float)):
             fail(path, "expected a string, number or boolean")
+        if isinstance(v, float) and not math.isfinite(v):
+            fail(path, "expected a finite number")
+        if isinstance(v, str) and len(v) > STRING_CHARS:
+            fail(path, f"more than {STRING_CHARS} characters")
         return v
 
     def walk(n: object, path: str, depth: int):
@@ -70,6 +76,8 @@ def parse(text: str | dict):
         only(n, path, {"key", "operator", "value"})
         if not isinstance(n["key"], str) or not n["key"]:
             fail(f"{path}.key", "expected a key")
+        if len(n["key"].encode()) > KEY_BYTES:
+            fail(f"{path}.key", f"more than {KEY_BYTES} bytes")
         v, at = n["value"], f"{path}.value"
         if op == "exists":
             if not isinstance(v, bool):
@@ -79,7 +87,7 @@ def parse(text: str | dict):
                 fail(at, f"expected 1 to {MEMBERS} values")
             if len({kind(scalar(x, f"{at}[{i}]")) for i, x in enumerate(v)}) > 1:
                 fail(at, "values of different types")
-            v = tuple(v)
+            v = tuple(dict.fromkeys(v))
         elif op in ("eq", "ne", *ORDERED):
             scalar(v, at)
             if op in ORDERED and isinstance(v, bool):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,8 @@ def stem_terms(found: DataFrame) -> DataFrame:
     def stems(terms):
         return terms.map(stem)
 
-    return found.withColumn("term", stems("term"))
+    known = found.select("term").distinct().withColumn("stem", stems("term"))
+    return found.join(known, "term").withColumn("term", F.col("stem")).drop("stem").select(*found.columns)
 
 
 def document_lengths(post: DataFrame) -> DataFrame:
@@ -43,6 +44,24 @@ def statistics(docs: DataFrame, lengths: DataFrame) -> DataFrame:
     return n.crossJoin(lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"))
 
 
+def write_index(docs: DataFrame, path: str, stemmed: bool = False) -> None:
+    """Postings sorted by term, lengths and statistics of docs under `path`, once for all searches.
+
+    Files are ranges of (term, id), so a frequent term has several, and a search reads only those whose range holds its
+    terms or prefixes.
+    """
+    post = postings(docs, stemmed)
+    post.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "field", "pos").write.parquet(f"{path}/postings")
+    stored = docs.sparkSession.read.parquet(f"{path}/postings")
+    document_lengths(stored).write.parquet(f"{path}/lengths")
+    statistics(docs, docs.sparkSession.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/statistics")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, lengths and statistics of a stored index."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "statistics"))
+
+
 def refresh(post: DataFrame, changed: DataFrame, removed: DataFrame, stemmed: bool = False) -> DataFrame:
     """Postings after an update: those of changed (id, title, body) and removed (id) documents are replaced."""
     gone = changed.select("id").union(removed.select("id"))

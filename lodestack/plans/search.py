@@ -38,7 +38,8 @@ def ranked_lists(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries:
             elif vector is not None:
                 vecs.append((name, [float(v) for v in vector]))
     search = bm25.search(post, docs, texts, depth, eligible).select("query_id", "rank", "id", "score")
-    pool = embedded if eligible is None else embedded.join(eligible.select("id"), "id", "left_semi")
+    # A vector without a document takes no candidate's place.
+    pool = embedded.join((docs if eligible is None else eligible).select("id"), "id", "left_semi")
     near = vectors.nearest(pool, spark.createDataFrame(vecs, "query_id string, embedding array<double>"), depth)
     near = near.select("query_id", "rank", "id", F.greatest(F.lit(0.0), 1 - F.col("distance") / 2).alias("score"))
     named = spark.createDataFrame(weights, "name string, q string, list_idx int, weight double")
