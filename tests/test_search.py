@@ -61,6 +61,41 @@ def test_parse():
     assert bm25.parse('"open end') == [bm25.Phrase(("open", "end"))]
 
 
+@pytest.mark.parametrize(
+    ("search", "want"),
+    [
+        # Written by hand from the rules: an apostrophe or underscore stays in its term, a quote ends one.
+        ("o'bri", [(("o", "bri"), True, False)]),
+        ("multi_wo", [(("multi", "wo"), True, False)]),
+        ("multi-agent", [(("multi", "agent"), False, False)]),
+        ('foo"bar baz"', [(("foo",), True, False), (("bar", "baz"), False, False)]),
+        ('-"a b" c', [(("a", "b"), False, True), (("c",), True, False)]),
+        ("日本 x", [(("日", "本"), False, False), (("x",), True, False)]),
+        ("- x", [(("x",), True, False)]),
+    ],
+)
+def test_parse_by_hand(search, want):
+    assert [(p.tokens, p.prefix, p.negated) for p in bm25.parse(search)] == want
+
+
+@pytest.mark.parametrize(("search", "match"), [("o'bri", '"o\'bri"*'), ("multi_wo", '"multi_wo"*'), ('guide"the server"', '"guide"* AND "the server"')])
+def test_matches_of_hand_written_fts5(spark, docs, search, match):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table d using fts5(title, body, tokenize='porter unicode61')")
+    db.executemany("insert into d(rowid, title, body) values (?, ?, ?)", DOCS)
+    want = {r for (r,) in db.execute("select rowid from d where d match ?", (match,))}
+    assert want and {r["id"] for r in bm25.search(postings.postings(docs, stemmed=True), docs, {"q": search}, 20, stemmed=True).collect()} == want
+
+
+def test_stored_index_is_pruned(spark, docs, tmp_path):
+    postings.write_index(docs, str(tmp_path))
+    post, lengths, stats = postings.read_index(spark, str(tmp_path))
+    found = bm25.search(post, docs, {"q": "server guide"}, 5, lengths=lengths, stats=stats)
+    assert "StringStartsWith(term,server)" in found._jdf.queryExecution().toString()
+    want = bm25.search(postings.postings(docs), docs, {"q": "server guide"}, 5)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [tuple(r) for r in want.orderBy("rank").collect()]
+
+
 def test_starvation_only_on_request(spark, docs):
     post = postings.postings(docs)
     only = docs.filter("id = 1")
@@ -120,6 +155,9 @@ def test_filters(spark, tree, want):
         ({"key": "a", "operator": "gt", "value": True}, "$.value"),
         ({"key": "a", "operator": "in", "value": [1, "b"]}, "$.value"),
         ({"key": "a", "operator": "like", "value": "b"}, "$.operator"),
+        ({"key": "a", "operator": "eq", "value": float("inf")}, "$.value"),
+        ({"key": "k" * 129, "operator": "eq", "value": 1}, "$.key"),
+        ({"key": "a", "operator": "in", "value": ["b" * 1025]}, "$.value[0]"),
     ],
 )
 def test_bad_filters(tree, at):
@@ -127,6 +165,10 @@ def test_bad_filters(tree, at):
         filters.parse(tree)
 
 
+def test_repeated_members_count_once():
+    assert filters.parse({"key": "a", "operator": "in", "value": ["b", "a", "b"]}).value == ("b", "a")
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("q", 1, "x"), ("q", 2, "a"), ("q", 3, "a"), ("q", 4, "b")], "query_id string, rank int, file string")
     relevant = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c"), ("none", "z")], "query_id string, file string")
