@@ -1,6 +1,7 @@
-"""Chunks, code fences, headings, breadcrumbs, front matter and snippets: what needs a scan of the text in order.
+"""Chunks, code fences, headings, breadcrumbs, front matter: what needs a scan of the text in order; and snippets.
 
-Each is a plain function on a string; the table-valued ones run in mapInArrow, a batch of documents at a time.
+Each but the snippet (a column) is a plain function on a string; the table-valued ones run in mapInArrow, a batch of
+documents at a time.
 """
 
 from __future__ import annotations
@@ -8,8 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Break points by kind, and their scores.
 BREAKS = {
@@ -38,44 +41,53 @@ def break_points(text: str, extension: str = "") -> dict[int, int]:
     return out
 
 
-def fences(text: str) -> list[tuple[int, int]]:
-    """Pairs of ``` lines; a last one alone is left out."""
-    at = [m.start() for m in re.finditer(r"\n```", text)]
-    return [(a, b + 4) for a, b in zip(at[::2], at[1::2], strict=False)]
+class Cuts:
+    """Where a text may be cut: its break points outside code fences, sorted, with their scores, and the fences.
 
+    A fence runs from one line of ``` to the next; a last one alone is none. Everything is sorted once, so a cut looks
+    at the break points of its own window only.
+    """
 
-def best_cut(points: dict[int, int], inside: list[tuple[int, int]], target: int, window: int) -> int:
-    """The break point of [target - window, target] with the best score, less the further it is from the target; target if none."""
-    best, at = 0.0, target
-    for p in sorted(q for q in points if target - window <= q <= target):
-        if any(a < p < b for a, b in inside):
-            continue
-        score = points[p] * (1 - 0.7 * ((target - p) / window) ** 2)
-        if score > best:
-            best, at = score, p
-    return at
+    def __init__(self, text: str, extension: str = ""):
+        marks = [m.start() for m in re.finditer(r"\n```", text)]
+        before_all = [-(1 << 60)]
+        self.opens = np.array(before_all + marks[: len(marks) // 2 * 2 : 2], "int64")
+        self.closes = np.array(before_all + marks[1::2], "int64") + 4
+        found = break_points(text, extension)
+        at = np.sort(np.fromiter(found, "int64", len(found)))
+        self.at = at[self.leave(at) == at]
+        self.score = np.array([found[p] for p in self.at.tolist()], "float64")
+
+    def leave(self, place):
+        """The places, or the end of the fence that a place lies in."""
+        return np.maximum(place, self.closes[np.searchsorted(self.opens, place) - 1])
+
+    def near(self, target: int, window: int) -> int:
+        """The break point up to `window` before the target with the best score, less the further off, the first of equals; else the target."""
+        lo, hi = np.searchsorted(self.at, (target - window, target + 1))
+        here = self.at[lo:hi]
+        worth = self.score[lo:hi] * (1 - 0.7 * ((target - here) / window) ** 2)
+        return int(here[worth.argmax()]) if len(here) else target
+
+
+def spans(text: str, sizes: tuple[int, int, int] = EMBED_SIZES, extension: str = "") -> Iterator[tuple[int, int]]:
+    """(start, end) of overlapping chunks that cover the text. A fence is never cut, whatever its size."""
+    (most, overlap, window), length, start = sizes, len(text), 0
+    cuts = Cuts(text, extension) if length > most else None
+    while length - start > most:
+        cut = cuts.near(start + most, window)
+        end = int(cuts.leave(cut if cut > start else start + most))
+        yield start, end
+        if end >= length:
+            return
+        again = int(cuts.leave(end - overlap))
+        start = again if again > start else max(start + 1, (start + end) // 2)
+    yield start, length
 
 
 def chunks(text: str, sizes: tuple[int, int, int] = EMBED_SIZES, extension: str = "") -> list[tuple[int, str]]:
-    """(position, text) of overlapping chunks that cover the text."""
-    most, overlap, window = sizes
-    if len(text) <= most:
-        return [(0, text)]
-    points, inside = break_points(text, extension), fences(text)
-    out, start = [], 0
-    while True:
-        end = len(text)
-        if start + most < end:
-            end = best_cut(points, inside, start + most, window)
-            if end <= start:
-                end = start + most
-            end = next((b for a, b in inside if a < end < b), end)  # a fence is never cut, whatever its size
-        out.append((start, text[start:end]))
-        if end >= len(text):
-            return out
-        again = end - overlap
-        again = next((b for a, b in inside if a < again < b), again)
-        start = again if again > start else max(start + 1, (start + end) // 2)
+    """(position, text) of the chunks."""
+    return [(a, text[a:b]) for a, b in spans(text, sizes, extension)]
 
 
 def chunk_table(docs: DataFrame, sizes: tuple[int, int, int] = EMBED_SIZES) -> DataFrame:
@@ -211,27 +223,53 @@ def query_terms(query: str) -> list[str]:
     return [w for w in query.lower().split() if len(w) > 2]
 
 
-def snippet(body: str, query: str, intent: str | None = None, pos: int | None = None, size: int | None = None, most: int = 500) -> tuple[int, str]:
-    """(line, text): the line with most terms, one before and two after, under a header that says where they stand.
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _view(text: Column, terms: Column, wanted: Column) -> Column:
+    """A text's lines, the highest weight of one, and the place (from 1) of the first with it: terms count 1, intent terms 0.3."""
+    count = lambda words, line: F.size(F.filter(words, lambda w: F.contains(line, w)))
+    weights = lambda lines: F.transform(lines, lambda x: _let(F.lower(x), lambda low: count(terms, low) + 0.3 * count(wanted, low)))
+    best = lambda lines, w: F.struct(lines.alias("lines"), F.array_max(w).alias("weight"), F.array_position(w, F.array_max(w)).cast("int").alias("at"))
+    return _let(_lines(text), lambda lines: _let(weights(lines), lambda w: best(lines, w)))
+
+
+def _excerpt(lines: Column, at: Column, above: Column, total: Column, most: int) -> Column:
+    """line, text and visible of the lines around one, one before and two after, under a header that says where they stand."""
+    first = F.greatest(at - 1, F.lit(1))
+    shown = F.slice(lines, first, F.least(F.size(lines), at + 2) - first + 1)
+
+    def row(kept: Column) -> Column:
+        text, start = F.array_join(kept, "\n"), above + first
+        text = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
+        head = F.format_string("@@ -%d,%d @@ (%d before, %d after)\n", start, F.size(kept), start - 1, total - start + 1 - F.size(kept))
+        return F.struct((above + at).alias("line"), F.concat(head, text).alias("text"), F.exists(kept, lambda x: x.rlike(r"\S")).alias("visible"))
+
+    return _let(shown, row)
+
+
+def snippet(body: Column, terms: Column, wanted: Column | None = None, pos: Column | None = None, size: int = QUERY_SIZES[0], most: int = 500) -> Column:
+    """A struct of line and text: where a document speaks of the query. terms, wanted: lower-case words of query and intent.
 
-    With a chunk's position only its neighbourhood is searched. If no term is there, a chunk at 0 may be a default, so
-    the whole text is searched; any other chunk shows its own first line, and if that is blank the whole text too.
+    With a chunk's place pos, its neighbourhood is looked at first: the line with most words, or for a chunk after the
+    start that has none, its own first line if one can see anything there. Else, and for a pos that is null or negative,
+    the best line of the whole text. A null body is as an empty one.
     """
-    near = pos is not None and pos >= 0
-    lo, hi = (max(0, pos - 100), min(len(body), pos + (size or QUERY_SIZES[0]) + 100)) if near else (0, len(body))
-    before, window = body.count("\n", 0, lo), body[lo:hi].split("\n")
-    terms, wanted = query.lower().split(), intent_terms(intent)
-    scores = [sum(t in x.lower() for t in terms) + 0.3 * sum(t in x.lower() for t in wanted) for x in window]
-    best = scores.index(max(scores))
-    if near and scores[best] <= 0:
-        if pos == 0:
-            return snippet(body, query, intent, most=most)
-        best = body.count("\n", lo, pos)
-    a, b = max(0, best - 1), min(len(window), best + 3)
-    text = "\n".join(window[a:b])
-    if near and pos > 0 and not text.strip():
-        return snippet(body, query, intent, most=most)
-    if len(text) > most:
-        text = text[: most - 3] + "..."
-    above = before + a
-    return before + best + 1, f"@@ -{above + 1},{b - a} @@ ({above} before, {body.count(chr(10)) + 1 - above - (b - a)} after)\n{text}"
+    body = F.coalesce(body, F.lit(""))
+    wanted = F.expr("cast(array() as array<string>)") if wanted is None else wanted
+    total = F.size(_lines(body))
+    whole = _let(_view(body, terms, wanted), lambda v: _excerpt(v["lines"], v["at"], F.lit(0), total, most))
+    if pos is not None:
+        lo = F.greatest(pos - 100, F.lit(0))
+        above, own = F.size(_lines(F.left(body, lo))) - 1, F.size(_lines(F.substring(body, lo + 1, pos - lo)))
+        place = lambda v: F.when(v["weight"] > 0, v["at"]).when(pos > 0, own)
+        around = lambda v: _let(place(v), lambda at: F.when(at.isNotNull(), _excerpt(v["lines"], at, above, total, most)))
+        near = _let(_view(F.substring(body, lo + 1, pos + size + 100 - lo), terms, wanted), around)
+        whole = F.when(pos >= 0, _let(near, lambda e: F.when(e["visible"], e).otherwise(whole))).otherwise(whole)
+    return _let(whole, lambda e: F.struct(e["line"].alias("line"), e["text"].alias("text")))

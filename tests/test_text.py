@@ -54,9 +54,53 @@ def test_front_matter():
     assert len(chunks.metadata_values(found)) == 5
 
 
-def test_snippet():
-    line, out = chunks.snippet("one\ntwo\nthree apples\nfour\nfive\nsix", "apples")
-    assert line == 3 and out == "@@ -2,4 @@ (1 before, 1 after)\ntwo\nthree apples\nfour\nfive"
+def _snippet(spark, body, terms, pos=None, wanted=(), most=500):
+    df = spark.createDataFrame([(body, list(terms), list(wanted), pos)], "body string, terms array<string>, wanted array<string>, pos int")
+    return tuple(df.select(chunks.snippet(F.col("body"), F.col("terms"), F.col("wanted"), F.col("pos"), most=most).alias("s")).first()["s"])
+
+
+def test_snippet(spark):
+    """Line and text by the rules of its docstring, worked out by hand."""
+    body = "one\ntwo\nthree apples\nfour\nfive\nsix"
+    want = (3, "@@ -2,4 @@ (1 before, 1 after)\ntwo\nthree apples\nfour\nfive")
+    assert _snippet(spark, body, ["apples"]) == want
+    assert _snippet(spark, body, ["apples"], pos=4) == want
+    assert _snippet(spark, body, ["none"]) == (1, "@@ -1,3 @@ (0 before, 3 after)\none\ntwo\nthree apples")
+    assert _snippet(spark, body, ["two"], wanted=["four"])[0] == 2
+    assert _snippet(spark, body, ["none"], wanted=["four"])[0] == 4
+    assert _snippet(spark, body, ["apples"], most=10)[1].endswith("\ntwo\nth\u0072...")
+    long = "apples\n" + "x\n" * 300 + "tail\n" + "\n" * 200
+    assert _snippet(spark, long, ["apples"], pos=0)[0] == 1
+    assert _snippet(spark, long, ["apples"], pos=607) == (302, "@@ -301,4 @@ (300 before, 199 after)\nx\ntail\n\n")
+    assert _snippet(spark, long, ["apples"], pos=800)[0] == 1, "nothing to see there: the whole text"
+    assert _snippet(spark, None, ["apples"], pos=3) == (1, "@@ -1,1 @@ (0 before, 0 after)\n")
+
+
+def test_chunks_follow_the_definition():
+    """Against the rules of a cut read literally: every break point tried, fences walked one by one."""
+    import random
+
+    rng = random.Random(5)
+
+    def slow(body, most, overlap, window):
+        points = chunks.break_points(body)
+        at = [i for i in range(len(body)) if body.startswith("\n```", i)]
+        inside = [(at[i], at[i + 1] + 4) for i in range(0, len(at) - 1, 2)]
+        out = lambda p: next((b for a, b in inside if a < p < b), p)
+        made, start = [], 0
+        while len(body) - start > most:
+            target = start + most
+            worth = {p: s * (1 - 0.7 * ((target - p) / window) ** 2) for p, s in points.items() if target - window <= p <= target and out(p) == p}
+            end = out(min(worth, key=lambda p: (-worth[p], p)) if worth else target)
+            made.append((start, body[start:end]))
+            if end >= len(body):
+                return made
+            start = out(end - overlap) if out(end - overlap) > start else max(start + 1, (start + end) // 2)
+        return [*made, (start, body[start:])]
+
+    for _ in range(300):
+        body = "".join(rng.choice(["ab ", "\n", "\n\n", "\n# h", "\n- x", "\n```", "word ", "\n---\n"]) for _ in range(rng.randrange(150)))
+        assert chunks.chunks(body, (60, 9, 20)) == slow(body, 60, 9, 20)
 
 
 @pytest.mark.parametrize(
