@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import chunks, format, text
 from lodestack.operators import bm25, filters, fusion, lifecycle, lookup, metrics, postings, vectors
-from lodestack.plans.search import Query, hybrid, ranked_lists
+from lodestack.plans.search import Query, hybrid, ranked_lists, result_rows
 from lodestack.sources import tables
 from lodestack.sources.shared import shared_folder
 
@@ -293,13 +293,61 @@ def vec_dedupe(spark, sf):
     return found.select("query_id", "rank", "doc_id", "seq", F.round("score", 6).alias("score"))
 
 
+# Chunks and snippets in SQL, for texts without code fences (the tables hold none).
+
+
+def chunks_sql(source: str, sizes: tuple[int, int, int]) -> str:
+    """id, seq, pos, text of source (id, body): break points from the lines, cuts by recursion."""
+    most, overlap, window = sizes
+    worth = f"-score * (1 - 0.7::DOUBLE * (((s + {most} - place)::DOUBLE / {window}) * ((s + {most} - place)::DOUBLE / {window})))".replace("score", "p.score").replace("- place)", "- p.place)")
+    cut = f"CASE WHEN n - s <= {most} THEN n ELSE coalesce(list_sort(list_transform(list_filter(points, lambda p: p.place BETWEEN s + {most - window} AND s + {most}), lambda p: {{'w': {worth}, 'place': p.place}}))[1].place, s + {most}) END"
+    level = "length(regexp_extract(nxt, '^#+'))"
+    return rf"""WITH RECURSIVE src AS MATERIALIZED ({source}),
+l AS (SELECT id, string_split(body, chr(10)) AS ls FROM src WHERE length(body) > {most}),
+ln AS (SELECT id, i, ls[i] AS prev, ls[i + 1] AS nxt, i + 1 = len(ls) AS final FROM (SELECT *, unnest(range(1, len(ls))) AS i FROM l)),
+pt AS (SELECT id, CAST(sum(length(prev) + 1) OVER (PARTITION BY id ORDER BY i) - 1 AS BIGINT) AS place,
+CASE WHEN {level} BETWEEN 1 AND 3 THEN 110 - 10 * {level} WHEN starts_with(nxt, '```') THEN 80 WHEN {level} BETWEEN 4 AND 6 THEN 110 - 10 * {level}
+WHEN regexp_full_match(nxt, '(---|\*\*\*|___)\s*') AND NOT final THEN 60 WHEN nxt = '' AND NOT final AND (i = 1 OR prev <> '') THEN 20
+WHEN regexp_matches(nxt, '^([-*]|\d+\.)\s') OR (regexp_full_match(nxt, '[-*]|\d+\.') AND NOT final) THEN 5 ELSE 1 END AS score FROM ln),
+doc AS (SELECT src.id, length(body) AS n, coalesce(points, []) AS points FROM src LEFT JOIN (SELECT id, list({{'place': place, 'score': score}}) AS points FROM pt GROUP BY id) USING (id)),
+r AS (SELECT id, 0 AS seq, s, {cut} AS e, n, points FROM (SELECT *, 0::BIGINT AS s FROM doc)
+UNION ALL SELECT id, seq, s, {cut}, n, points FROM (SELECT id, seq + 1 AS seq, CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE greatest(s + 1, (s + e) // 2) END AS s, n, points FROM r WHERE e < n))
+SELECT id, CAST(seq AS INT) AS seq, CAST(s AS INT) AS pos, substring(body, s + 1, e - s) AS text FROM r JOIN src USING (id)"""
+
+
+def snippets_sql(source: str, size: int = chunks.QUERY_SIZES[0], most: int = 500) -> str:
+    """source (id, body, terms, wanted, pos, ...) with line and snippet."""
+    nl = "chr(10)"
+    weights = lambda ls: f"list_transform({ls}, lambda x: len(list_filter(terms, lambda t: contains(lower(x), t))) + 0.3::DOUBLE * len(list_filter(wanted, lambda t: contains(lower(x), t))))"
+    around = lambda ls, mid: f"{ls}[greatest({mid} - 1, 1):least(len({ls}), {mid} + 2)]"
+    return rf"""SELECT * EXCLUDE (ls, near, lo, above, own, w0, w1, mid0, mid1, used, mid, up, kept, shown), CAST(up + mid AS INT) AS line,
+'@@ -' || (up + greatest(mid - 1, 1)) || ',' || len(kept) || ' @@ (' || (up + greatest(mid - 1, 1) - 1) || ' before, ' || (len(ls) - up - greatest(mid - 1, 1) + 1 - len(kept)) || ' after)' || {nl} || CASE WHEN length(shown) > {most} THEN substring(shown, 1, {most - 3}) || '...' ELSE shown END AS snippet FROM (
+SELECT *, array_to_string(kept, {nl}) AS shown FROM (SELECT *, CASE WHEN used THEN {around('near', 'mid')} ELSE {around('ls', 'mid')} END AS kept FROM (SELECT *, CASE WHEN used THEN mid1 ELSE mid0 END AS mid, CASE WHEN used THEN above ELSE 0 END AS up FROM (
+SELECT *, mid1 IS NOT NULL AND regexp_matches(array_to_string({around('near', 'mid1')}, ' '), '\S') AS used FROM (
+SELECT *, list_position(w0, list_max(w0)) AS mid0, CASE WHEN pos >= 0 THEN CASE WHEN list_max(w1) > 0 THEN list_position(w1, list_max(w1)) WHEN pos > 0 THEN own END END AS mid1 FROM (
+SELECT *, {weights('ls')} AS w0, {weights('near')} AS w1 FROM (
+SELECT *, string_split(substring(body, lo + 1, pos + {size + 100} - lo), {nl}) AS near, len(string_split(substring(body, 1, lo), {nl})) - 1 AS above, len(string_split(substring(body, lo + 1, pos - lo), {nl})) AS own FROM (
+SELECT *, string_split(body, {nl}) AS ls, CASE WHEN pos >= 0 THEN greatest(pos - 100, 0) END AS lo FROM ({source})))))))))"""
+
+
+def words_sql(queries: dict[str, Query]) -> str:
+    """query_id, all words of the query, those of its intent, and what its chunks are chosen and judged by."""
+    kept = lambda words: "list_filter([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "], lambda x: x <> '')::VARCHAR[]"
+    asked = lambda x: (f"{x.intent} " if x.intent else "") + x.text
+    rows = [f"('{q}', {kept(x.text.lower().split())}, {kept(chunks.intent_terms(x.intent))}, {kept(chunks.query_terms(x.text))}, {kept(chunks.query_terms(asked(x)))})" for q, x in queries.items()]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) words(query_id, terms, wanted, chunk_terms, asked)"
+
+
 # Fusion and the hybrid query.
 
 QUERY_VECTORS = " UNION ALL ".join(f"SELECT '{q}' AS query_id, embedding FROM embeddings WHERE vec_id = {v}" for q, v in VECTOR_OF.items())
 WITH_DOCUMENT = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
 LISTS = f"SELECT query_id, 0 AS list_idx, rank - 1 AS rank, id AS file, 2.0::DOUBLE AS weight, greatest(0, 1 - distance / 2) AS score FROM ({nearest_sql(40, QUERY_VECTORS, WITH_DOCUMENT)}) UNION ALL SELECT query_id, 1, rank - 1, id, 2.0::DOUBLE, score FROM ({bm25_sql(SEARCHES, 40)})"
-RRF = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen, file) AS rank FROM (SELECT query_id, file, sum(weight / (61 + rank)) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0 END AS rrf, min((list_idx, rank)) AS seen FROM ({LISTS}) GROUP BY query_id, file) QUALIFY rank <= 40"
+def rrf_sql(lists: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen, file) AS rank FROM (SELECT query_id, file, sum(weight / (61 + rank)) + CASE WHEN min(rank) = 0 THEN 0.05::DOUBLE WHEN min(rank) <= 2 THEN 0.02::DOUBLE ELSE 0 END AS rrf, min((list_idx, rank)) AS seen FROM ({lists}) GROUP BY query_id, file) QUALIFY rank <= 40"
+
 
+RRF = rrf_sql(LISTS)
 
 def _queries(spark, sf) -> dict[str, Query]:
     wanted = {v: q for q, v in VECTOR_OF.items()}
@@ -324,20 +372,24 @@ def strong_signal(spark, sf):
 def _hybrid(spark, sf, **more):
     d = tables.documents(spark, sf)
     found = hybrid(postings.postings(d), d, _embedded(spark, sf), _queries(spark, sf), **more)
-    return found.select("query_id", "rank", "file", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"))
+    pos = ["pos"] if more.get("rerank", True) else []
+    return found.select("query_id", "rank", "file", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"), *pos)
 
 
 @query(f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY f.rank), 6) AS score FROM ({RRF}) f WHERE f.rank <= 10")
 def hybrid_norerank(spark, sf):
-    return _hybrid(spark, sf, rerank=False)
+    return _hybrid(spark, sf, rerank=None)
 
 
-def hybrid_sql(limit: int = 10, least: float = 0.0) -> str:
-    terms = ", ".join(f"('{q}', {chunks.query_terms(s)!r})" for q, s in SEARCHES.items())
-    return f"""WITH t(query_id, terms) AS (VALUES {terms}), f AS ({RRF}),
-c AS (SELECT f.query_id, file, f.rank, rrf, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: contains(lower(text), x)))::DOUBLE / len(terms) ELSE 0 END AS share FROM f JOIN t USING (query_id) JOIN documents d ON d.doc_id = f.file),
-s AS (SELECT *, (rrf / max(rrf) OVER (PARTITION BY query_id) + share) / 2 AS score FROM c)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(score, 6) AS score FROM s WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.rank) <= {limit}"""
+def hybrid_sql(limit: int = 10, least: float = 0.0, lists: str = LISTS, queries: dict[str, Query] | None = None) -> str:
+    """The best chunk of each candidate by its terms, judged by the share of what is asked, blended, cut; with pos."""
+    words = words_sql(queries or {q: Query(s) for q, s in SEARCHES.items()})
+    return f"""WITH t AS ({words}), f AS MATERIALIZED ({rrf_sql(lists)}),
+pieces AS MATERIALIZED ({chunks_sql('SELECT doc_id AS id, text AS body FROM documents WHERE doc_id IN (SELECT file FROM f)', chunks.QUERY_SIZES)}),
+c AS (SELECT f.query_id, file, f.rank, rrf, pos, lower(text) AS low, asked FROM f JOIN t USING (query_id) JOIN pieces p ON p.id = f.file
+QUALIFY row_number() OVER (PARTITION BY f.query_id, file ORDER BY len(list_filter(chunk_terms, lambda x: contains(lower(text), x))) + 0.5::DOUBLE * len(list_filter(wanted, lambda x: contains(lower(text), x))) DESC, seq) = 1),
+s AS (SELECT *, (rrf / max(rrf) OVER (PARTITION BY query_id) + CASE WHEN len(asked) > 0 THEN len(list_filter(asked, lambda x: contains(low, x)))::DOUBLE / len(asked) ELSE 0 END) / 2 AS score FROM c)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.rank) AS INT) AS rank, file, round(rrf, 9) AS rrf, round(score, 6) AS score, pos FROM s WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, s.rank) <= {limit}"""
 
 
 @query(hybrid_sql())
@@ -350,6 +402,47 @@ def hybrid_min_score(spark, sf):
     return _hybrid(spark, sf, limit=5, min_score=0.4)
 
 
+#: Queries with an expander's parts and an intent: text, row of `embeddings`, intent, parts (type, text, row).
+WHOLE = {
+    "parts": ("erea thing", 4, None, [("lex", "onea", None), ("vec", "", 11), ("hyde", "", 12)]),
+    "intent": ('"of the"', 3, "Show me documents about licensed rights, or thing", [("lex", "rights", None)]),
+    "plain": ("stupid and", 2, None, []),
+}
+
+
+def whole_lists_sql() -> str:
+    lists = {(q, i): x for q, (t, v, _, parts) in WHOLE.items() for i, x in enumerate([("vec", t, v), ("lex", t, None), *parts])}
+    near = " UNION ALL ".join(f"SELECT '{q}|{i}' AS query_id, embedding FROM embeddings WHERE vec_id = {v}" for (q, i), (k, _, v) in lists.items() if k != "lex")
+    texts = {f"{q}|{i}": t for (q, i), (k, t, _) in lists.items() if k == "lex"}
+    named = ", ".join(f"('{q}|{i}', '{q}', {i}, {2.0 if i < 2 else 1.0}::DOUBLE, {WHOLE[q][2] is not None})" for q, i in lists)
+    every = f"SELECT n.q AS query_id, n.list_idx, rank - 1 AS rank, file, n.weight, score, has_intent FROM (SELECT query_id, rank, id AS file, greatest(0, 1 - distance / 2) AS score FROM ({nearest_sql(40, near, WITH_DOCUMENT)}) UNION ALL SELECT query_id, rank, id, score FROM ({bm25_sql(texts, 40)})) x JOIN (VALUES {named}) n(name, q, list_idx, weight, has_intent) ON n.name = x.query_id"
+    strong = "SELECT query_id FROM every_list WHERE list_idx = 1 AND rank < 2 AND NOT has_intent GROUP BY query_id HAVING max(score) >= 0.85 AND max(score) - coalesce(max(score) FILTER (rank = 1), 0) >= 0.15"
+    return f"WITH every_list AS MATERIALIZED ({every}) SELECT * FROM every_list WHERE list_idx < 2 OR query_id NOT IN ({strong})"
+
+
+WHOLE_QUERIES = {q: Query(t, None, intent) for q, (t, _, intent, _) in WHOLE.items()}
+
+
+def _whole_queries(spark, sf) -> dict[str, Query]:
+    rows = {v for _, v, _, parts in WHOLE.values() for v in [v, *(p[2] for p in parts)] if v is not None}
+    of = {r["vec_id"]: list(r["embedding"]) for r in tables.table(spark, sf, "embeddings").filter(F.col("vec_id").isin(*rows)).collect()}
+    return {q: Query(t, of.get(v), intent, [(k, s, of.get(w)) for k, s, w in parts]) for q, (t, v, intent, parts) in WHOLE.items()}
+
+
+def _whole_sql() -> str:
+    found = hybrid_sql(5, 0.1, whole_lists_sql(), WHOLE_QUERIES)
+    rows = f"SELECT r.query_id, r.rank, d.id, left(d.hash, 6) AS docid, d.collection || '/' || d.path AS file, d.title, r.score, x.context, d.body, r.pos, w.terms, w.wanted FROM ({found}) r JOIN ({DOCS}) d ON d.id = r.file JOIN ({words_sql(WHOLE_QUERIES)}) w USING (query_id) LEFT JOIN ({CONTEXT_SQL}) x ON x.id = d.id"
+    return f"SELECT query_id, rank, id, docid, file, title, score, context, line, snippet FROM ({snippets_sql(rows)})"
+
+
+def hybrid_whole(spark, sf):
+    """Parts, intent, best chunk, reranker, context and the snippet at the chunk."""
+    d, queries = tables.documents(spark, sf), _whole_queries(spark, sf)
+    found = hybrid(postings.postings(d), d, _embedded(spark, sf), queries, 5, 0.1)
+    known = lookup.contexts(d, spark.createDataFrame(CONTEXTS, "collection string, prefix string, text string"))
+    return result_rows(found, d, queries, known).drop("body", "metadata").withColumn("score", F.round("score", 6))
+
+
 # Metadata filters. `v` are the typed values of a document.
 
 EAV = """SELECT doc_id AS id, 'source' AS key, 'string' AS vt, source AS t, NULL::DOUBLE AS n, NULL::BOOLEAN AS b FROM documents UNION ALL SELECT doc_id, 'tags', 'string', lang, NULL, NULL FROM documents UNION ALL SELECT doc_id, 'tags', 'string', source, NULL, NULL FROM documents
@@ -387,7 +480,7 @@ def extract_titles(spark, sf):
     return d.select("id", text.title(F.col("body"), F.col("path")).alias("title"), lookup.docid().alias("docid"), lookup.uri().alias("uri"), F.octet_length("body").cast("long").alias("bytes"), F.size(F.split("body", "\n")).alias("lines"))
 
 
-@query()
+@query(chunks_sql("SELECT doc_id AS id, text AS body FROM documents WHERE text <> ''", chunks.EMBED_SIZES))
 def chunk_documents(spark, sf):
     return chunks.chunk_table(tables.documents(spark, sf))
 
@@ -397,19 +490,20 @@ def embedding_inputs(spark, sf):
     return tables.documents(spark, sf).select("id", vectors.document_input(F.col("title"), F.col("body")).alias("input"))
 
 
-@query()
-def snippets(spark, sf):
-    """The best lines of the best keyword results."""
-    d = tables.documents(spark, sf)
-    found = bm25.search(postings.postings(d), d, SEARCHES, 10).join(d.select("id", "body"), "id")
+#: The best keyword results of the searches, as the snippets and sinks get them.
+FOUND = f"SELECT r.query_id, r.rank, r.score, d.*, w.terms, w.wanted, NULL::INT AS pos FROM ({bm25_sql(SEARCHES, 10)}) r JOIN ({DOCS}) d USING (id) JOIN ({words_sql({q: Query(s) for q, s in SEARCHES.items()})}) w USING (query_id)"
 
-    @F.pandas_udf("line int, snippet string")
-    def best(bodies, queries):
-        import pandas as pd
 
-        return pd.DataFrame([chunks.snippet(b, SEARCHES[q]) for b, q in zip(bodies, queries, strict=True)], columns=["line", "snippet"])
+def _found_rows(spark, sf, contexts=None):
+    d = tables.documents(spark, sf)
+    found = bm25.search(postings.postings(d), d, SEARCHES, 10).select("query_id", "rank", F.col("id").alias("file"), "score")
+    return result_rows(found, d, {q: Query(s) for q, s in SEARCHES.items()}, contexts)
 
-    return found.select("query_id", "rank", "id", best("body", "query_id").alias("s")).select("query_id", "rank", "id", "s.*")
+
+@query(f"SELECT query_id, rank, id, line, snippet FROM ({snippets_sql(FOUND)})")
+def snippets(spark, sf):
+    """The best lines of the best keyword results."""
+    return _found_rows(spark, sf).select("query_id", "rank", "id", "line", "snippet")
 
 
 @query(r"""SELECT page_id, CAST(length(body) AS INT) AS n_chars, title FROM (SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS body FROM pages)""")
@@ -429,9 +523,9 @@ def lookup_docid(spark, sf):
     return lookup.by_identifier(d, three).select("ident", "id")
 
 
-@query(f"SELECT id, path FROM ({DOCS}) WHERE regexp_full_match(path, 'src(1|2)/[^/]*7\\.md')")
+@query(f"SELECT id, path FROM ({DOCS}) WHERE regexp_full_match(path, 'src(1|7)/[^/]*7\\.md')")
 def glob_match(spark, sf):
-    return lookup.by_glob(tables.documents(spark, sf), "src{1,2}/*7.md").select("id", "path")
+    return lookup.by_glob(tables.documents(spark, sf), "src{1,7}/*7.md").select("id", "path")
 
 
 @query(f"SELECT v.place, v.ident, d.id, d.path, CASE WHEN d.id IS NULL THEN 'not_found' WHEN strlen(d.body) > 1500 THEN 'skipped' ELSE 'ok' END AS status FROM (VALUES (0, 'src1/1.md'), (1, 'src11/111.md'), (2, 'no/such.md'), (3, 'src2/22.md')) v(place, ident) LEFT JOIN ({DOCS}) d ON d.collection || '/' || d.path = v.ident")
@@ -462,9 +556,9 @@ def line_slice(spark, sf):
     return d.select("id", text.line_slice(F.col("body"), F.lit(2), F.lit(3), numbered=True).alias("lines"))
 
 
-#: Search rows as the sinks get them: the context of the path, the first line and its text.
-SINK = f"""SELECT r.query_id, r.rank, '#' || left(d.hash, 6) AS docid, d.collection || '/' || d.path AS file, d.title, round_even(r.score * 100, 0) / 100 AS score, c.context, string_split(d.body, chr(10))[1] AS snippet
-FROM ({bm25_sql(SEARCHES, 5)}) r JOIN ({DOCS}) d USING (id) LEFT JOIN ({CONTEXT_SQL}) c USING (id)"""
+#: Search rows as the sinks get them.
+SINK = f"""SELECT r.query_id, r.rank, '#' || left(r.hash, 6) AS docid, r.collection || '/' || r.path AS file, r.title, round_even(r.score * 100, 0) / 100 AS score, r.score AS raw_score, c.context, r.line, r.snippet
+FROM ({snippets_sql(FOUND)}) r LEFT JOIN ({CONTEXT_SQL}) c USING (id)"""
 
 
 def _quoted(column: str) -> str:
@@ -480,30 +574,54 @@ def _json_text(column: str) -> str:
 
 
 SINKS = {
-    "json": f"'{{\"docid\":\"' || docid || '\",\"score\":' || score || ',\"file\":' || {_json_text('file')} || ',\"line\":1,\"title\":' || {_json_text('title')} || coalesce(',\"context\":' || {_json_text('context')}, '') || ',\"snippet\":' || {_json_text('snippet')} || '}}'",
-    "csv": f"docid || ',' || score || ',' || {_quoted('file')} || ',' || {_quoted('title')} || ',' || coalesce({_quoted('context')}, '') || ',1,' || {_quoted('snippet')}",
+    "json": f"'{{\"docid\":\"' || docid || '\",\"score\":' || score || ',\"file\":' || {_json_text('file')} || ',\"line\":' || line || ',\"title\":' || {_json_text('title')} || coalesce(',\"context\":' || {_json_text('context')}, '') || ',\"snippet\":' || {_json_text('snippet')} || '}}'",
+    "csv": f"docid || ',' || score || ',' || {_quoted('file')} || ',' || {_quoted('title')} || ',' || coalesce({_quoted('context')}, '') || ',' || line || ',' || {_quoted('snippet')}",
     "files": "docid || ',' || score || ',' || file || coalesce(',\"' || replace(context, '\"', '\"\"') || '\"', '')",
     "md": "'# ' || title || chr(10) || '**docid:** `' || docid || '`' || chr(10) || coalesce('**context:** ' || context || chr(10), '') || chr(10) || snippet",
     "xml": f"'<file docid=\"' || docid || '\" name=\"' || {_escaped('file')} || '\"' || coalesce(' context=\"' || {_escaped('context')} || '\"', '') || '>' || chr(10) || {_escaped('snippet')} || chr(10) || '</file>'",
-    "cli": "file || ':1 ' || docid || chr(10) || 'Title: ' || title || chr(10) || coalesce('Context: ' || context || chr(10), '') || 'Score: ' || CAST(round(raw_score * 100) AS INT) || '%' || chr(10) || chr(10) || snippet",
+    "cli": "file || ':' || line || ' ' || docid || chr(10) || 'Title: ' || title || chr(10) || coalesce('Context: ' || context || chr(10), '') || 'Score: ' || CAST(round(raw_score * 100) AS INT) || '%' || chr(10) || chr(10) || snippet",
 }
 
 
+def _known(spark, sf):
+    return lookup.contexts(tables.documents(spark, sf), spark.createDataFrame(CONTEXTS, "collection string, prefix string, text string"))
+
+
 def _output(form: str) -> None:
     def run(spark, sf):
-        d = tables.documents(spark, sf)
-        known = lookup.contexts(d, spark.createDataFrame(CONTEXTS, "collection string, prefix string, text string"))
-        found = bm25.search(postings.postings(d), d, SEARCHES, 5).join(d, "id").join(known, "id", "left")
-        first = F.split("body", "\n").getItem(0)
-        row = found.select("query_id", "rank", lookup.docid().alias("docid"), lookup.display_path().alias("file"), "title", F.round("score", 6).alias("score"), "context", F.lit(1).alias("line"), first.alias("snippet"), "body")
+        row = _found_rows(spark, sf, _known(spark, sf)).withColumn("score", F.round("score", 6))
         return format.rows_as(row, form)
 
     run.__name__ = f"output_{form}"
-    query(f"SELECT query_id, rank, {SINKS[form]} AS out FROM ({SINK.replace('c.context', 'c.context, r.score AS raw_score')})")(run)
+    query(f"SELECT query_id, rank, {SINKS[form]} AS out FROM ({SINK})")(run)
+
+
+query(_whole_sql())(hybrid_whole)
+
+#: A glob's documents as the document sinks get them; those over 2048 bytes are skipped.
+PAGES = f"""SELECT '#' || left(d.hash, 6) AS docid, d.collection || '/' || d.path AS file, d.title, c.context, strlen(d.body) > 2048 AS skipped, 'File too large (' || strlen(d.body) // 1024 || 'KB > 2KB)' AS reason, d.body
+FROM ({DOCS}) d LEFT JOIN ({CONTEXT_SQL}) c USING (id) WHERE regexp_full_match(path, 'src(1|7)/[^/]*7\\.md')"""
+PAGE_SINKS = {
+    "json": f"'{{\"file\":' || {_json_text('file')} || ',\"docid\":\"' || docid || '\",\"title\":' || {_json_text('title')} || coalesce(',\"context\":' || {_json_text('context')}, '') || CASE WHEN skipped THEN ',\"skipped\":true,\"reason\":' || {_json_text('reason')} ELSE ',\"body\":' || {_json_text('body')} END || '}}'",
+    "csv": f"docid || ',' || {_quoted('file')} || ',' || {_quoted('title')} || ',' || coalesce({_quoted('context')}, '') || ',' || skipped || ',' || CASE WHEN skipped THEN {_quoted('reason')} ELSE {_quoted('body')} END",
+    "files": "docid || ',' || file || coalesce(',\"' || replace(context, '\"', '\"\"') || '\"', '') || CASE WHEN skipped THEN ',[SKIPPED]' ELSE '' END",
+    "md": "'## ' || file || chr(10) || chr(10) || '**docid:** `' || docid || '`' || chr(10) || chr(10) || '**Title:** ' || title || chr(10) || chr(10) || coalesce('**Context:** ' || context || chr(10) || chr(10), '') || CASE WHEN skipped THEN '> ' || reason || chr(10) ELSE '```' || chr(10) || body || chr(10) || '```' || chr(10) END",
+    "xml": f"'  <document docid=\"' || docid || '\">' || chr(10) || '    <file>' || {_escaped('file')} || '</file>' || chr(10) || '    <title>' || {_escaped('title')} || '</title>' || chr(10) || coalesce('    <context>' || {_escaped('context')} || '</context>' || chr(10), '') || CASE WHEN skipped THEN '    <skipped>true</skipped>' || chr(10) || '    <reason>' || {_escaped('reason')} || '</reason>' || chr(10) ELSE '    <body>' || {_escaped('body')} || '</body>' || chr(10) END || '  </document>'",
+    "cli": "chr(10) || repeat('=', 60) || chr(10) || 'File: ' || file || '  ' || docid || chr(10) || repeat('=', 60) || chr(10) || chr(10) || CASE WHEN skipped THEN '[SKIPPED: ' || reason || ']' ELSE coalesce('Folder Context: ' || context || chr(10) || '---' || chr(10) || chr(10), '') || body END",
+}
+
+
+def _page(form: str) -> None:
+    def run(spark, sf):
+        return format.documents_as(lookup.pages(tables.documents(spark, sf), "src{1,7}/*7.md", 2048, _known(spark, sf)), form).select("out")
+
+    run.__name__ = f"output_documents_{form}"
+    query(f"SELECT {PAGE_SINKS[form]} AS out FROM ({PAGES})")(run)
 
 
 for _form in format.FORMATS:
     _output(_form)
+    _page(_form)
 
 
 # Retrieval metrics: the nearest vectors of a vector are right where they have its label.

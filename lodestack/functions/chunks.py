@@ -90,12 +90,12 @@ def chunks(text: str, sizes: tuple[int, int, int] = EMBED_SIZES, extension: str
     return [(a, text[a:b]) for a, b in spans(text, sizes, extension)]
 
 
-def chunk_table(docs: DataFrame, sizes: tuple[int, int, int] = EMBED_SIZES) -> DataFrame:
-    """id, seq, pos, text of the chunks of docs (id, body)."""
+def chunk_table(docs: DataFrame, sizes: tuple[int, int, int] = EMBED_SIZES, empty: bool = False) -> DataFrame:
+    """id, seq, pos, text of the chunks of docs (id, body). Null texts have none, empty texts one if `empty` says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, n, p, c) for i, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) if t for n, (p, c) in enumerate(chunks(t, sizes))]
+            rows = [(i, n, p, c) for i, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) if t or (empty and t is not None) for n, (p, c) in enumerate(chunks(t, sizes))]
             cols = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["id", "seq", "pos", "text"])
 

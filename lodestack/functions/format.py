@@ -81,3 +81,51 @@ def rows_as(df: DataFrame, form: str, full: bool = False) -> DataFrame:
     else:
         out = F.concat_ws("\n", F.concat_ws(" ", F.concat_ws(":", "file", F.col("line").cast("string")), docid), F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Context: "), "context"), F.concat(F.lit("Score: "), F.format_string("%d%%", F.round(F.col("score") * 100).cast("int"))), F.lit(""), text)
     return df.select(*[c for c in ("query_id", "rank") if c in df.columns], out.alias("out"))
+
+
+def documents_as(df: DataFrame, form: str) -> DataFrame:
+    """Documents of a multi-get (docid, file, title, context, skipped, reason, body) as one column `out`.
+
+    A null docid and a null or empty context are left out; a skipped document shows its reason and no body. The
+    formats' frames (a CSV header, the list's brackets) are the writer's: see FRAMES.
+    """
+    if form not in FORMATS:
+        raise ValueError(f"unknown format {form!r}")
+    tag, context = F.concat(F.lit("#"), F.col("docid")), F.nullif(F.col("context"), F.lit(""))
+    either = lambda skipped, whole: F.when(F.col("skipped"), skipped).otherwise(whole)
+    reason, body = F.coalesce("reason", F.lit("")), F.coalesce("body", F.lit(""))
+    if_any = lambda before, c, after: F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
+    if form == "json":
+        only_skipped = F.when(F.col("skipped"), F.lit(True))
+        out = F.to_json(F.struct("file", tag.alias("docid"), "title", context.alias("context"), only_skipped.alias("skipped"), F.when(F.col("skipped"), F.col("reason")).alias("reason"), F.when(~F.col("skipped"), body).alias("body")))
+    elif form == "csv":
+        out = F.concat_ws(",", *map(csv_field, (tag, F.col("file"), F.col("title"), context)), F.col("skipped").cast("string"), csv_field(either(reason, body)))
+    elif form == "files":
+        out = F.concat(if_any("", tag, ","), "file", if_any(',"', F.replace(context, F.lit('"'), F.lit('""')), '"'), either(F.lit(",[SKIPPED]"), F.lit("")))
+    elif form == "md":
+        title = F.nullif(F.nullif(F.col("title"), F.lit("")), F.col("file"))
+        out = F.concat(F.lit("## "), "file", F.lit("\n\n"), if_any("**docid:** `", tag, "`\n\n"), if_any("**Title:** ", title, "\n\n"), if_any("**Context:** ", context, "\n\n"),
+                       either(F.concat(F.lit("> "), reason, F.lit("\n")), F.concat(F.lit("```\n"), body, F.lit("\n```\n"))))
+    elif form == "xml":
+        field = lambda name, c: F.concat(F.lit(f"    <{name}>"), xml_text(c), F.lit(f"</{name}>\n"))
+        shown = either(F.concat(F.lit("    <skipped>true</skipped>\n"), field("reason", reason)), field("body", body))
+        with_context = F.when(context.isNotNull(), field("context", context)).otherwise(F.lit(""))
+        out = F.concat(F.lit("  <document"), if_any(' docid="', tag, '"'), F.lit(">\n"), field("file", F.col("file")), field("title", F.col("title")), with_context, shown, F.lit("  </document>"))
+    else:
+        bar = F.lit("=" * 60)
+        whole = F.concat(if_any("Folder Context: ", context, "\n---\n\n"), body)
+        out = F.concat(F.lit("\n"), bar, F.lit("\nFile: "), "file", if_any("  ", tag, ""), F.lit("\n"), bar, F.lit("\n\n"), either(F.concat(F.lit("[SKIPPED: "), reason, F.lit("]")), whole))
+    return df.select(*[c for c in ("place",) if c in df.columns], out.alias("out"))
+
+
+#: What stands before, between and after the rows of a file of documents.
+FRAMES = {
+    "json": ("[", ",", "]"), "csv": ("docid,file,title,context,skipped,body\n", "\n", ""), "files": ("", "\n", ""), "md": ("", "\n", ""),
+    "xml": ('<?xml version="1.0" encoding="UTF-8"?>\n<documents>\n', "\n", "\n</documents>"), "cli": ("", "\n", ""),
+}
+
+
+def framed(rows: list[str], form: str) -> str:
+    """A page of formatted documents (what one multi-get returns) as one text."""
+    before, between, after = FRAMES[form]
+    return before + between.join(rows) + after

@@ -53,17 +53,18 @@ def calibrated(x: Column, shift: float, spread: float) -> Column:
     return 1 / (1 + F.exp(-(x - shift) / spread))
 
 
-def term_share(text: Column, terms: Column) -> Column:
-    """A stand-in reranker: the share of query terms that occur in the text."""
+def term_share(asked: Column, text: Column) -> Column:
+    """A stand-in reranker: the share of the words of over two characters of what is asked that occur in the text."""
+    terms = F.filter(F.split(F.lower(asked), r"\s+"), lambda w: F.length(w) > 2)
     n = F.size(terms)
     return F.when(n > 0, F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t))) / n).otherwise(F.lit(0.0))
 
 
 def best_chunk(chunks: DataFrame) -> DataFrame:
-    """The best row of each (query_id, file) of chunks (query_id, file, seq, pos, text, terms, intent_terms): terms count 1, intent terms half."""
-    low = F.lower("text")
-    count = lambda terms: F.size(F.filter(terms, lambda t: F.contains(low, t)))
-    scored = chunks.withColumn("chunk_score", count(F.col("terms")) + 0.5 * count(F.coalesce("intent_terms", F.expr("cast(array() as array<string>)"))))
+    """The best row of each (query_id, file) of chunks (query_id, file, seq, pos, text, terms, intent_terms): terms count 1, intent terms half, the first of equals."""
+    count = lambda terms, low: F.size(F.filter(terms, lambda t: F.contains(low, t)))
+    low = F.transform(F.array(F.lower("text")), lambda x: count(F.col("terms"), x) + 0.5 * count(F.coalesce("intent_terms", F.expr("cast(array() as array<string>)")), x))
+    scored = chunks.withColumn("chunk_score", low[0])
     order = Window.partitionBy("query_id", "file").orderBy(F.desc("chunk_score"), "seq")
     return scored.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 

@@ -66,6 +66,16 @@ def multi_get(docs: DataFrame, pattern: str, max_bytes: int = 10_240) -> DataFra
     return found.select("place", "ident", "id", "path", status.alias("status"), F.when(status == "ok", F.col("body")).alias("body"))
 
 
+def pages(docs: DataFrame, pattern: str, max_bytes: int = 10_240, known: DataFrame | None = None) -> DataFrame:
+    """place, docid, file, title, context, skipped, reason, body of what a multi-get finds, for the document sinks. known: contexts (id, context)."""
+    got = multi_get(docs, pattern, max_bytes).filter("status <> 'not_found'").select("place", "id", "status", F.col("body").alias("shown"))
+    rows = got.join(docs.select("id", "collection", "path", "title", "hash", "body"), "id")
+    rows = rows.join(known, "id", "left") if known is not None else rows.withColumn("context", F.lit(None).cast("string"))
+    size = F.floor(F.octet_length("body") / 1024)
+    reason = F.concat(F.lit("File too large ("), size.cast("string"), F.lit(f"KB > {max_bytes // 1024}KB)"))
+    return rows.select("place", docid().alias("docid"), display_path().alias("file"), "title", "context", (F.col("status") == "skipped").alias("skipped"), reason.alias("reason"), F.col("shown").alias("body"))
+
+
 def under(docs: DataFrame, collection: str, prefix: str = "") -> DataFrame:
     """Documents of a collection at a path or below it."""
     p = prefix.rstrip("/")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.chunks import intent_terms, query_terms
+from lodestack.functions.chunks import QUERY_SIZES, chunk_table, intent_terms, query_terms, snippet
 from lodestack.operators import bm25, fusion, vectors
+from lodestack.operators.lookup import display_path, docid
 
 
 @dataclass
@@ -53,12 +55,39 @@ def ranked_lists(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries:
     return lists.join(strong, "query_id", "left").filter(~F.coalesce("strong", F.lit(False)) | (F.col("list_idx") < 2)).drop("strong")
 
 
-def hybrid(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries: dict[str, Query], limit: int = 10, min_score: float = 0.0, rerank: bool = True, depth: int = fusion.CANDIDATES, eligible: DataFrame | None = None) -> DataFrame:
-    """query_id, place, file, rrf, score of the best `limit` documents of each query. docs: id, body, ... ; embedded: id, embedding."""
+#: (what is asked, chunk text) -> score in [0, 1], as columns: an expression, or a pandas UDF that holds a model.
+Reranker = Callable[[Column, Column], Column]
+
+
+def hybrid(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries: dict[str, Query], limit: int = 10, min_score: float = 0.0, rerank: Reranker | None = fusion.term_share, depth: int = fusion.CANDIDATES, eligible: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, file (id), rrf, score, pos of the best `limit` documents of each query. docs: id, body, ... ; embedded: id, embedding.
+
+    Only the best chunk of a candidate, at its place `pos`, goes to the reranker, below the query's intent and the
+    query itself; without a reranker the fused place decides.
+    """
     spark = docs.sparkSession
     fused = fusion.reciprocal_rank_fusion(ranked_lists(post, docs, embedded, queries, depth, eligible), depth)
-    terms = spark.createDataFrame([(q, query_terms(x.text), intent_terms(x.intent)) for q, x in queries.items()], "query_id string, terms array<string>, intent_terms array<string>")
-    # At most `depth` candidates a query meet the documents.
-    candidates = fused.join(F.broadcast(terms), "query_id").join(docs.select(F.col("id").alias("file"), "body"), "file")
-    scored = fusion.blend(candidates, fusion.term_share(F.col("body"), F.col("terms")) if rerank else None)
-    return fusion.finalise(scored.select("query_id", "file", "rrf", "rank", "score"), limit, min_score).select("query_id", F.col("place").alias("rank"), "file", "rrf", "score")
+    rows = [(q, query_terms(x.text), intent_terms(x.intent), f"{x.intent}\n\n{x.text}" if x.intent else x.text) for q, x in queries.items()]
+    terms = spark.createDataFrame(rows, "query_id string, terms array<string>, intent_terms array<string>, asked string")
+    # At most `depth` candidates a query meet the documents; each document is cut once, however many queries want it.
+    wanted = docs.join(fused.select(F.col("file").alias("id")).distinct(), "id", "left_semi")
+    pieces = chunk_table(wanted.select("id", F.coalesce("body", F.lit("")).alias("body")), QUERY_SIZES, empty=True).withColumnRenamed("id", "file")
+    # The queries' own texts, which came through the driver.
+    chosen = fusion.best_chunk(fused.join(F.broadcast(terms), "query_id").join(pieces, "file"))
+    scored = fusion.blend(chosen, rerank(F.col("asked"), F.col("text")) if rerank else None)
+    return fusion.finalise(scored.select("query_id", "file", "rrf", "rank", "score", "pos"), limit, min_score).select("query_id", F.col("place").alias("rank"), "file", "rrf", "score", "pos")
+
+
+def result_rows(found: DataFrame, docs: DataFrame, queries: dict[str, Query], contexts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """Search results as a user sees them: query_id, rank, id, docid, file (collection/path), title, score, context, metadata, line, snippet, body.
+
+    found: query_id, rank, file (id), score and, of a hybrid query, pos. contexts: id, context; values: id, values.
+    """
+    spark = docs.sparkSession
+    words = spark.createDataFrame([(q, x.text.lower().split(), intent_terms(x.intent)) for q, x in queries.items()], "query_id string, terms array<string>, intent_terms array<string>")
+    rows = found.withColumnRenamed("file", "id").join(docs.select("id", "collection", "path", "title", "hash", "body"), "id").join(F.broadcast(words), "query_id")
+    rows = rows.join(contexts, "id", "left") if contexts is not None else rows.withColumn("context", F.lit(None).cast("string"))
+    rows = rows.join(values.select("id", F.col("values").alias("metadata")), "id", "left") if values is not None else rows.withColumn("metadata", F.lit(None).cast("string"))
+    at = F.col("pos") if "pos" in found.columns else None
+    rows = rows.withColumn("shown", snippet(F.col("body"), F.col("terms"), F.col("intent_terms"), at))
+    return rows.select("query_id", "rank", "id", docid().alias("docid"), display_path().alias("file"), "title", "score", "context", "metadata", F.col("shown.line").alias("line"), F.col("shown.text").alias("snippet"), "body")
