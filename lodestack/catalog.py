@@ -443,6 +443,13 @@ def hybrid_whole(spark, sf):
     return result_rows(found, d, queries, known).drop("body", "metadata").withColumn("score", F.round("score", 6))
 
 
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_metadata(spark, sf):
+    """A label of quality 1 stands for metadata of the present version, one of quality 0 for an older one."""
+    seen = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("extraction_version"), F.lit(None).cast("string").alias("extraction_error"))
+    return lifecycle.pending_metadata(tables.documents(spark, sf).withColumn("active", F.lit(True)), seen, 1).select("id")
+
+
 # Metadata filters. `v` are the typed values of a document.
 
 EAV = """SELECT doc_id AS id, 'source' AS key, 'string' AS vt, source AS t, NULL::DOUBLE AS n, NULL::BOOLEAN AS b FROM documents UNION ALL SELECT doc_id, 'tags', 'string', lang, NULL, NULL FROM documents UNION ALL SELECT doc_id, 'tags', 'string', source, NULL, NULL FROM documents
@@ -624,6 +631,13 @@ for _form in format.FORMATS:
     _page(_form)
 
 
+@query(f"SELECT id, substring(body, CAST(least(greatest(300 - 250, 0), greatest(length(body) - 500, 0)) AS BIGINT) + 1, 500) AS input FROM ({DOCS})")
+def context_windows(spark, sf):
+    """500 characters around the chunk [200, 400) of each document."""
+    d = tables.documents(spark, sf)
+    return d.select("id", text.context_window(F.col("body"), F.lit(200), F.lit(200), 500).alias("input"))
+
+
 # Retrieval metrics: the nearest vectors of a vector are right where they have its label.
 
 RANKED = f"SELECT query_id, rank, id AS file FROM ({nearest_sql(20, ASKED)})"

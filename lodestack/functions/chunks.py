@@ -93,13 +93,15 @@ def chunks(text: str, sizes: tuple[int, int, int] = EMBED_SIZES, extension: str
 def chunk_table(docs: DataFrame, sizes: tuple[int, int, int] = EMBED_SIZES, empty: bool = False) -> DataFrame:
     """id, seq, pos, text of the chunks of docs (id, body). Null texts have none, empty texts one if `empty` says so."""
 
+    kind = "string" if dict(docs.dtypes)["id"] == "string" else "bigint"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, n, p, c) for i, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) if t or (empty and t is not None) for n, (p, c) in enumerate(chunks(t, sizes))]
             cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["id", "seq", "pos", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (batch.column(0).type, pa.int32(), pa.int32(), pa.string()), strict=True)], ["id", "seq", "pos", "text"])
 
-    return docs.selectExpr("cast(id as bigint) id", "body").mapInArrow(run, "id long, seq int, pos int, text string")
+    return docs.selectExpr(f"cast(id as {kind}) id", "body").mapInArrow(run, f"id {kind}, seq int, pos int, text string")
 
 
 def headings(text: str) -> list[tuple[int, int, str]]:

@@ -149,3 +149,14 @@ def truncate_lines(doc: Column, most: int) -> Column:
     lines = F.split(doc, "\n")
     note = F.concat(F.lit("\n[... truncated "), (F.size(lines) - most).cast("string"), F.lit(" more lines]"))
     return F.when(F.size(lines) > most, F.concat(F.array_join(F.slice(lines, 1, most), "\n"), note)).otherwise(doc)
+
+
+def context_window(page: Column, pos: Column, size: Column, most: int) -> Column:
+    """The page, or if it is longer `most` characters of it centred on a chunk."""
+    start = F.least(F.greatest(pos + F.floor(size / 2) - most // 2, F.lit(0)), F.length(page) - most)
+    return F.when(F.length(page) <= most, page).otherwise(F.substring(page, start.cast("int") + 1, F.lit(most)))
+
+
+def with_context(context: Column, chunk: Column) -> Column:
+    """A chunk below its context, if there is one."""
+    return F.concat(F.coalesce(F.concat(F.nullif(context, F.lit("")), F.lit("\n\n")), F.lit("")), chunk)

@@ -85,6 +85,12 @@ def status(docs: DataFrame, vectors: DataFrame, pending: DataFrame) -> DataFrame
     return out.withColumn("pending_percent", percent).withColumn("warn", percent >= 10)
 
 
+def pending_metadata(docs: DataFrame, metadata: DataFrame, version: int) -> DataFrame:
+    """Active documents without metadata (id, extraction_version, extraction_error) of this version that is free of errors."""
+    ready = metadata.filter((F.col("extraction_version") == version) & F.col("extraction_error").isNull())
+    return docs.filter("active").join(ready.select("id"), "id", "left_anti")
+
+
 def cleanup(docs: DataFrame, content: DataFrame) -> DataFrame:
     """What a clean-up would remove: kind, n."""
     gone = docs.agg(F.sum((~F.col("active")).cast("long")).alias("n")).select(F.lit("inactive_documents").alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))

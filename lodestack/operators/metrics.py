@@ -116,3 +116,78 @@ def file_matches(result: Column, expected: Column) -> Column:
 def decision(low: Column, point: Column, needed: float) -> Column:
     """adopt if the interval lies above 0 and the gain is large enough; reject if the point is not above 0; else unclear."""
     return F.when((low > 0) & (point >= needed), "adopt").when(point <= 0, "reject").otherwise("unclear")
+
+
+def rank_metrics(rank: Column) -> list[Column]:
+    """page_mrr, page_ndcg10, page_recall10 of the one right page's rank; a null rank (it isn't there) scores 0."""
+    top = F.coalesce(rank <= 10, F.lit(False))
+    return [
+        F.coalesce(1 / rank, F.lit(0.0)).alias("page_mrr"),
+        F.when(top, 1 / F.log2(rank + 1.0)).otherwise(0.0).alias("page_ndcg10"),
+        top.cast("double").alias("page_recall10"),
+    ]
+
+
+def page_metrics(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id and rank_metrics of ranked pages (query_id, rank from 1, page) for each of gold (query_id, page)."""
+    best = ranked.groupBy("query_id", "page").agg(F.min("rank").alias("rank"))
+    return gold.join(best, ["query_id", "page"], "left").select("query_id", *rank_metrics(F.col("rank")))
+
+
+def chunk_metrics(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """Chunk, in-page and page metrics of each query from scores (query_id, page, seq, score) and its gold chunks (query_id, page, seq) of one page.
+
+    A rank is one more than the number of strictly higher scores; a page scores as its best chunk. Sums of fixed size
+    a query, so no query's scores meet in one task.
+    """
+    marked = scores.join(gold.select("query_id", "page", "seq").distinct().withColumn("gold", F.lit(True)), ["query_id", "page", "seq"], "left")
+    best = F.max_by(F.struct(F.coalesce("gold", F.lit(False)).alias("gold")), F.struct("score", -F.col("seq")))
+    pages = marked.groupBy("query_id", "page").agg(F.max("score").alias("s"), F.max(F.when(F.col("gold"), F.col("score"))).alias("g"), best.alias("top"))
+    asked = pages.filter("g is not null").select("query_id", F.col("g").alias("gold_score"), F.col("s").alias("page_score"), F.col("top.gold").alias("in_page"))
+    chunk = scores.join(asked, "query_id").groupBy("query_id").agg((1 + F.sum((F.col("score") > F.col("gold_score")).cast("long"))).alias("c"))
+    page = pages.join(asked, "query_id").groupBy("query_id", "in_page").agg((1 + F.sum((F.col("s") > F.col("page_score")).cast("long"))).alias("p"))
+    hits = [(F.col("c") <= k).cast("double").alias(f"chunk_hit{k}") for k in (1, 5, 10)]
+    return chunk.join(page, "query_id").select("query_id", (1 / F.col("c")).alias("chunk_mrr"), *hits, F.col("in_page").cast("double").alias("in_page_hit1"), *rank_metrics(F.col("p")))
+
+
+def median_match(logits: DataFrame, relevant: float, other: float) -> DataFrame:
+    """bias, temperature: sigmoid((x - bias) / temperature) takes the median of the relevant logits (relevant, x) to one target, of the others to another."""
+    import math
+
+    a, b = (math.log(t / (1 - t)) for t in (relevant, other))
+    medians = logits.agg(*(F.expr(f"percentile(x, 0.5) FILTER (WHERE {c})").alias(n) for n, c in (("r", "relevant"), ("o", "not relevant"))))
+    spread = (F.col("r") - F.col("o")) / (a - b)
+    return medians.select((F.col("r") - spread * a).alias("bias"), spread.alias("temperature"))
+
+
+def share_above(x: Column, least: float = 0.5) -> Column:
+    """An aggregate: the share of values above a threshold."""
+    return F.avg((x > least).cast("double"))
+
+
+def pool(top: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, place, file: the keyword results (query_id, rank, file), then, by name, the right files (query_id, file) that they lack."""
+    missing = gold.select("query_id", "file").distinct().join(top.select("query_id", "file"), ["query_id", "file"], "left_anti")
+    after = missing.join(top.groupBy("query_id").agg(F.max("rank").alias("last")), "query_id", "left")
+    place = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("query_id").orderBy("file"))
+    return top.select("query_id", F.col("rank").alias("place"), "file").unionByName(after.select("query_id", place.alias("place"), "file"))
+
+
+def evidence(items: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
+    """query_id, page, item, status, start, end: where evidence (query_id, page, item, text) stands in pages (page, body).
+
+    All places that don't overlap, or with `strict` only an item that stands on its page once, at word boundaries; one
+    that stands there more often is `ambiguous`. An item that isn't found (or is blank) is one row, `missing`.
+    """
+    quoted = F.concat(F.lit("\\Q"), F.replace("text", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")) if strict else quoted
+    found = items.join(pages.select("page", "body"), "page", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # A place follows each part but the last: the parts' lengths say where.
+    parts = F.when(F.col("text") != "", F.split(F.coalesce("body", F.lit("")), pattern, -1)).otherwise(F.array(F.lit("")))
+    row = found.withColumn("parts", parts).withColumn("n", F.size("parts") - 1)
+    many = (F.col("n") > 1) if strict else F.lit(False)
+    row = row.withColumn("status", F.when(F.col("n") == 0, "missing").when(many, "ambiguous").otherwise("found"))
+    before = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * F.length("text")
+    starts = F.when(F.col("status") == "found", F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), before)).otherwise(F.array(F.lit(None).cast("int")))
+    out = row.select("query_id", "page", "item", "status", F.explode(starts).alias("start"), F.length("text").alias("size"))
+    return out.select("query_id", "page", "item", "status", "start", (F.col("start") + F.col("size")).alias("end"))

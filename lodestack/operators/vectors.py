@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.functions.chunks import chunk_table
+
 #: Query vectors that are compared at once: a block of them travels with each copy of the vectors' tasks.
 QUERY_BLOCK = 10_000
 #: Of these, so many meet a batch of vectors at once.
@@ -100,5 +102,22 @@ def pending(contents: DataFrame, chunk_vectors: DataFrame, current: Column) -> D
     return contents.select("hash").distinct().join(have, "hash", "left").filter("n is null or n < total or fresh = 0").select("hash")
 
 
+def embed_contents(contents: DataFrame, stored: DataFrame, embed: Callable[[Column], Column], current: str, force: bool = False) -> DataFrame:
+    """The stored chunk vectors (hash, seq, pos, embedding, fingerprint, total_chunks) after an update.
+
+    contents: hash, title, body, a row a hash. All vectors of a hash are written anew if its chunks' places, or the
+    fingerprint of one, aren't the present ones (or by `force`); the rest stay and are not embedded again. embed: the
+    input texts' vectors as a column, such as a pandas UDF that holds a model. Vectors of other hashes stay.
+    """
+    pieces = chunk_table(contents.select(F.col("hash").alias("id"), "body")).withColumnRenamed("id", "hash")
+    places = lambda df, *more: df.groupBy("hash").agg(F.sort_array(F.collect_list("pos")).alias("places"), *more)
+    have = places(stored, F.min((F.col("fingerprint") == current).cast("int")).alias("fresh")).withColumnRenamed("places", "old")
+    want = places(pieces).join(have, "hash", "left")
+    stale = (want if force else want.filter(~(F.col("places").eqNullSafe(F.col("old")) & F.coalesce(F.col("fresh") == 1, F.lit(False))))).select("hash", F.size("places").alias("total_chunks"))
+    new = pieces.join(stale, "hash").join(contents.select("hash", "title"), "hash")
+    new = new.select("hash", "seq", "pos", embed(document_input(F.col("title"), F.col("text"))).alias("embedding"), F.lit(current).alias("fingerprint"), "total_chunks")
+    return clear(stored.select(*new.columns), stale).unionByName(new)
+
+
 def clear(chunk_vectors: DataFrame, hashes: DataFrame) -> DataFrame:
     return chunk_vectors.join(hashes.select("hash"), "hash", "left_anti")
