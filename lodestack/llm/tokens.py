@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
+import gc
 import os
 import re
 import string
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -47,6 +49,18 @@ def ranks_of(name: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector, which would walk the memos again and again: encoding makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Memo:
     """Strings and their ids, in two generations of together at most `limit` bytes (and one group of texts more)."""
 
@@ -156,7 +170,8 @@ class WordEncoder:
             while end < len(texts) and (end == at or chars + len(texts[end]) <= GROUP_CHARS):
                 chars += len(texts[end])
                 end += 1
-            out += self._group(texts[at:end])
+            with uncollected():
+                out += self._group(texts[at:end])
             at = end
         return out
 
