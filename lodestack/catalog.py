@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import chunks, format, text
-from lodestack.operators import bm25, filters, fusion, lifecycle, lookup, metrics, postings, vectors
+from lodestack.operators import bm25, examples, filters, fusion, lifecycle, lookup, metrics, postings, vectors
+from lodestack.plans import bench
 from lodestack.plans.search import Query, hybrid, ranked_lists, result_rows
 from lodestack.sources import tables
 from lodestack.sources.shared import shared_folder
@@ -293,6 +294,16 @@ def vec_dedupe(spark, sf):
     return found.select("query_id", "rank", "doc_id", "seq", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH n AS ({nearest_sql(60, ASKED)}), b AS (SELECT query_id, id // 4 AS doc_id, arg_min(id % 4, (round(distance, 9), id % 4)) AS seq, min(distance) AS distance FROM n WHERE (id // 4) % 3 <> 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0, 1 - distance / 2), 9) DESC, doc_id) AS INT) AS rank, doc_id, CAST(seq AS INT) AS seq, round(greatest(0, 1 - distance / 2), 6) AS score FROM b QUALIFY rank <= 2""")
+def vec_overfetch(spark, sf):
+    """Filtered after the cut at 2 * 30 neighbours."""
+    e = _embedded(spark, sf)
+    parts = e.select("id", F.expr("id div 4").alias("doc_id"), (F.col("id") % 4).cast("int").alias("seq"))
+    found = vectors.overfetched(e, _asked(spark, sf), parts, 2, parts.filter("doc_id % 3 <> 0"))
+    return found.select("query_id", "rank", "doc_id", "seq", F.round("score", 6).alias("score"))
+
+
 # Chunks and snippets in SQL, for texts without code fences (the tables hold none).
 
 
@@ -701,3 +712,54 @@ def latency_stats(spark, sf):
 def bootstrap(spark, sf):
     clusters = tables.table(spark, sf, "documents").groupBy(F.col("source").alias("cluster")).agg(F.sum("n_chars").cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
     return metrics.bootstrap(clusters)
+
+
+_AVERAGES = "SELECT avg(recall) AS recall_at_k, avg(reciprocal_rank) AS mrr, avg(ndcg) AS ndcg_at_k FROM ({})"
+_FIRST, _SECOND = _AVERAGES.format(PER_QUERY), _AVERAGES.format(PER_QUERY.replace(RANKED, OTHER))
+
+
+@query(
+    f"WITH a AS ({_FIRST}), b AS ({_SECOND}) SELECT 'near' AS backend, "
+    + ", ".join(f"round(a.{m}, 4) AS {f}_{m}" for m in bench.METRICS for f in ("avg", "min", "max"))
+    + " FROM a UNION ALL SELECT 'both', "
+    + ", ".join(f"round((a.{m} + b.{m}) / 2, 4), round(least(a.{m}, b.{m}), 4), round(greatest(a.{m}, b.{m}), 4)" for m in bench.METRICS)
+    + " FROM a, b"
+)
+def bench_run(spark, sf):
+    """A backend of one sample and one of two, judged by bare file names."""
+    path = F.concat(F.lit("doc://v/some/folder/"), F.col("file").cast("string"), F.lit(".MD")).alias("path")
+    first, second = (found.select("query_id", "rank", path) for found in (_ranked(spark, sf), _other(spark, sf)))
+    wanted = _relevant(spark, sf).groupBy("query_id").agg(F.collect_set(F.concat(F.col("file").cast("string"), F.lit(".md"))).alias("expected_files"))
+    found = bench.summary(bench.scores({"near": [first], "both": [first, second]}, wanted.select(F.col("query_id").alias("id"), "expected_files", F.lit(10).alias("expected_in_top_k"))))
+    return found.select("backend", *(F.round(c, 4).alias(c) for c in found.columns[1:]))
+
+
+@query("""WITH e AS (SELECT lower(source || ' ' || n_chars) AS k, min(doc_id) AS id FROM documents GROUP BY 1),
+p AS (SELECT id, row_number() OVER (ORDER BY md5('42 ' || k), k) - 1 AS place, count(*) OVER () AS n FROM e)
+SELECT id, place, CASE WHEN place < floor(n * 0.9::DOUBLE) THEN 'train' ELSE 'valid' END AS split FROM p""")
+def example_split(spark, sf):
+    rows = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit(" "), F.upper("source"), F.lit(" "), F.col("n_chars").cast("string")).alias("query"))
+    return examples.split_examples(rows, ["id"]).select("id", "place", "split")
+
+
+@query(f"SELECT id, CAST(length(body) // 2 AS INT) AS chars FROM ({DOCS})")
+def byte_offsets(spark, sf):
+    """The place in characters of the byte at which a text's second half begins."""
+    half = F.octet_length(F.left("body", F.expr("cast(length(body) div 2 as int)")))
+    return tables.documents(spark, sf).select("id", text.char_offset(F.col("body"), half).alias("chars"))
+
+
+@query("""SELECT doc_id AS id, 'n' AS key, 0 AS ordinal, 'number' AS value_type, NULL AS text_value, n_chars::DOUBLE AS number_value, 2 AS extraction_version FROM documents WHERE doc_id % 4 <> 0
+UNION ALL SELECT doc_id, 'tags', CAST(i AS INT), 'string', CASE WHEN i = 0 THEN lang ELSE source END, NULL, 2 FROM documents, range(2) r(i) WHERE doc_id % 4 <> 0
+UNION ALL SELECT doc_id, 'old', 0, 'string', 'kept', NULL, 2 FROM documents WHERE doc_id % 4 = 0""")
+def metadata_sync(spark, sf):
+    """Every fourth document has metadata of the present version already, its neighbour some of an older one."""
+    d = tables.table(spark, sf, "documents")
+    block = F.format_string("---\nsearch:\n  metadata:\n    n: %d\n    tags: [%s, %s, %s]\n---\n%s", "n_chars", "lang", "source", "lang", "text")
+    docs = d.select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit(".md")).alias("path"), block.alias("body"))
+    version = F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1)
+    now = F.lit("2026-01-01T00:00:00Z")
+    old = d.filter("doc_id % 4 < 2").select(F.col("doc_id").alias("id"), F.lit('{"old": "kept"}').alias("metadata_json"), version.alias("extraction_version"), F.lit(None).cast("string").alias("extraction_error"), now.alias("extracted_at"))
+    new = lifecycle.sync_metadata(docs, old, 2, now)
+    found = lifecycle.metadata_table(new).select("id", "key", "ordinal", "value_type", "text_value", "number_value")
+    return found.join(new.select("id", "extraction_version"), "id")

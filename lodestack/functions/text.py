@@ -160,3 +160,8 @@ def context_window(page: Column, pos: Column, size: Column, most: int) -> Column
 def with_context(context: Column, chunk: Column) -> Column:
     """A chunk below its context, if there is one."""
     return F.concat(F.coalesce(F.concat(F.nullif(context, F.lit("")), F.lit("\n\n")), F.lit("")), chunk)
+
+
+def char_offset(text: Column, byte: Column) -> Column:
+    """How many characters stand before a place given in bytes of UTF-8, which must be a character's border."""
+    return F.length(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), byte), "UTF-8"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions.chunks import front_matter, metadata_values
 from lodestack.functions.format import half_up_percent
 
 
@@ -91,6 +95,59 @@ def pending_metadata(docs: DataFrame, metadata: DataFrame, version: int) -> Data
     return docs.filter("active").join(ready.select("id"), "id", "left_anti")
 
 
+def sync_metadata(docs: DataFrame, metadata: DataFrame, version: int, now: Column, only_if_stale: bool = True) -> DataFrame:
+    """The next metadata: id, metadata_json, extraction_version, extraction_error, extracted_at. docs: id, path, body.
+
+    Documents without a row of this version (or, without only_if_stale, all) are read anew; their rows are replaced. A
+    block that can't be read leaves no metadata and its error. Rows of other documents stay.
+    """
+    columns = ["id", "metadata_json", "extraction_version", "extraction_error", "extracted_at"]
+    current = metadata.filter(F.col("extraction_version") == version)
+    stale = docs.join(current.select("id"), "id", "left_anti") if only_if_stale else docs
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [front_matter(body or "", path or "") for path, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(m) for m, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], ["id", "metadata_json", "extraction_error"])
+
+    new = stale.selectExpr("cast(id as bigint) id", "path", "body").mapInArrow(extract, "id long, metadata_json string, extraction_error string")
+    new = new.withColumn("extraction_version", F.lit(version)).withColumn("extracted_at", now).select(columns)
+    return metadata.join(stale.select("id"), "id", "left_anti").select(columns).unionByName(new)
+
+
+def metadata_table(metadata: DataFrame) -> DataFrame:
+    """id, key, ordinal, value_type, text_value, number_value, boolean_value of metadata (id, metadata_json): a row a value."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *v) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for v in metadata_values(json.loads(m or "{}"))]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_())
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "key", "ordinal", "value_type", "text_value", "number_value", "boolean_value"])
+
+    out = "id long, key string, ordinal int, value_type string, text_value string, number_value double, boolean_value boolean"
+    return metadata.selectExpr("cast(id as bigint) id", "metadata_json").mapInArrow(values, out)
+
+
+@dataclass
+class Tables:
+    """A store's tables: docs (id, collection, hash, active), content (hash), vectors (hash), metadata and values (id)."""
+
+    docs: DataFrame
+    content: DataFrame
+    vectors: DataFrame
+    metadata: DataFrame
+    values: DataFrame
+
+    def without_collection(self, name: str) -> Tables:
+        """The tables after a collection is removed, with its documents' metadata and the contents and vectors that no active document has any more."""
+        gone = self.docs.filter(F.col("collection") == name).select("id")
+        kept = self.docs.filter(~F.col("collection").eqNullSafe(name))
+        dead = orphans(self.content, kept)
+        drop = lambda df, ids, key: df.join(ids, key, "left_anti")
+        return Tables(kept, drop(self.content, dead, "hash"), drop(self.vectors, dead, "hash"), drop(self.metadata, gone, "id"), drop(self.values, gone, "id"))
+
+
 def cleanup(docs: DataFrame, content: DataFrame) -> DataFrame:
     """What a clean-up would remove: kind, n."""
     gone = docs.agg(F.sum((~F.col("active")).cast("long")).alias("n")).select(F.lit("inactive_documents").alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -99,7 +156,7 @@ def cleanup(docs: DataFrame, content: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """Collections and their contexts as two small tables in a folder of snapshots."""
+    """Collections and their contexts: a short list, as a table by frame()."""
 
     spark: SparkSession
     rows: list[dict]

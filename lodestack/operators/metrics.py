@@ -103,8 +103,8 @@ def overlapping(chunks: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def file_key(path: Column) -> Column:
-    """A path as a fixture and a result are compared: without scheme and outer slashes, lower case."""
-    return F.lower(F.trim(F.regexp_replace(path, "^[a-z]+://", ""), F.lit("/")))
+    """A path as a fixture and a result are compared: of a URI the part after the collection, without outer slashes, lower case."""
+    return F.lower(F.trim(F.regexp_replace(path, "^doc://(?:[^/]*/)?", ""), F.lit("/")))
 
 
 def file_matches(result: Column, expected: Column) -> Column:

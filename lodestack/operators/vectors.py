@@ -17,6 +17,8 @@ from lodestack.functions.chunks import chunk_table
 QUERY_BLOCK = 10_000
 #: Of these, so many meet a batch of vectors at once.
 TOGETHER = 500
+#: Fixed value: neighbours that an over-fetching search asks for at most.
+MOST_NEAREST = 4096
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -82,6 +84,16 @@ def best_chunks(found: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def overfetched(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int, eligible: DataFrame | None = None) -> DataFrame:
+    """best_chunks of the `limit` * 3 nearest vectors (* 30 with eligible documents, doc_id; MOST_NEAREST at most), which are filtered after that cut.
+
+    So a query can get fewer than `limit` documents. Without that: eligible vectors go into nearest(), with no cut.
+    """
+    found = nearest(vectors, queries, max(1, min(MOST_NEAREST, limit * (3 if eligible is None else 30))))
+    mine = chunks if eligible is None else chunks.join(eligible.select("doc_id"), "doc_id", "left_semi")
+    return best_chunks(found, mine, limit)
+
+
 def document_input(title: Column, text: Column) -> Column:
     """What is embedded for a chunk."""
     return F.concat(F.lit("title: "), F.coalesce(F.nullif(title, F.lit("")), F.lit("none")), F.lit(" | text: "), text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +33,34 @@ def included(path: Column, mask: str, ignore: list[str] | None = None) -> Column
 def scan(spark: SparkSession, root: str, collection: str, mask: str = "**/*.md", ignore: list[str] | None = None) -> DataFrame:
     """collection, path, title, hash, body, modified_at, skipped of the files under root.
 
-    `skipped` says why a file has no body (invalid UTF-8); blank files are as if they weren't there. Line ends become
-    \\n before hashing. A link out of the root is not followed by the file source's listing.
+    `skipped` says why a file has no body (invalid UTF-8, or a link that leads out of the root: links are only known to
+    local file systems); blank files are as if they weren't there. Line ends become \\n before hashing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^/*" + _quoted(base.lstrip("/")) + "/", "")
-    found = files.select(relative.alias("path"), F.col("modificationTime").alias("modified_at"), "content").filter(included(F.col("path"), mask, ignore))
+    found = files.select(relative.alias("path"), F.col("modificationTime").alias("modified_at"), "content", _outside(spark, root).alias("outside")).filter(included(F.col("path"), mask, ignore))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    body = F.when(valid, F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
-    out = found.select(F.lit(collection).alias("collection"), "path", body.alias("body"), "modified_at", F.when(~valid, "UnicodeDecodeError").alias("skipped"))
+    body = F.when(valid & ~F.col("outside"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
+    out = found.select(F.lit(collection).alias("collection"), "path", body.alias("body"), "modified_at", F.when(F.col("outside"), "OUTSIDE_COLLECTION").when(~valid, "UnicodeDecodeError").alias("skipped"))
     kept = out.filter(F.col("skipped").isNotNull() | F.col("body").rlike(r"\S"))
     return kept.select("collection", "path", F.when(F.col("skipped").isNull(), title(F.col("body"), F.col("path"))).alias("title"), F.sha2("body", 256).alias("hash"), "body", "modified_at", "skipped")
 
 
+def _outside(spark: SparkSession, root: str) -> Column:
+    """Whether a file's real path isn't under the real root; never where the file system isn't a local one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return F.lit(False)
+    real = os.path.realpath(path.toUri().getPath())
+
+    @F.pandas_udf("boolean")
+    def leads_out(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: os.path.commonpath([real, os.path.realpath("/" + p.removeprefix("file:").lstrip("/"))]) != real)
+
+    return leads_out("path")
+
+
 def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in text)
 
