@@ -109,7 +109,11 @@ def file_key(path: Column) -> Column:
 
 def file_matches(result: Column, expected: Column) -> Column:
     """Equal, or one ends with the other at a slash."""
-    a, b = file_key(result), file_key(expected)
+    return keys_match(file_key(result), file_key(expected))
+
+
+def keys_match(a: Column, b: Column) -> Column:
+    """file_matches of two file_keys."""
     return (a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a))
 
 

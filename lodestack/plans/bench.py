@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.metrics import file_key, file_matches
+from lodestack.operators.metrics import file_key, keys_match
 
 METRICS = ("recall_at_k", "mrr", "ndcg_at_k")
 _NONE = "cast(array() as array<string>)"
@@ -19,12 +19,14 @@ def claims(ranked: Column, expected: Column) -> Column:
     """
 
     def step(state: Column, path: Column) -> Column:
-        fits = F.filter(state["left"], lambda e: file_matches(path, e))
-        claimed = F.coalesce(F.get(F.filter(fits, lambda e: file_key(e) == file_key(path)), F.lit(0)), F.get(fits, F.lit(0)))
+        fits = F.filter(state["left"], lambda e: keys_match(path, e["key"]))
+        claimed = F.coalesce(F.get(F.filter(fits, lambda e: e["key"] == path), F.lit(0)), F.get(fits, F.lit(0)))
         left = F.when(claimed.isNull(), state["left"]).otherwise(F.array_remove(state["left"], claimed))
-        return F.struct(left.alias("left"), F.concat(state["out"], F.array(F.coalesce(claimed, file_key(path)))).alias("out"))
+        return F.struct(left.alias("left"), F.concat(state["out"], F.array(F.coalesce(claimed["name"], path))).alias("out"))
 
-    return F.aggregate(ranked, F.struct(expected.alias("left"), F.expr(_NONE).alias("out")), step, lambda s: s["out"])
+    # Keys are made once a path, not once a pair.
+    wanted = F.transform(expected, lambda e: F.struct(e.alias("name"), file_key(e).alias("key")))
+    return F.aggregate(F.transform(ranked, file_key), F.struct(wanted.alias("left"), F.expr(_NONE).alias("out")), step, lambda s: s["out"])
 
 
 def scores(backends: dict[str, list[DataFrame]], fixture: DataFrame) -> DataFrame:
