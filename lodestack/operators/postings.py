@@ -24,7 +24,8 @@ def stem_terms(found: DataFrame) -> DataFrame:
     def stems(terms):
         return terms.map(stem)
 
-    known = found.select("term").distinct().withColumn("stem", stems("term"))
+    # As if it weren't deterministic, or a filter on stems would run it on every posting, each with its whole text.
+    known = found.select("term").distinct().withColumn("stem", stems.asNondeterministic()("term"))
     return found.join(known, "term").withColumn("term", F.col("stem")).drop("stem").select(*found.columns)
 
 

@@ -87,6 +87,13 @@ def test_matches_of_hand_written_fts5(spark, docs, search, match):
     assert want and {r["id"] for r in bm25.search(postings.postings(docs, stemmed=True), docs, {"q": search}, 20, stemmed=True).collect()} == want
 
 
+def test_only_distinct_terms_are_stemmed(spark, docs):
+    found = bm25.search(postings.postings(docs, stemmed=True), docs, {"q": "licensed rights"}, 5, stemmed=True)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [lines[k + 1] for k, line in enumerate(lines) if "ArrowEvalPython" in line]
+    assert below and all("HashAggregate" in line for line in below)
+
+
 def test_stored_index_is_pruned(spark, docs, tmp_path):
     postings.write_index(docs, str(tmp_path))
     post, lengths, stats = postings.read_index(spark, str(tmp_path))
