@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str =
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run, encodes=True), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
@@ -287,7 +287,7 @@ def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str =
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run, encodes=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _worker(name: str) -> tuple[WordEncoder, Vocabulary]:

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts can be long, so batches are short.
-BATCH_ROWS = 500
+from lodestack.llm.tokens import drop_encoder
+
+#: Rows of an Arrow batch, and its bytes (or one row): texts can be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Rows of a range of ids, at most about.
 RANGE_ROWS = 20_000
 #: What a null id counts as in an order of ids.
@@ -27,6 +29,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table; its Arrow batches are kept short from here on."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -64,10 +69,15 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of Arrow batches that gives back the memory it has freed when it ends, so that an idle worker holds little."""
+def trimmed(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches that gives back the memory it has freed when it ends, so that an idle worker holds little.
+
+    The encoder that another operator left in the worker is dropped first, with its memo, unless this one `encodes` too.
+    """
 
     def of(batches: Iterator) -> Iterator:
+        if not encodes:
+            drop_encoder()
         try:
             yield from run(batches)
         finally:

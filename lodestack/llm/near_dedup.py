@@ -387,8 +387,9 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     rank = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)), F.col("key"))
     chosen = nodes.groupBy("label").agg(F.min_by(F.struct("key", "first_doc"), rank).alias("c")).select(F.col("c.key").alias("k"), F.col("c.first_doc").alias("d"))
     mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(text).alias("key"))
+    # Null-safe, though no key is null: else a filter on non-null keys makes each of them twice, by a second Python worker.
     # Equal rows of the chosen document lie in one partition after the join.
-    kept = mine.join(chosen, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")), "left_semi").dropDuplicates(["key"])
+    kept = mine.join(chosen, F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("d")), "left_semi").dropDuplicates(["key"])
     return kept.select("row.*")
 
 

@@ -53,7 +53,7 @@ def cut_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int =
             kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [f.split()[0] for f in _PIECES.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run), _PIECES)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", text).mapInArrow(trimmed(run, encodes=True), _PIECES)
 
 
 def patterns(grid: int = GRID, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -202,4 +202,4 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int
                 offset[of] = offsets[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").cast("long").alias("number")).mapInArrow(trimmed(place), _PIECES + ", sequence_id long, offset long")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").cast("long").alias("number")).mapInArrow(trimmed(place, encodes=True), _PIECES + ", sequence_id long, offset long")

@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY
         if held:
             yield full()
 
-    placed.mapInArrow(trimmed(run), _FILE).write.parquet(path)
+    placed.mapInArrow(trimmed(run, encodes=True), _FILE).write.parquet(path)
     return path
 
 
@@ -186,7 +186,7 @@ def _read(spark: SparkSession, path: str, of, field: str, kind: pa.DataType) ->
                     ["doc_id", "start", "n_tokens", field.split()[0]],
                 )
 
-    return files.mapInArrow(trimmed(run), f"doc_id long, start long, n_tokens long, {field}")
+    return files.mapInArrow(trimmed(run, encodes=True), f"doc_id long, start long, n_tokens long, {field}")
 
 
 def token_at(spark: SparkSession, path: str, doc_id: int, i: int) -> int | None:

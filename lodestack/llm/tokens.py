@@ -286,3 +286,8 @@ def worker_encoder(name: str, make: Callable[[], WordEncoder]) -> WordEncoder:
         _ENCODER.clear()
         _ENCODER[name] = make()
     return _ENCODER[name]
+
+
+def drop_encoder() -> None:
+    """Let go of the worker's encoder."""
+    _ENCODER.clear()
