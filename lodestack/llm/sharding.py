@@ -5,10 +5,11 @@ in a canonical order, shuffled by Fisher-Yates with a seed of its own and writte
 shuffled order, are a uniformly random order of all records; shard s takes the places from s*N/k to (s+1)*N/k, so the
 shards' row counts are at most one apart (law `rows`).
 
-The same seed, ids, texts and bucket count give the same shards, whatever the cluster. A null id is scattered by the
-row's place in the input too, and so are equal rows once they fill a bucket: these depend on the input's files. A null
-text has no bytes, an empty one none either; a very long one is one record. Equal rows are shuffled like any others.
-Input columns named `shard` or `slot` come back as input_shard and input_slot. An empty table gives no shards.
+The same seed, ids, texts and bucket count give the same shards, whatever the cluster, unless there are null ids, which
+are scattered by the row's place in the input too, as are equal rows once they fill a bucket: how many of these a bucket
+gets depends on the input's files. A null text has no bytes, an empty one none either; a very long one is one record.
+Equal rows are shuffled like any others. Input columns named `shard` or `slot` come back as input_shard and
+input_slot. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -54,19 +55,31 @@ def bucket_column(buckets: int, seed: int = SEED, text: str = "text") -> Column:
 def scattered(docs: DataFrame, buckets: int, seed: int, text: str) -> tuple[DataFrame, np.ndarray]:
     """docs as (record, id_, text_, bucket_), and each bucket's rows.
 
-    Where equal rows make a bucket several times as large as the mean, its rows are scattered anew by their place.
+    Where a bucket is several times as large as the mean, equal rows that together exceed the mean are scattered anew
+    by their place. Rows that are large or meet by chance stay, so that their places depend on ids and texts alone.
     """
     mine = docs.select(F.struct("*").alias("record"), F.col("doc_id").cast("long").alias("id_"), F.col(text).alias("text_"), bucket_column(buckets, seed, text).alias("bucket_"))
     rows, sizes = counted(mine, buckets)
     heavy = np.flatnonzero((sizes > HEAVY * max(1, sizes.mean())) & (rows > 1))
     if not len(heavy):
         return mine, rows
-    # A bucket of many rows is as large by chance never; there are fewer such than buckets / HEAVY.
+    row = F.xxhash64(F.lit(seed + 2), "id_", "text_")
+    among = mine.filter(_in(F.col("bucket_"), heavy, "int")).select(row.alias("row"), record_size("text_").alias("size"))
+    # All rows hold `buckets` times the mean, so there are fewer such groups than buckets.
+    groups = among.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter((F.col("n") > 1) & (F.col("size") > float(sizes.mean())))
+    equal = groups.select("row").toArrow().column("row").to_numpy()
+    if not len(equal):
+        return mine, rows
     anew = F.pmod(F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-    mine = mine.withColumn("bucket_", F.when(F.array_contains(F.expr("array(" + ", ".join(map(str, heavy)) + ")"), F.col("bucket_")), anew).otherwise(F.col("bucket_")))
+    mine = mine.withColumn("bucket_", F.when(_in(row, equal, "bigint"), anew).otherwise(F.col("bucket_")))
     return mine, counted(mine, buckets)[0]
 
 
+def _in(col: Column, values: np.ndarray, kind: str) -> Column:
+    """Whether col is among the values, written as SQL text: there may be many."""
+    return F.array_contains(F.expr("array(" + ", ".join(f"{kind}('{x}')" for x in np.sort(values)) + ")"), col)
+
+
 def counted(placed: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and bytes of each bucket: 16 bytes for each 48 MB of input reach the driver."""
     rows, sizes = np.zeros(buckets, "int64"), np.zeros(buckets, "int64")
