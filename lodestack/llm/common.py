@@ -19,6 +19,8 @@ from lodestack.llm.tokens import drop_encoder
 
 #: Rows of an Arrow batch, and its bytes (or one row): texts can be long, so batches are short.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Rows that a task reads from Parquet at once; their texts are all in its heap, twice while their array grows.
+READ_ROWS = 128
 #: Rows of a range of ids, at most about.
 RANGE_ROWS = 20_000
 #: What a null id counts as in an order of ids.
@@ -26,12 +28,14 @@ NULL_ID = -(1 << 63)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; its Arrow batches are kept short from here on."""
+    """The documents table; Arrow batches, and those that Parquet is read in, are kept short from here on."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most) <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

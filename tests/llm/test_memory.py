@@ -31,3 +31,12 @@ def test_an_encoder_is_dropped_by_the_next_operator(monkeypatch):
     assert tokens._ENCODER
     assert list(common.trimmed(lambda b: b)(iter([1]))) == [1]
     assert not tokens._ENCODER
+
+
+def test_parquet_is_read_in_short_batches(spark, tmp_path):
+    # 4096 texts of 400 kB are a batch of 1.6 GB, more than a small executor's heap.
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = common.documents(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= common.READ_ROWS
+    assert docs.count() == 2000
