@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.tokens import drop_encoder
+from lodestack.llm.tokens import COLUMN_BYTES, drop_encoder
 
 #: Rows of an Arrow batch, and its bytes (or one row): texts can be long, so batches are short.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
@@ -92,6 +92,18 @@ def trimmed(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Calla
     return of
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together, to about what an encoder splits at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > COLUMN_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def without(docs: DataFrame, taken: Iterable[str]) -> DataFrame:
     """docs; a column with a name that is taken for a result (in any case of letters) becomes input_<name>."""
     names = {c.lower() for c in docs.columns} | {t.lower() for t in taken}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import KeyRanges, range_count, trimmed, work_dir
+from lodestack.llm.common import KeyRanges, gathered, range_count, trimmed, work_dir
 from lodestack.llm.tokens import library_encoder, worker_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,13 +40,14 @@ def pack(ids: np.ndarray) -> bytes:
     rest = np.ascontiguousarray(ids, dtype="<u4")
     levels = []
     while True:
-        more = (rest >> _BITS) != 0
+        more = rest > 0xFF
         bits = np.packbits(more, bitorder="little")
-        before = np.concatenate(([0], np.cumsum(more, dtype="<u4")[_STEP - 1 :: _STEP])).astype("<u4")
-        levels.append(struct.pack("<III", len(rest), len(bits), len(before)) + (rest & 0xFF).astype("u1").tobytes() + bits.tobytes() + before.tobytes())
+        blocks = bits[: len(rest) // _STEP * (_STEP // 8)].reshape(-1, _STEP // 8)
+        before = np.concatenate(([0], np.cumsum(np.bitwise_count(blocks).sum(axis=1)))).astype("<u4")
+        levels.append(struct.pack("<III", len(rest), len(bits), len(before)) + rest.astype("u1").tobytes() + bits.tobytes() + before.tobytes())
         if not more.any():
             break
-        rest = rest[more] >> _BITS
+        rest = rest[np.flatnonzero(more)] >> _BITS
     return _MAGIC + struct.pack("<I", len(levels)) + b"".join(levels)
 
 
@@ -89,7 +90,7 @@ class Codes:
         for chunks, bitmap, _ in reversed(self.levels):
             ids = chunks.astype("<u4")
             if above is not None:
-                more = np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)
+                more = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
                 ids[more] |= above << np.uint32(_BITS)
             above = ids
         return above
@@ -131,9 +132,8 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY
             held.clear(), ids.clear(), ends.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in _FILE.split(", ")])
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, r, got in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode(texts), strict=True):
+        for some in gathered(batches):
+            for doc_id, r, got in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), encoder.encode_column(some.column(1)), strict=True):
                 if r != state["range"]:
                     if held:
                         yield full()
