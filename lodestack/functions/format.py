@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 FORMATS = ("json", "csv", "files", "md", "xml", "cli")
 
 
-def format_bytes(n: Column) -> Column:
-    """Bytes as a whole number, larger sizes with one decimal place."""
-    out = F.format_string("%.1f TB", n / 1024**4)
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024**power)).otherwise(out)
+def format_bytes(n: Column, largest: str = "TB") -> Column:
+    """Bytes as a whole number, larger sizes with one decimal place, half to even, in units up to the largest."""
+    units = ("KB", "MB", "GB", "TB")[: ("KB", "MB", "GB", "TB").index(largest) + 1]
+    size = lambda power: F.format_string(f"%.1f {units[power - 1]}", F.bround(n / 1024**power, 1))
+    out = size(len(units))
+    for power in range(len(units) - 1, 0, -1):
+        out = F.when(n < 1024 ** (power + 1), size(power)).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
