@@ -7,23 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def credited(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
-    """ranked (query_id, rank from 1, file) with `hit`: the file is relevant (query_id, file) and seen for the first time."""
+def shared_sets(queries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, relevant_set) and (relevant_set, file) where a query's relevant files are those of its groups: queries (query_id, group), files (group, file).
+
+    Queries of the same groups share one set, so no pair of a query and a file is listed: as many rows as were given, not their product.
+    """
+    of_query = queries.filter("group is not null").groupBy("query_id").agg(F.sort_array(F.collect_set("group")).alias("relevant_set"))
+    each = of_query.select("relevant_set").distinct().select("relevant_set", F.explode("relevant_set").alias("group"))
+    return of_query, files.join(each, "group").select("relevant_set", "file").distinct()
+
+
+def credited(ranked: DataFrame, relevant: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """ranked (query_id, rank from 1, file) with `hit`: the file is relevant (query_id, file) and seen for the first time. With sets (relevant_set, file), relevant is query_id, relevant_set."""
     first = Window.partitionBy("query_id", "file").orderBy("rank")
-    marks = relevant.select("query_id", "file").distinct().withColumn("rel", F.lit(True))
-    return ranked.withColumn("n", F.row_number().over(first)).join(marks, ["query_id", "file"], "left").withColumn("hit", F.coalesce(F.col("rel") & (F.col("n") == 1), F.lit(False)))
+    seen, keys = ranked.withColumn("n", F.row_number().over(first)), ["query_id", "file"]
+    if sets is not None:
+        seen, relevant, keys = seen.join(relevant.select("query_id", "relevant_set"), "query_id", "left"), sets, ["relevant_set", "file"]
+    marks = relevant.select(*keys).distinct().withColumn("rel", F.lit(True))
+    return seen.join(marks, keys, "left").withColumn("hit", F.coalesce(F.col("rel") & (F.col("n") == 1), F.lit(False)))
 
 
-def per_query(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """query_id, n_relevant, reciprocal_rank, recall, precision, f1, ndcg (the last four at k) of every query with relevant files."""
-    hits = credited(ranked, relevant)
+def per_query(ranked: DataFrame, relevant: DataFrame, k: int, sets: DataFrame | None = None) -> DataFrame:
+    """query_id, n_relevant, reciprocal_rank, recall, precision, f1, ndcg (the last four at k) of every query with relevant files. sets: see credited()."""
+    hits = credited(ranked, relevant, sets)
     top = F.col("hit") & (F.col("rank") <= k)
     found = hits.groupBy("query_id").agg(
         F.max(F.when(F.col("hit"), 1 / F.col("rank"))).alias("rr"),
         F.sum(top.cast("int")).alias("n_hits"),
         F.sum(F.when(top, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
     )
-    wanted = relevant.groupBy("query_id").agg(F.countDistinct("file").alias("n_relevant"))
+    key = "query_id" if sets is None else "relevant_set"
+    wanted = (relevant if sets is None else sets).groupBy(key).agg(F.countDistinct("file").alias("n_relevant"))
+    wanted = wanted if sets is None else relevant.join(wanted, key).select("query_id", "n_relevant")
     n = F.least(F.lit(k), F.col("n_relevant"))
     ideal = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     out = wanted.join(found, "query_id", "left").withColumn("h", F.coalesce("n_hits", F.lit(0)))
