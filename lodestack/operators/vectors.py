@@ -15,8 +15,8 @@ from lodestack.functions.chunks import chunk_table
 
 #: Query vectors that are compared at once: a block of them travels with each copy of the vectors' tasks.
 QUERY_BLOCK = 10_000
-#: Of these, so many meet a batch of vectors at once.
-TOGETHER = 500
+#: Of these, so many meet a batch of vectors at once, and as few as make so many distances.
+TOGETHER, DISTANCES = 500, 1 << 20
 #: Fixed value: neighbours that an over-fetching search asks for at most.
 MOST_NEAREST = 4096
 
@@ -59,8 +59,9 @@ def _partial(vectors: DataFrame, rows: list[Row], k: int) -> DataFrame:
             if not len(ids):
                 continue
             x = _unit(x).T
-            for at in range(0, len(names), TOGETHER):
-                d = 1 - unit[at : at + TOGETHER] @ x
+            together = max(1, min(TOGETHER, DISTANCES // len(ids)))
+            for at in range(0, len(names), together):
+                d = 1 - unit[at : at + together] @ x
                 best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
                 # Ties with the k-th nearest are all kept; the window breaks them by id.
                 worst = np.take_along_axis(d, best, 1).max(axis=1)
