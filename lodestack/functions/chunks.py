@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.sources.shared import short_batches
+
 # Break points by kind, and their scores.
 BREAKS = {
     r"\n#(?!#)": 100, r"\n##(?!#)": 90, r"\n###(?!#)": 80, r"\n####(?!#)": 70, r"\n#####(?!#)": 60, r"\n######(?!#)": 50,
@@ -21,6 +23,8 @@ BREAKS = {
 }
 #: Chunk size, overlap and window in characters: at query time and for embedding.
 QUERY_SIZES, EMBED_SIZES = (3600, 540, 800), (2700, 405, 600)
+#: Characters of chunks that leave a worker together, about.
+TOGETHER = 1 << 20
 #: Definitions in source files by extension, for chunks that follow the code.
 CODE = {
     "py": r"\n(?=(?:async )?def |class |@\w)", "js": r"\n(?=(?:export )?(?:async )?(?:function|class|const) )", "ts": r"\n(?=(?:export )?(?:async )?(?:function|class|const|interface|type|enum) )",
@@ -91,15 +95,29 @@ def chunks(text: str, sizes: tuple[int, int, int] = EMBED_SIZES, extension: str
 
 
 def chunk_table(docs: DataFrame, sizes: tuple[int, int, int] = EMBED_SIZES, empty: bool = False) -> DataFrame:
-    """id, seq, pos, text of the chunks of docs (id, body). Null texts have none, empty texts one if `empty` says so."""
+    """id, seq, pos, text of the chunks of docs (id, body). Null texts have none, empty texts one if `empty` says so. A worker holds a short batch and the chunks of about TOGETHER characters."""
 
     kind = "string" if dict(docs.dtypes)["id"] == "string" else "bigint"
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string() if kind == "string" else pa.int64(), pa.int32(), pa.int32(), pa.string())
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "seq", "pos", "text"])
         for batch in batches:
-            rows = [(i, n, p, c) for i, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) if t or (empty and t is not None) for n, (p, c) in enumerate(chunks(t, sizes))]
-            cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (batch.column(0).type, pa.int32(), pa.int32(), pa.string()), strict=True)], ["id", "seq", "pos", "text"])
+            rows, held = [], 0
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                t = t.as_py()
+                if not (t or (empty and t is not None)):
+                    continue
+                i = i.as_py()
+                for n, (a, b) in enumerate(spans(t, sizes)):
+                    rows.append((i, n, a, t[a:b]))
+                    held += b - a
+                    if held >= TOGETHER:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return docs.selectExpr(f"cast(id as {kind}) id", "body").mapInArrow(run, f"id {kind}, seq int, pos int, text string")
 
