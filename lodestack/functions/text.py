@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 # Fixed values, searched character by character: Han with extension A and compatibility forms, kana, Hangul syllables and letters.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}"
-TOKEN = r"[\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=1)
@@ -35,8 +34,8 @@ def folded(col: Column) -> Column:
 
 
 def tokens(col: Column) -> Column:
-    """The tokens of a text, in order; none for null."""
-    return F.regexp_extract_all(folded(F.coalesce(col, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """The tokens of a text, in order; none for null. They are what stands between other characters."""
+    return F.array_remove(F.split(folded(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def fold(text: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestack.functions.stem import stem
 from lodestack.functions.text import fold
-from lodestack.operators.postings import document_lengths, statistics
+from lodestack.operators.postings import document_lengths, matching, postings, statistics, stem_terms
 
 K1, B, TITLE, BODY, LEAST_IDF = 1.2, 0.75, 4.0, 1.0, 1e-6
 #: Terms that are written out as a predicate.
@@ -58,17 +58,37 @@ def phrase_rows(queries: dict[str, str], stemmed: bool = False) -> list[tuple]:
     return rows
 
 
-def asked_terms(rows: list[tuple]) -> Column | None:
-    """The terms that phrases ask for, as a predicate that a stored index prunes by; None if there are too many to write out."""
-    exact, prefixes = sorted({r[6] for r in rows if not r[3]}), sorted({r[6] for r in rows if r[3]})
+def asked_terms(rows: list[tuple], term: Column | None = None, cut: int = 0) -> Column | None:
+    """The terms that phrases ask for, as a predicate that a stored index prunes by; None if there are too many to write out.
+
+    With `cut`, those that begin as they do but for so many letters at the end.
+    """
+    term = F.col("term") if term is None else term
+    exact, prefixes = {r[6] for r in rows if not r[3]}, {r[6] for r in rows if r[3]}
     if len(exact) + len(prefixes) > PUSHED:
         return None
-    out = F.col("term").isin(*exact) if exact else F.lit(False)
-    for p in prefixes:
-        out = out | F.col("term").startswith(p)
+    if cut:
+        exact, prefixes = set(), {t[: max(1, len(t) - cut)] for t in exact | prefixes}
+    out = term.isin(*sorted(exact)) if exact else F.lit(False)
+    for p in sorted(prefixes):
+        out = out | term.startswith(p)
     return out
 
 
+#: Fixed value: letters at a stem's end, at most, that the word doesn't have in their places: an ending gives way to
+#: another of which it has all but two letters (biliti: ble), and nothing that follows adds one.
+STEM_END = 2
+
+
+def asked_postings(docs: DataFrame, rows: list[tuple], stemmed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the terms that phrases ask for, lengths and statistics of docs (id, title, body); all postings if these terms are too many to write out."""
+    if asked_terms(rows) is None:
+        post = postings(docs, stemmed)
+        return post, (lengths := document_lengths(post)), statistics(docs, lengths)
+    post, lengths, stats = matching(docs, lambda term: asked_terms(rows, term, STEM_END if stemmed else 0))
+    return stem_terms(post) if stemmed else post, lengths, stats
+
+
 def phrase_table(spark: SparkSession, queries: dict[str, str], stemmed: bool = False) -> DataFrame:
     """query_id, phrase, negated, prefix (of the last token only), n (tokens), i (token's place), token. As large as the queries' text."""
     rows = phrase_rows(queries, stemmed)
@@ -88,13 +108,17 @@ def phrase_hits(post: DataFrame, phrases: DataFrame) -> DataFrame:
     return whole.groupBy("query_id", "phrase", "negated", "id", "field").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def scores(post: DataFrame, docs: DataFrame, queries: dict[str, str], stemmed: bool = False, lengths: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def scores(post: DataFrame | None, docs: DataFrame, queries: dict[str, str], stemmed: bool = False, lengths: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """query_id, id, bm25 (negative, lower is better), score in [0, 1) of the documents that match all positive and no negated phrases.
 
+    Without post, what is asked for is found in the texts of docs (id, title, body), which are read once, by this call.
     lengths and stats: those of a stored index; else they are counted from the postings.
     """
     phrases = phrase_table(docs.sparkSession, queries, stemmed)
-    asked_for = asked_terms(phrase_rows(queries, stemmed))
+    rows = phrase_rows(queries, stemmed)
+    if post is None:
+        post, lengths, stats = asked_postings(docs, rows, stemmed)
+    asked_for = asked_terms(rows)
     hits = phrase_hits(post if asked_for is None else post.filter(asked_for), phrases)
     weighted = hits.groupBy("query_id", "phrase", "negated", "id").agg(F.sum(F.col("hits") * F.when(F.col("field") == "title", TITLE).otherwise(BODY)).alias("f"))
     asked = phrases.filter("not negated").groupBy("query_id").agg(F.countDistinct("phrase").alias("need"))
@@ -115,12 +139,12 @@ def scores(post: DataFrame, docs: DataFrame, queries: dict[str, str], stemmed: b
     return kept.select("query_id", "id", (-F.col("s")).alias("bm25"), (F.col("s") / (1 + F.col("s"))).alias("score"))
 
 
-def search(post: DataFrame, docs: DataFrame, queries: dict[str, str], limit: int = 20, eligible: DataFrame | None = None, overfetch: int | None = None, stemmed: bool = False, lengths: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def search(post: DataFrame | None, docs: DataFrame, queries: dict[str, str], limit: int = 20, eligible: DataFrame | None = None, overfetch: int | None = None, stemmed: bool = False, lengths: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """query_id, rank (from 1), id, bm25, score: the best `limit` documents of each query.
 
     docs: the indexed documents (id, ...), which make the statistics. eligible: ids that may be returned; they are
     filtered before the limit. With `overfetch`, only the best so many are looked at before that filter, which can
-    leave fewer rows. lengths, stats: see scores().
+    leave fewer rows. post, lengths, stats: see scores().
     """
     found = scores(post, docs, queries, stemmed, lengths, stats)
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id")
@@ -132,14 +156,17 @@ def search(post: DataFrame, docs: DataFrame, queries: dict[str, str], limit: int
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "id", "bm25", "score")
 
 
-def okapi(post: DataFrame, docs: DataFrame, queries: dict[str, list[str]], limit: int = 20) -> DataFrame:
-    """OR search by Okapi BM25 with idf ln(1 + (N - n + 0.5) / (n + 0.5)); query_id, rank, id, score."""
+def okapi(post: DataFrame | None, docs: DataFrame, queries: dict[str, list[str]], limit: int = 20) -> DataFrame:
+    """OR search by Okapi BM25 with idf ln(1 + (N - n + 0.5) / (n + 0.5)); query_id, rank, id, score. post: see scores()."""
     spark = docs.sparkSession
     terms = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts], "query_id string, term string")
-    lengths = document_lengths(post)
+    if post is None:
+        post, lengths, stats = asked_postings(docs, [(q, 0, False, False, 1, 0, t) for q, ts in queries.items() for t in ts])
+    else:
+        lengths = document_lengths(post)
+        stats = statistics(docs, lengths)
     tf = post.join(F.broadcast(terms), "term").groupBy("query_id", "term", "id").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n_t"))
-    stats = statistics(docs, lengths)
     each = tf.join(F.broadcast(df), ["query_id", "term"]).crossJoin(F.broadcast(stats)).join(lengths, "id")
     idf = F.log(1 + (F.col("n_docs") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions.stem import stem
 from lodestack.functions.text import tokens
+from lodestack.sources.shared import shared_folder
+
+#: Bytes of texts whose postings one task of an index sorts, about.
+INDEX_BYTES = 16 << 20
 
 
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -29,10 +35,35 @@ def stem_terms(found: DataFrame) -> DataFrame:
     return found.join(known, "term").withColumn("term", F.col("stem")).drop("stem").select(*found.columns)
 
 
+def matching(docs: DataFrame, asked: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the terms for which `asked` holds, lengths and statistics of docs (id, title, body).
+
+    The texts are read and cut once, by this call; what is asked for and a length a document are kept in the shared
+    folder.
+    """
+
+    def hits(field: str) -> Column:
+        rows = F.transform(field, lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), x.alias("term")))
+        return F.filter(rows, lambda r: asked(r["term"]))
+
+    found = docs.select("id", tokens(F.col("title")).alias("title"), tokens(F.col("body")).alias("body"))
+    path = shared_folder(docs.sparkSession, "matching")
+    found.select("id", (F.size("title") + F.size("body")).cast("long").alias("dl"), F.concat(hits("title"), hits("body")).alias("hits")).write.parquet(path)
+    kept = docs.sparkSession.read.parquet(path)
+    lengths = kept.groupBy("id").agg(F.sum("dl").alias("dl")).filter("dl > 0")
+    return kept.select("id", F.explode("hits").alias("h")).select("id", "h.*"), lengths, statistics(kept, kept)
+
+
 def document_lengths(post: DataFrame) -> DataFrame:
     return post.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """document_lengths of the postings of docs, without their rows."""
+    n = (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).cast("long")
+    return docs.select("id", n.alias("dl")).groupBy("id").agg(F.sum("dl").alias("dl")).filter("dl > 0")
+
+
 def dictionary(post: DataFrame) -> DataFrame:
     """term, df (documents), cf (occurrences). A term's documents are counted from per-document counts, so a frequent term is no single task's."""
     per_doc = post.groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))

@@ -23,10 +23,10 @@ class Query:
     parts: list[tuple[str, str, list[float] | None]] = field(default_factory=list)
 
 
-def ranked_lists(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries: dict[str, Query], depth: int = fusion.CANDIDATES, eligible: DataFrame | None = None) -> DataFrame:
+def ranked_lists(post: DataFrame | None, docs: DataFrame, embedded: DataFrame, queries: dict[str, Query], depth: int = fusion.CANDIDATES, eligible: DataFrame | None = None) -> DataFrame:
     """query_id, list_idx, rank from 0, file (id), weight. List 0 is the vector list, 1 the keyword list; an expansion's lists follow.
 
-    With a strong keyword hit the lists of the expansion are left out, by a flag in the plan and not a collected row.
+    post: see bm25.scores(). With a strong keyword hit the lists of the expansion are left out, by a flag in the plan and not a collected row.
     """
     spark = docs.sparkSession
     texts, vecs, weights = {}, [], []
@@ -59,8 +59,8 @@ def ranked_lists(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries:
 Reranker = Callable[[Column, Column], Column]
 
 
-def hybrid(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries: dict[str, Query], limit: int = 10, min_score: float = 0.0, rerank: Reranker | None = fusion.term_share, depth: int = fusion.CANDIDATES, eligible: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, file (id), rrf, score, pos of the best `limit` documents of each query. docs: id, body, ... ; embedded: id, embedding.
+def hybrid(post: DataFrame | None, docs: DataFrame, embedded: DataFrame, queries: dict[str, Query], limit: int = 10, min_score: float = 0.0, rerank: Reranker | None = fusion.term_share, depth: int = fusion.CANDIDATES, eligible: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, file (id), rrf, score, pos of the best `limit` documents of each query. docs: id, body, ... ; embedded: id, embedding; post: see bm25.scores().
 
     Only the best chunk of a candidate, at its place `pos`, goes to the reranker, below the query's intent and the
     query itself; without a reranker the fused place decides.
@@ -69,8 +69,8 @@ def hybrid(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries: dict[
     fused = fusion.reciprocal_rank_fusion(ranked_lists(post, docs, embedded, queries, depth, eligible), depth)
     rows = [(q, query_terms(x.text), intent_terms(x.intent), f"{x.intent}\n\n{x.text}" if x.intent else x.text) for q, x in queries.items()]
     terms = spark.createDataFrame(rows, "query_id string, terms array<string>, intent_terms array<string>, asked string")
-    # At most `depth` candidates a query meet the documents; each document is cut once, however many queries want it.
-    wanted = docs.join(fused.select(F.col("file").alias("id")).distinct(), "id", "left_semi")
+    # At most `depth` candidates a query go to the documents, which stay where they are; each is cut once, however many queries want it.
+    wanted = docs.join(F.broadcast(fused.select(F.col("file").alias("id")).distinct()), "id", "left_semi")
     pieces = chunk_table(wanted.select("id", F.coalesce("body", F.lit("")).alias("body")), QUERY_SIZES, empty=True).withColumnRenamed("id", "file")
     # The queries' own texts, which came through the driver.
     chosen = fusion.best_chunk(fused.join(F.broadcast(terms), "query_id").join(pieces, "file"))
@@ -81,11 +81,12 @@ def hybrid(post: DataFrame, docs: DataFrame, embedded: DataFrame, queries: dict[
 def result_rows(found: DataFrame, docs: DataFrame, queries: dict[str, Query], contexts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """Search results as a user sees them: query_id, rank, id, docid, file (collection/path), title, score, context, metadata, line, snippet, body.
 
-    found: query_id, rank, file (id), score and, of a hybrid query, pos. contexts: id, context; values: id, values.
+    found: query_id, rank, file (id), score and, of a hybrid query, pos: a search's limit a query, so it goes to the
+    documents, which stay where they are. contexts: id, context; values: id, values.
     """
     spark = docs.sparkSession
     words = spark.createDataFrame([(q, x.text.lower().split(), intent_terms(x.intent)) for q, x in queries.items()], "query_id string, terms array<string>, intent_terms array<string>")
-    rows = found.withColumnRenamed("file", "id").join(docs.select("id", "collection", "path", "title", "hash", "body"), "id").join(F.broadcast(words), "query_id")
+    rows = F.broadcast(found.withColumnRenamed("file", "id")).join(docs.select("id", "collection", "path", "title", "hash", "body"), "id").join(F.broadcast(words), "query_id")
     rows = rows.join(contexts, "id", "left") if contexts is not None else rows.withColumn("context", F.lit(None).cast("string"))
     rows = rows.join(values.select("id", F.col("values").alias("metadata")), "id", "left") if values is not None else rows.withColumn("metadata", F.lit(None).cast("string"))
     at = F.col("pos") if "pos" in found.columns else None
