@@ -80,12 +80,13 @@ def write_index(docs: DataFrame, path: str, stemmed: bool = False) -> None:
     """Postings sorted by term, lengths and statistics of docs under `path`, once for all searches.
 
     Files are ranges of (term, id), so a frequent term has several, and a search reads only those whose range holds its
-    terms or prefixes.
+    terms or prefixes. They are as many as the texts ask for, so none grows with them.
     """
+    size = docs.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // INDEX_BYTES))
     post = postings(docs, stemmed)
-    post.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "field", "pos").write.parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    document_lengths(stored).write.parquet(f"{path}/lengths")
+    post.repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id", "field", "pos").write.parquet(f"{path}/postings")
+    token_counts(docs).write.parquet(f"{path}/lengths")
     statistics(docs, docs.sparkSession.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/statistics")
 
 
